@@ -62,7 +62,7 @@ def own_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def pieces(texts: list[str | None], limit: int = 1 << 22):
+def pieces(texts: list[str | None], limit: int = 1 << 20):
     """Slices (from, to) of a list so that each has at most `limit` characters or is one text."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -107,13 +107,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["up"][:n], _POW["down"][:n]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], ascii_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of all texts, and for each text where its words end.
 
-    Words are runs of digits, a-z and characters beyond ASCII. Equal words
-    have equal hashes, whatever text or call they come from.
+    Words are runs of digits, a-z and characters beyond ASCII; ascii_only
+    lower-cases A-Z alone. Equal words have equal hashes, whatever text or call
+    they come from.
     """
-    data = [(t or "").lower().encode() for t in texts]
+    data = [(t or "").encode().lower() if ascii_only else (t or "").lower().encode() for t in texts]
     buf = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
     is_word = _WORD[buf]
     edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
@@ -127,3 +128,16 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     h = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     text_ends = np.cumsum(np.fromiter((len(x) + 1 for x in data), np.int64, len(data)))
     return h, np.searchsorted(starts, text_ends)
+
+
+# Odd multipliers, so that a shingle's hash depends on the order of its words.
+_ORDER = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of each n consecutive words (len(words) - n + 1 of them)."""
+    size = max(0, len(words) - n + 1)
+    out = np.zeros(size, np.uint64)
+    for k in range(n):
+        out += words[k : k + size] * _ORDER[k]
+    return mix64(out)

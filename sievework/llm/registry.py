@@ -4,24 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunks, orc_ids, sharding, topk
+from . import chat, chunks, decontaminate, langid, licenses, lm, minhash, orc_ids, sharding, topk
 from .common import table
 
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"), 40)
 
 
+def op2_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, d, "documents"))
+
+
 def op3_topk(spark: SparkSession, d: str) -> DataFrame:
     vectors = topk.whole_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op4_langid(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(table(spark, d, "documents"))
+
+
 def op5_chat(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -29,15 +38,29 @@ def op5_chat(spark: SparkSession, d: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionAll(more)))
 
 
+def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op7_bpe_chunks(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return chunks.encode_decode(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return chunks.encode_decode(docs, TOKENIZER).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op8_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, d, "documents"))
+
+
+def op9_lm(spark: SparkSession, d: str) -> DataFrame:
+    return lm.score_documents(table(spark, d, "documents"))
 
 
 def op10_orc_ids(spark: SparkSession, d: str) -> DataFrame:
-    return orc_ids.ids_file(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return orc_ids.ids_file(table(spark, d, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_topk, op5_chat, op7_bpe_chunks, op10_orc_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_sharding, op2_licenses, op3_topk, op4_langid, op5_chat, op6_decontamination, op7_bpe_chunks, op8_near_duplicates, op9_lm, op10_orc_ids,
+)}
 
 ORACLES: dict[str, str] = {}

@@ -88,7 +88,8 @@ def with_block(docs: DataFrame) -> DataFrame:
         if "UNRESOLVED_COLUMN" not in str(e):
             raise
         rows = docs.count()
-        return docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-rows // BLOCK_ROWS) or 1)))
+        dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-rows // BLOCK_ROWS) or 1)))
+        return dealt.repartition("_block").sortWithinPartitions("_block")
 
 
 def block_words(docs: DataFrame) -> DataFrame:
@@ -192,10 +193,11 @@ def train(trigrams: pd.DataFrame, mass: np.ndarray, unseen: float, seed: int = 3
     return (logits / math.log(10)).astype(np.float32).reshape(CLASSES, CLASSES, CLASSES)
 
 
-def score_block(model: Model, texts: list[str | None], vocabulary: dict[bytes, int], counts: np.ndarray) -> list[tuple]:
-    """Of each text: n_tokens, n_known, base_score and score."""
+def score_block(model: Model, texts: list[str | None], known: list[bytes], counts: np.ndarray) -> list[tuple]:
+    """Of each text: n_tokens, n_known, base_score and score. A block that two tasks read has some of its words twice."""
+    vocabulary = {w: i for i, w in enumerate(known)}
     frequent = {b"": END} | {w: i + 1 for i, w in enumerate(model.frequent)}
-    surface = np.fromiter((frequent[w] if w in frequent else suffix_class(w) for w in vocabulary), np.int64, len(vocabulary))
+    surface = np.fromiter((frequent[w] if w in frequent else suffix_class(w) for w in known), np.int64, len(known))
     target = np.where(counts > 0, surface, UNSEEN)
     base = np.log10((counts + 1) / (model.tokens + model.kinds + 1))
     share = model.share(target, counts)
@@ -245,11 +247,11 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     types = [to_arrow_type(kind), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
-        vocabulary = {w.encode(): i for i, w in enumerate(answers.column("word").to_pylist())}
+        known = [w.encode() for w in answers.column("word").to_pylist()]
         ids, held, texts = (own.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))
-        got = score_block(sent.value, texts, vocabulary, answers.column("c").to_numpy())
-        n, known, base, score = ([x[k] for x in got] for k in range(4))
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip((ids, held, n, known, [sent.value.tokens] * len(n), base, score), types, strict=True)], names=names)
+        got = score_block(sent.value, texts, known, answers.column("c").to_numpy())
+        n, seen_n, base, score = ([x[k] for x in got] for k in range(4))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip((ids, held, n, seen_n, [sent.value.tokens] * len(n), base, score), types, strict=True)], names=names)
 
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("_block").cogroup(asked.select(F.col("block").alias("_block"), "word", "c").groupBy("_block")).applyInArrow(run, schema)

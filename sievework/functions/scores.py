@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The three ladders that put a confidence in words, as (least percent, text).
+# The ladders that put a confidence in words, as (least percent, text).
 LADDERS = {
-    "short": [(90, "very confident"), (70, "fairly confident"), (None, "uncertain")],
-    "long": [(90, "very high"), (70, "high"), (50, "moderate"), (None, "low")],
+    "short": [(90, "The model is quite confident in this prediction."), (70, "The model has fairly strong confidence in this prediction."), (None, "The model is less certain, so this result should be treated with caution.")],
+    "long": [
+        (90, "The model is highly confident in this prediction."),
+        (70, "The model has relatively high confidence in this prediction."),
+        (50, "The model has moderate confidence, so the prediction should be interpreted with some caution."),
+        (None, "The model has low confidence, so the result should be verified before disposal."),
+    ],
+    "review": [
+        (90, "The model is highly confident in this prediction."),
+        (70, "The model has reasonably strong confidence in this prediction."),
+        (50, "The model has moderate confidence, so this result should be treated with some caution."),
+        (None, "The model has low confidence, so the image may need manual review."),
+    ],
 }
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import paths, scores
-from sievework.operators import audit, curate, dedup, evaluate, graph, profile, quality, serve, split, taxonomy
+from sievework.operators import audit, curate, dedup, evaluate, graph, profile, quality, serve, split, taxonomy, waste
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -327,6 +327,17 @@ def taxonomy_rollup(spark, d):
     return taxonomy.rollup(taxonomy_map(spark, d))
 
 
+_WASTE = "waste AS (SELECT * FROM (VALUES " + ", ".join(map(str, waste.RULES)) + ") t(dataset, original_class, unified_class)), src AS (SELECT dataset, original_class, n_chars % 100 AS source_count FROM waste JOIN documents ON doc_id = length(dataset) + length(original_class))"
+
+
+@query(f"WITH {_WASTE} SELECT unified_class, sum(source_count)::BIGINT AS n FROM src JOIN waste USING (dataset, original_class) GROUP BY 1")
+def waste_taxonomy_rollup(spark, d):
+    rules = waste.taxonomy(spark)
+    counted = rules.select("dataset", "original_class").join(documents(spark, d).select("doc_id", "n_chars"), F.col("doc_id") == F.length("dataset") + F.length("original_class"))
+    src = counted.select(F.upper("dataset").alias("dataset"), "original_class", (F.col("n_chars") % 100).alias("source_count"))
+    return taxonomy.rollup(taxonomy.map_classes(src, rules)).select("unified_class", "n")
+
+
 @query("SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS class_index FROM (SELECT DISTINCT lang FROM documents)")
 def class_index(spark, d):
     from pyspark.sql import Window
@@ -634,10 +645,15 @@ def guidance_lookup(spark, d):
     return served(spark, d).select("vec_id", "prediction", "confidence", "confidence_percent", "guidance")
 
 
-@query(f"WITH {_NAMED} SELECT vec_id, CASE WHEN x >= 90 THEN 'very high' WHEN x >= 70 THEN 'high' WHEN x >= 50 THEN 'moderate' ELSE 'low' END AS long_text, CASE WHEN x >= 90 THEN 'very confident' WHEN x >= 70 THEN 'fairly confident' ELSE 'uncertain' END AS short_text FROM (SELECT vec_id, confidence_percent * 4 AS x FROM named)")
+def _ladder_sql(name: str) -> str:
+    *steps, (_, last) = scores.LADDERS[name]
+    return "CASE " + " ".join(f"WHEN x >= {least} THEN '{text}'" for least, text in steps) + f" ELSE '{last}' END AS {name}_text"
+
+
+@query(f"WITH {_NAMED} SELECT vec_id, {', '.join(map(_ladder_sql, scores.LADDERS))} FROM (SELECT vec_id, confidence_percent * 4 AS x FROM named)")
 def confidence_ladder(spark, d):
     x = F.col("confidence_percent") * 4
-    return served(spark, d).select("vec_id", scores.ladder(x, "long").alias("long_text"), scores.ladder(x, "short").alias("short_text"))
+    return served(spark, d).select("vec_id", *[scores.ladder(x, name).alias(f"{name}_text") for name in scores.LADDERS])
 
 
 @query(f"WITH {_NAMED} SELECT vec_id, CASE WHEN contains(prediction, 'unknown') THEN 'x' WHEN contains(lower(prediction), 'unknown') THEN 'Ask first.' WHEN contains(lower(prediction), 'class') THEN 'See the list.' ELSE 'none' END AS advice FROM named")
@@ -653,3 +669,33 @@ def serving_json(spark, d):
 @query("SELECT round(sum(value * user_id) / sum(user_id), 6) AS mean_loss FROM events")
 def weighted_loss(spark, d):
     return evaluate.weighted_loss(table(spark, d, "events"), "value", "user_id").select(F.round("mean_loss", 6).alias("mean_loss"))
+
+
+@query(f"WITH {_NAMED} SELECT vec_id, u.c AS prediction, u.g AS guidance FROM named JOIN (VALUES {', '.join(str((i, c, g)) for i, (c, g) in enumerate(sorted(waste.GUIDANCE.items())))}) u(i, c, g) ON u.i = named.predicted")
+def waste_guidance(spark, d):
+    rows = scored(spark, d).select("vec_id", F.element_at(F.array(*map(F.lit, sorted(waste.GUIDANCE))), F.col("predicted") + 1).alias("prediction"))
+    return serve.with_guidance(rows, waste.guidance(spark)).select("vec_id", "prediction", "guidance")
+
+
+@query(f"WITH {_REPORT} SELECT metric, label, value FROM (UNPIVOT rounded ON precision, recall, f1, support INTO NAME metric VALUE value)")
+def report_long(spark, d):
+    return report(spark, d).unpivot("label", ["precision", "recall", "f1", "support"], "metric", "value")
+
+
+@query("""
+WITH s AS (SELECT page_id, url, string_split(url, '/')[3] AS host, 10 * (contains(url, 'a'))::INT + 5 * (contains(url, 'grad'))::INT + 3 * (contains(url, 'e'))::INT AS score FROM pages)
+SELECT host, arg_max(url, (score, page_id)) AS best FROM s GROUP BY 1
+""")
+def best_match(spark, d):
+    u = F.col("url")
+    weight = lambda part, w: F.when(F.contains(u, F.lit(part)), w).otherwise(0)
+    rows = table(spark, d, "pages").select("page_id", u, F.try_element_at(F.split(u, "/"), F.lit(3)).alias("host"), (weight("a", 10) + weight("grad", 5) + weight("e", 3)).alias("score"))
+    return rows.groupBy("host").agg(F.max_by("url", F.struct("score", "page_id")).alias("best"))
+
+
+_LINK, _TITLE = r'(?i)href\s*=\s*"([^"]*)"', "(?i)<title>([^<]*)</title>"
+
+
+@query(f"SELECT page_id, len(regexp_extract_all(html, '{_LINK}', 1)) AS n_links, regexp_extract(html, '{_TITLE}', 1) AS title FROM pages")
+def text_patterns(spark, d):
+    return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(_LINK), 1)).cast("long").alias("n_links"), F.regexp_extract("html", _TITLE, 1).alias("title"))

@@ -98,7 +98,7 @@ def class_mapping(spark: SparkSession, text: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """One CSV report with a header; for small results."""
-    (df.select(*columns) if columns else df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    (df.select(*columns) if columns else df).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:

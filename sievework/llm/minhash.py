@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = written(signatures(real, idf), "signatures")
     copies = signed.groupBy("digest").agg(F.min("id").alias("copy_id"), F.first("bands").alias("bands"))
     tasks = written(bucket_tasks(copies.select(F.col("copy_id").alias("id"), "bands").where(F.size("bands") > 0)), "tasks")
-    found = written(compare(tasks.join(real, "id"), idf, least), "links")
+    found = written(compare(tasks.hint("merge").join(real, "id"), idf, least), "links")
     own = signed.select("id", "digest").join(copies.select("digest", "copy_id"), "digest").select("id", "copy_id")
     again = own.where("id != copy_id").select(F.col("id").alias("src"), F.col("copy_id").alias("dst"))
     roots = components(found.select("src", "dst").union(again))

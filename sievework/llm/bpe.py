@@ -54,7 +54,7 @@ class _Memo(dict):
 class Encoder:
     """`encode(text)` gives the ids as bytes, each of type `code` ("H" or "I")."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 900_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -90,7 +90,10 @@ class Encoder:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _token(self, token: str) -> bytes:
-        chars = token.encode().decode("latin-1").translate(self._to_chars)
+        if token.isascii() and token.isprintable():
+            chars = token.replace(" ", self._to_chars[32])
+        else:
+            chars = token.encode().decode("latin-1").translate(self._to_chars)
         return array(self.code, [x.id for x in self.model.tokenize(chars)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
@@ -98,6 +101,11 @@ class Encoder:
             return b""
         if max(piece) >= chr(0x250):
             return self._whole(piece)
+        if piece[0] == " ":  # most are a word, or a word and a mark
+            if piece[1:].isalpha():
+                return self._tokens[piece]
+            if piece[1:-1].isalpha() and piece[-1] in ",.;:!?|":
+                return self._tokens[piece[:-1]] + self._tokens[piece[-1]]
         return b"".join(map(self._tokens.__getitem__, _TOKEN.findall(piece)))
 
     def encode(self, text: str) -> bytes:
@@ -121,7 +129,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, memo: int = 600_000) -> Encoder:
+def encoder(path: str, memo: int = 900_000) -> Encoder:
     """One for each worker process: its memo serves all tasks that the worker runs."""
     if (path, memo) not in _ENCODERS:
         _ENCODERS[path, memo] = Encoder(path, memo)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import pieces, scratch, ship
+from .common import pieces, scratch, ship, written
 
 END_ID = 0
 STRIPE_BYTES = 16 << 20
@@ -69,7 +69,7 @@ def read_ids(spark: SparkSession, path: str, where: str | None = None) -> DataFr
     """(doc_id, ids, part): `where` on doc_id goes down to the stripes; part is the file's number in the order."""
     rows = spark.read.orc(path)
     rows = rows.where(where) if where else rows
-    return rows.withColumn("part", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int"))
+    return rows.withColumn("part", F.regexp_extract(F.input_file_name(), r"part-(\d+)-[^/]*$", 1).cast("int"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -104,4 +104,4 @@ def ids_file(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write all ids to the shared folder, and give each document's place, length and crc as read back."""
     path = scratch(docs.sparkSession, "orc-ids")
     write_ids(docs, path, tokenizer)
-    return positions(digests(read_ids(docs.sparkSession, path)))
+    return positions(written(digests(read_ids(docs.sparkSession, path)), "orc-digests"))

@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import ship
 
@@ -70,6 +71,10 @@ def turn_segments(role: str, text: str, template: dict) -> list[tuple[str, bool]
     ]
 
 
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+
 def format_chats(turns: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     """(conv_id, seq, text, loss, in_order) segments of each conversation, in order within partitions.
 
@@ -85,21 +90,20 @@ def format_chats(turns: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
-    def run(frames):
+    def run(batches):
         now, machine, seq = object(), None, 0
-        for f in frames:
+        for batch in batches:
             out = []
-            for conv, role, text in zip(f["conv_id"].astype(object), f["role"], f["text"], strict=True):
-                conv = None if pd.isna(conv) else conv
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if conv != now:
                     now, machine, seq = conv, Machine(template), 0
                 ok = machine.step(role)
                 for part, loss in turn_segments(role, text, template):
                     out.append((conv, seq, part, loss, ok))
                     seq += 1
-            yield pd.DataFrame(out, columns=["conv_id", "seq", "text", "loss", "in_order"])
+            yield _batch(out, ["conv_id", "seq", "text", "loss", "in_order"], [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.bool_(), pa.bool_()])
 
-    return rows.mapInPandas(run, f"conv_id {kind}, seq long, text string, loss boolean, in_order boolean")
+    return rows.mapInArrow(run, f"conv_id {kind}, seq long, text string, loss boolean, in_order boolean")
 
 
 class Reader:
@@ -150,19 +154,21 @@ def read_back(segments: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     kind = segments.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
 
-    def run(frames):
+    id_type = to_arrow_type(segments.schema["conv_id"].dataType)
+    types = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+
+    def run(batches):
         now, reader = object(), None
-        for f in frames:
+        for batch in batches:
             out = []
-            for conv, text, loss, ok in zip(f["conv_id"].astype(object), f["text"], f["loss"], f["in_order"], strict=True):
-                conv = None if pd.isna(conv) else conv
+            for conv, text, loss, ok in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "loss", "in_order")), strict=True):
                 if conv != now:
                     if reader:
                         out.append((now, *reader.row()))
                     now, reader = conv, Reader(template)
                 reader.feed(text, loss, ok)
-            yield pd.DataFrame(out, columns=names)
+            yield _batch(out, names, types)
         if reader:
-            yield pd.DataFrame([(now, *reader.row())], columns=names)
+            yield _batch([(now, *reader.row())], names, types)
 
-    return segments.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return segments.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -36,9 +36,9 @@ FREQUENT = 95  # words with a class of their own
 SUFFIXES = CLASSES - FREQUENT - 2  # classes of other words
 END, UNSEEN = 0, CLASSES - 1  # the end token, also the context before a text; words not seen
 DIMENSIONS = 24
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 #: Noise samples for each token, tokens in a batch, batches.
-NOISE, BATCH, STEPS = 20, 8192, 600
+NOISE, BATCH, STEPS = 12, 4096, 600
 
 
 def words(text: str | None) -> list[bytes]:
@@ -153,15 +153,16 @@ def train(trigrams: pd.DataFrame, mass: np.ndarray, unseen: float, seed: int = 3
     """The table of log10 probabilities of a log-bilinear model fitted to the trigram counts by noise-contrastive estimation."""
     rng = np.random.default_rng(seed)
     noise = mass / mass.sum()
-    bias = np.log(noise)
-    before, last, vectors = (rng.normal(0, 0.1, (CLASSES, DIMENSIONS)) for _ in range(3))
+    bias = np.log(noise).astype(np.float32)
+    before, last, vectors = (rng.normal(0, 0.1, (CLASSES, DIMENSIONS)).astype(np.float32) for _ in range(3))
     params = [before, last, vectors, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     code, n = trigrams["code"].to_numpy(), trigrams["n"].to_numpy()
     if len(code):
         upto = np.cumsum(n / n.sum())
         noise_upto = np.cumsum(noise)
-        log_noise = np.log(NOISE * noise)
+        log_noise = np.log(NOISE * noise).astype(np.float32)
+        rows, eye = np.arange(BATCH)[:, None], np.eye(CLASSES, dtype=np.float32)
         for step in range(STEPS):
             at = code[np.minimum(np.searchsorted(upto, rng.random(BATCH)), len(code) - 1)]
             a, b, target = at // CLASSES**2, at // CLASSES % CLASSES, at % CLASSES
@@ -170,15 +171,12 @@ def train(trigrams: pd.DataFrame, mass: np.ndarray, unseen: float, seed: int = 3
             context = before[a] + last[b]
             # All classes' scores in one product; those of the target and of the noise are picked.
             score = np.take_along_axis(context @ vectors.T + bias, cand, axis=1) - log_noise[cand]
-            error = 1 / (1 + np.exp(-score))
+            error = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
             error[:, 0] -= 1
             error /= BATCH
-            spread = np.zeros((BATCH, CLASSES))
-            np.add.at(spread, (np.arange(BATCH)[:, None], cand), error)
+            spread = np.bincount((rows * CLASSES + cand).ravel(), error.ravel(), BATCH * CLASSES).reshape(BATCH, CLASSES).astype(np.float32)
             to_context = spread @ vectors
-            grads = [np.zeros_like(before), np.zeros_like(last), spread.T @ context, spread.sum(axis=0)]
-            np.add.at(grads[0], a, to_context)
-            np.add.at(grads[1], b, to_context)
+            grads = [eye[a].T @ to_context, eye[b].T @ to_context, spread.T @ context, spread.sum(axis=0)]
             rate = 0.03 * (1 - step / STEPS) + 0.001
             for p, g, (m1, m2) in zip(params, grads, moments, strict=True):
                 m1 += 0.1 * (g - m1)
@@ -186,7 +184,7 @@ def train(trigrams: pd.DataFrame, mass: np.ndarray, unseen: float, seed: int = 3
                 p -= rate * (m1 / (1 - 0.9 ** (step + 1))) / (np.sqrt(m2 / (1 - 0.99 ** (step + 1))) + 1e-8)
     vectors[UNSEEN] = 0
     bias[UNSEEN] = math.log(unseen)
-    context = (before[:, None] + last[None]).reshape(-1, DIMENSIONS)
+    context = (before[:, None] + last[None]).reshape(-1, DIMENSIONS).astype(np.float64)
     logits = context @ vectors.T + bias
     top = logits.max(axis=1, keepdims=True)
     logits -= top + np.log(np.exp(logits - top).sum(axis=1, keepdims=True))

@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, mix64, own_name, pieces, scratch, ship, word_hashes, written
+from sievework.operators.graph import components
+
+from .common import grams, mix64, own_name, pieces, ship, word_hashes, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -234,32 +236,6 @@ def _edges(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["src", "dst", "similarity"])
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, root) of all ends of edges (src, dst): root is the smallest id that they are linked to.
-
-    Large-star and small-star steps take turns until nothing changes; each
-    round is written to the shared folder.
-    """
-    both = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct()
-    now, last = written(both, "edges"), None
-    for _ in range(most_rounds):
-        around = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        low = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        # Small star: to the smallest neighbour go the node itself and its smaller neighbours.
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        linked = large.join(down, "b")
-        small = linked.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").union(down.select("m", "b")).distinct()
-        now = written(small, "edges")
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError("components did not settle")
-    return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")).union(now.select("a", "a").distinct()).groupBy("id").agg(F.min("root").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, copy_id, class_id) of each document: the smallest ids of its exact copies and of its class.
 

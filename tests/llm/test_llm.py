@@ -475,13 +475,15 @@ def test_lm_probabilities_sum_to_one():
     assert (10 ** lm.Model([], 16, 3, mass, table).share(cls, counts)).tolist() == pytest.approx([6 / 9, 3 / 9, 1, 1])
 
 
-def test_lm_learns_an_order(spark):
+def test_lm_learns_an_order(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 150)
     texts = ["a b c d " * 50] * 40
     got = lm.score_documents(frame(spark, texts)).collect()
     assert all(r.score > 0.5 * r.base_score for r in got)
 
 
-def test_lm_of_odd_texts(spark):
+def test_lm_of_odd_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 20)
     got = {r.doc_id: r for r in lm.score_documents(frame(spark).withColumn("_block", F.lit("clash"))).collect()}
     assert len(got) == len(TEXTS)
     assert got[0].n_tokens == got[1].n_tokens == got[2].n_tokens == 1

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, each with the SQL that must give the same rows.
 
-The reference's image corpus has stand-ins: a document is an image, its source
+An image corpus has stand-ins here: a document is an image, its source
 the dataset, its language the class, its number of characters the size, a
 64-bit SimHash the perceptual hash, the first ten components of an embedding
 the class scores, and days of events the epochs of a training history.

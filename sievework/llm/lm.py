@@ -146,7 +146,7 @@ def class_trigrams(docs: DataFrame, frequent: list[bytes]) -> pd.DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["code", "n"])
 
     rows = docs.where("not held_out").select("text").mapInArrow(run, "code int, n long")
-    return rows.groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
+    return rows.groupBy("code").agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values("code")
 
 
 def train(trigrams: pd.DataFrame, mass: np.ndarray, unseen: float, seed: int = 3) -> np.ndarray:

@@ -270,5 +270,5 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     first = classes.where("doc_id = class_id").select(F.col("doc_id").alias(key))
     # A repeated id is rare: only such rows are numbered, on their ids and texts.
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit("no id"))))
-    kept = keyed.join(first, key, "left_semi")
+    kept = keyed.join(first.hint("merge"), key, "left_semi")
     return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

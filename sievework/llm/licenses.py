@@ -2,7 +2,8 @@
 
 The index holds, for each word of the license templates, its postings
 (template, position). Document frequencies of these words are counted over all
-documents. In a file, the highest-IDF license words that it has are looked up;
+documents and only order the words: in a file, the highest-IDF license words
+that it has are looked up, however common they are;
 each of their occurrences votes for a template at a relative position, and the
 postings of the template's other words are intersected at that position. A
 template counts only if its mandatory key phrases stand there too.
@@ -35,7 +36,6 @@ TEMPLATES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
 ]
 RAREST = 8  # license words looked up in a file
-LEAST_IDF = 1.5
 LEAST_SHARE = 0.6  # of a template's words that must be in place
 DRIFT = 2  # words by which a place may be off
 
@@ -95,7 +95,7 @@ def _phrase_places(index: Index, places, ids, begins, ends):
 
 def match_templates(index: Index, places: np.ndarray, ids: np.ndarray) -> dict[str, float]:
     """Labels of the templates in one text, with the share of their words in place."""
-    rare = [w for w in sorted(set(ids.tolist()), key=lambda w: (-index.idf[w], w)) if index.idf[w] >= LEAST_IDF and w in index.postings][:RAREST]
+    rare = [w for w in sorted(set(ids.tolist()), key=lambda w: (-index.idf[w], w)) if w in index.postings][:RAREST]
     if not rare:
         return {}
     votes: Counter = Counter()
@@ -124,12 +124,11 @@ def scan_texts(index: Index, texts: list[str | None]) -> list[tuple]:
     starts, kinds = _phrase_places(index, places, ids, begins, ends)
     a, b = np.searchsorted(starts, begins), np.searchsorted(starts, ends)
     c, d = np.searchsorted(places, begins), np.searchsorted(places, ends)
-    rare = np.concatenate([[0], np.cumsum(index.idf[ids] >= LEAST_IDF)])
     out = []
     for i in range(len(texts)):
         own = starts[a[i] : b[i]] - begins[i]
         base = {index.phrases[k][1] for k in kinds[a[i] : b[i]].tolist()}
-        more = match_templates(index, places[c[i] : d[i]], ids[c[i] : d[i]]) if rare[d[i]] > rare[c[i]] else {}
+        more = match_templates(index, places[c[i] : d[i]], ids[c[i] : d[i]])
         score = 1.0 if base else max(more.values(), default=0.0)
         out.append((int(ends[i] - begins[i]), len(own), int(own[0]) if len(own) else None, int(own[-1]) if len(own) else None, ",".join(sorted(base)), ",".join(sorted(base | set(more))), score))
     return out

@@ -126,6 +126,16 @@ def test_license_templates(spark):
     assert [got[i] for i in (0, 30, 31, 32, 33, 34)] == ["", "mit", "gpl,gpl-3.0", "apache-2.0", "", "bsd"]
 
 
+@pytest.mark.parametrize("others", [0, 2, 30])
+def test_license_labels_do_not_depend_on_other_rows(spark, others):
+    notices = {"apache-2.0": "Licensed under the Apache License, Version 2.0", "mit": "Released under the MIT License.", "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."}
+    for label, notice in notices.items():
+        for copies in (1, 15, 40):
+            texts = [f"some words {notice} of file {i}" for i in range(copies)] + ["plain prose"] * others
+            got = {r.doc_id: r.labels for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+            assert got == {i: label if i < copies else "" for i in range(copies + others)}
+
+
 # ---------------------------------------------------------------- 3
 
 

@@ -1,18 +1,16 @@
 """License scans with a positional index of rare words (operator 2).
 
-The index holds, for each word of the license templates, its postings
-(template, position). Document frequencies of these words are counted over all
-documents and only order the words: in a file, the highest-IDF license words
-that it has are looked up, however common they are;
-each of their occurrences votes for a template at a relative position, and the
-postings of the template's other words are intersected at that position. A
-template counts only if its mandatory key phrases stand there too.
+The index holds the words of the license templates with their positions. Document frequencies of these words are counted over all
+documents and only order the words. For each template, the word of highest IDF
+of a mandatory key phrase is looked up in a file, however common it is; where
+the phrase stands, the template's other words are intersected at each position
+that the template can have there. A template counts only if all its key
+phrases stand there too.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +33,13 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
 ]
-RAREST = 8  # license words looked up in a file
+STARTS = 4096  # places of a template that are looked at together
 LEAST_SHARE = 0.6  # of a template's words that must be in place
 DRIFT = 2  # words by which a place may be off
 
 
 class Index:
-    """Postings of the template words; a plain object of fixed size that goes to the workers."""
+    """Positions of the template words; a plain object of fixed size that goes to the workers."""
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES):
         self.templates = [(label, text.split(), [k.split() for k in keys]) for label, text, keys in templates]
@@ -53,10 +51,6 @@ class Index:
         self.hashes = hashes[self.order]
         self.templates = [(label, np.array([ids[w] for w in t]), [np.array([ids[w] for w in k]) for k in keys]) for label, t, keys in self.templates]
         self.phrases = [(np.array([ids[w] for w in p]), label) for p, label in self.phrases]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, words, _) in enumerate(self.templates):
-            for q, w in enumerate(words.tolist()):
-                self.postings.setdefault(w, []).append((t, q))
         self.idf = np.zeros(len(self.words))
 
     def occurrences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,30 +87,61 @@ def _phrase_places(index: Index, places, ids, begins, ends):
     return starts[order], labels[order]
 
 
+def _key_places(index: Index, keys, places, ids):
+    """Where the rarest of a template's key phrases stands, looked up by its rarest word."""
+    key = max(keys, key=lambda k: index.idf[k].max())
+    anchor = int(np.argmax(index.idf[key]))
+    at = places[ids == key[anchor]] - anchor
+    return at[_consecutive(places, ids, key, at)]
+
+
+def _starts(index: Index, t: int, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where template t can start in one text.
+
+    With key phrases: near each place of the rarest of them, which must be
+    there. Without: as many of the rarest words vote that a match has one of
+    them at least.
+    """
+    _, words, keys = index.templates[t]
+    if keys:
+        at = _key_places(index, keys, places, ids)
+        return np.unique(at[:, None] - np.arange(-DRIFT, len(words) + DRIFT + 1))
+    enough = len(words) - math.ceil(LEAST_SHARE * len(words)) + 1
+    rare = np.argsort(-index.idf[words], kind="stable")[:enough]
+    return np.unique(np.concatenate([(places[ids == words[q]] - q)[:, None] + np.arange(-DRIFT, DRIFT + 1) for q in rare.tolist()]))
+
+
 def match_templates(index: Index, places: np.ndarray, ids: np.ndarray) -> dict[str, float]:
     """Labels of the templates in one text, with the share of their words in place."""
-    rare = [w for w in sorted(set(ids.tolist()), key=lambda w: (-index.idf[w], w)) if w in index.postings][:RAREST]
-    if not rare:
-        return {}
-    votes: Counter = Counter()
-    for w in rare:
-        for p in places[ids == w].tolist():
-            for t, q in index.postings[w]:
-                votes[t, p - q] += 1
-    there = dict(zip(places.tolist(), ids.tolist(), strict=True))
     found: dict[str, float] = {}
-    for t, start in votes:
-        label, words, keys = index.templates[t]
-        near = [0, *(s * k for k in range(1, DRIFT + 1) for s in (1, -1))]
-        share = sum(any(there.get(start + q + k) == w for k in near) for q, w in enumerate(words.tolist())) / len(words)
-        if share < LEAST_SHARE or share <= found.get(label, 0):
-            continue
-        around = np.arange(start - DRIFT, start + len(words) + DRIFT + 1)
-        if all(_consecutive(places, ids, k, around).any() for k in keys):
-            found[label] = share
+    for t, (label, words, keys) in enumerate(index.templates):
+        starts = _starts(index, t, places, ids)
+        for a in range(0, len(starts), STARTS):
+            some = starts[a : a + STARTS]
+            near = np.arange(-DRIFT, DRIFT + 1)
+            want = some[:, None, None] + np.arange(len(words))[:, None] + near
+            k = np.minimum(np.searchsorted(places, want), len(places) - 1)
+            there = (places[k] == want) & (ids[k] == words[:, None])
+            share = there.any(axis=2).sum(axis=1) / len(words)
+            good = (share >= LEAST_SHARE) & there[:, :, DRIFT].any(axis=1)  # one word at least is exactly in place
+            for i in np.flatnonzero(good)[np.argsort(-share[good], kind="stable")].tolist():
+                if share[i] <= found.get(label, 0):
+                    break
+                around = np.arange(some[i] - DRIFT, some[i] + len(words) + DRIFT + 1)
+                if all(_consecutive(places, ids, x, around).any() for x in keys):
+                    found[label] = float(share[i])
+                    break
     return found
 
 
+def _keyed(index: Index, places, ids, ends):
+    """Which texts may have a template: those with one of its key phrases, or all that have a word if it has none."""
+    found = [places[:0]]
+    for _, words, keys in index.templates:
+        found.append(_key_places(index, keys, places, ids) if keys else places[np.isin(ids, words)])
+    return np.bincount(np.searchsorted(ends, np.concatenate(found), side="right"), minlength=len(ends)) > 0
+
+
 def scan_texts(index: Index, texts: list[str | None]) -> list[tuple]:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of each text."""
     places, ids, ends = index.occurrences(texts)
@@ -124,11 +149,12 @@ def scan_texts(index: Index, texts: list[str | None]) -> list[tuple]:
     starts, kinds = _phrase_places(index, places, ids, begins, ends)
     a, b = np.searchsorted(starts, begins), np.searchsorted(starts, ends)
     c, d = np.searchsorted(places, begins), np.searchsorted(places, ends)
+    keyed = _keyed(index, places, ids, ends)
     out = []
     for i in range(len(texts)):
         own = starts[a[i] : b[i]] - begins[i]
         base = {index.phrases[k][1] for k in kinds[a[i] : b[i]].tolist()}
-        more = match_templates(index, places[c[i] : d[i]], ids[c[i] : d[i]])
+        more = match_templates(index, places[c[i] : d[i]], ids[c[i] : d[i]]) if keyed[i] else {}
         score = 1.0 if base else max(more.values(), default=0.0)
         out.append((int(ends[i] - begins[i]), len(own), int(own[0]) if len(own) else None, int(own[-1]) if len(own) else None, ",".join(sorted(base)), ",".join(sorted(base | set(more))), score))
     return out

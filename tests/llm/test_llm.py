@@ -136,6 +136,17 @@ def test_license_labels_do_not_depend_on_other_rows(spark, others):
             assert got == {i: label if i < copies else "" for i in range(copies + others)}
 
 
+def test_all_notices_of_a_file(spark):
+    bsd = " ".join(t for label, t, _ in licenses.TEMPLATES if label == "bsd")
+    long_mit = next(t for _, t, _ in licenses.TEMPLATES if t.startswith("permission"))
+    texts = [f"{bsd}. Released under the MIT License.", f"{long_mit} {bsd} Licensed under the Apache License, Version 2.0"] + ["Released under the MIT License."] * 20 + ["Licensed under the Apache License, Version 2.0"] * 20
+    texts.append(" ".join(t for _, t, _ in licenses.TEMPLATES))
+    texts.append("the mit license of " * 30_000 + bsd)  # more places than are looked at together
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    everything = {label for label, _, _ in licenses.TEMPLATES}
+    assert got[0] == "bsd,mit" and got[1] == "apache-2.0,bsd,mit" and everything <= set(got[42].split(",")) and got[43] == "bsd,mit"
+
+
 # ---------------------------------------------------------------- 3
 
 

@@ -16,6 +16,7 @@ ORDERS = (1, 2, 3)
 BITS = 15  # of the hashed features of each order
 UNKNOWN = "und"
 MOST_TRAINING_ROWS = 20_000
+LEAST_TRAINING_ROWS = 500  # of a language that has as many
 LEAST_SCORE = 0.5
 
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -89,18 +90,41 @@ class Model:
         return [(self.languages[b], float(s)) if has_letter(t) else (UNKNOWN, 0.0) for t, b, s in zip(texts, best, score, strict=True)]
 
 
+def quota(counts, most_rows: int) -> int:
+    """The rows that a language gives at most, so that all give about most_rows; LEAST_TRAINING_ROWS at least."""
+    left = most_rows
+    for i, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - i)
+        if n > share:
+            return max(share, LEAST_TRAINING_ROWS)
+        left -= n
+    return max(counts, default=0)
+
+
+def draw(rows: DataFrame, per: dict[str, int], most_rows: int, by=None) -> DataFrame:
+    """All rows of a language with no more than the quota, of another about as many as the quota, by a hash of `by` or at random."""
+    most = quota(per.values(), most_rows)
+    rates = [(x, -(-(most << 40) // n)) for x, n in per.items() if n > most]
+    if not rates:
+        return rows
+    at = F.xxhash64(*by).bitwiseAND(F.lit((1 << 40) - 1)) if by else F.floor(F.rand(4) * (1 << 40))
+    rates = rows.sparkSession.createDataFrame(rates, f"lang {rows.schema['lang'].dataType.simpleString()}, _rate long")
+    return rows.join(F.broadcast(rates), "lang", "left").where(F.col("_rate").isNull() | (at < F.col("_rate"))).drop("_rate")
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = MOST_TRAINING_ROWS, seed: str | None = None) -> Model:
-    """Learn from rows with a language: all of them, or about most_rows drawn evenly by a hash of the text.
+    """Learn from rows with a language: all of them, or about most_rows drawn by a quota for each language.
 
-    Rows with a null text or language are left out. The counts are summed on the workers; the
-    driver gets one number for each language and feature.
+    Rows are drawn by a hash of their id (doc_id, if there is one) and text, so
+    copies do not go together. Priors are from all rows. Rows with a null text
+    or language are left out. The counts are summed on the workers; the driver
+    gets one number for each language and feature.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null and text is not null")
+    key = [F.col("doc_id").alias("doc_id")] if "doc_id" in docs.columns else []
+    rows = docs.select(*key, F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null and text is not null")
     per = dict(rows.groupBy("lang").count().collect())
-    n = sum(per.values())
-    if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+    drawn = draw(rows, per, most_rows, [c for c in rows.columns if c != "lang"])
     languages = sorted(per)
     where = {x: i for i, x in enumerate(languages)}
     width = len(ORDERS) << BITS
@@ -120,13 +144,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_rows: in
         yield pd.DataFrame({"lang": i, "feature": j, "n": counts[i, j]})
         yield pd.DataFrame({"lang": np.arange(len(languages)), "feature": -1, "n": docs_of})
 
-    got = rows.mapInPandas(run, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     counts, docs_of = np.zeros((len(languages), width)), np.zeros(len(languages))
-    real, head = got[got.feature >= 0], got[got.feature < 0]
-    counts[real.lang, real.feature] = real.n
-    docs_of[head.lang] = head.n
-    seen = docs_of > 0
-    return Model([x for x, s in zip(languages, seen, strict=True) if s], docs_of[seen], counts[seen])
+
+    def learn(some):
+        got = some.select("text", "lang").mapInPandas(run, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+        real, head = got[got.feature >= 0], got[got.feature < 0]
+        counts[real.lang, real.feature] += real.n
+        docs_of[head.lang] += head.n
+
+    learn(drawn)
+    if missing := [x for x, n in zip(languages, docs_of, strict=True) if not n]:  # all rows of such a language are the same
+        learn(draw(rows.where(F.col("lang").isin(missing)), {x: per[x] for x in missing}, most_rows))
+    return Model(languages, np.array([per[x] for x in languages], float), counts)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

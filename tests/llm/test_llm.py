@@ -202,6 +202,21 @@ def test_bayes_by_hand(spark):
     assert score == pytest.approx(1 / sum(math.exp(x - max(want)) for x in want), rel=1e-6)
 
 
+def test_languages_are_drawn_by_quota(spark):
+    hot = spark.range(30_000).selectExpr("id doc_id", "'the very same text' text", "'en' lang")
+    rare = spark.createDataFrame([(-i, f"der hund nummer {i}", "de") for i in range(1, 4)], hot.schema)
+    same = spark.range(4_000).selectExpr("1L doc_id", "'le chat' text", "'fr' lang")
+    rows = hot.unionAll(rare).unionAll(same)
+    for df in (rows, rows.drop("doc_id")):
+        model = langid.train(df, most_rows=1000)
+        assert model.languages == ["de", "en", "fr"]
+        assert np.exp(model.prior) == pytest.approx(np.array([3, 30_000, 4_000]) / 34_003)
+        assert [x for x, _ in model.predict(["der hund", "the text", "le chat"])] == ["de", "en", "fr"]
+    drawn = Counter(r.lang for r in langid.draw(hot.unionAll(rare), {"en": 30_000, "de": 3}, 1000, ["doc_id", "text"]).collect())
+    assert drawn["de"] == 3 and 850 < drawn["en"] < 1150
+    assert [langid.quota(x, 20_000) for x in ([5, 7], [10, 10**6, 10**9], [10**6] * 1000)] == [7, 9995, 500]
+
+
 def test_language_of_odd_texts(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame(spark)).collect()}
     assert len(got) == len(TEXTS)

@@ -37,8 +37,8 @@ SUFFIXES = CLASSES - FREQUENT - 2  # classes of other words
 END, UNSEEN = 0, CLASSES - 1  # the end token, also the context before a text; words not seen
 DIMENSIONS = 24
 BLOCK_ROWS = 4096
-#: Noise samples for each token, tokens in a batch, batches.
-NOISE, BATCH, STEPS = 12, 4096, 600
+#: Noise samples for each token, passes over all trigram counts.
+NOISE, STEPS = 12, 600
 
 
 def words(text: str | None) -> list[bytes]:
@@ -150,7 +150,11 @@ def class_trigrams(docs: DataFrame, frequent: list[bytes]) -> pd.DataFrame:
 
 
 def train(trigrams: pd.DataFrame, mass: np.ndarray, unseen: float, seed: int = 3) -> np.ndarray:
-    """The table of log10 probabilities of a log-bilinear model fitted to the trigram counts by noise-contrastive estimation."""
+    """The table of log10 probabilities of a log-bilinear model fitted to the trigram counts by noise-contrastive estimation.
+
+    Each step is over all counts and takes the noise by its expectation, so
+    nothing is drawn and every token counts in every step, at any size.
+    """
     rng = np.random.default_rng(seed)
     noise = mass / mass.sum()
     bias = np.log(noise).astype(np.float32)
@@ -159,29 +163,23 @@ def train(trigrams: pd.DataFrame, mass: np.ndarray, unseen: float, seed: int = 3
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     code, n = trigrams["code"].to_numpy(), trigrams["n"].to_numpy()
     if len(code):
-        upto = np.cumsum(n / n.sum())
-        noise_upto = np.cumsum(noise)
+        # Of each context and class: its share of all tokens, and the expected noise beside the context's tokens.
+        true = np.bincount(code, n / n.sum(), CLASSES**3).astype(np.float32).reshape(-1, CLASSES)
+        both = true + NOISE * true.sum(axis=1, keepdims=True) * noise.astype(np.float32)
         log_noise = np.log(NOISE * noise).astype(np.float32)
-        rows, eye = np.arange(BATCH)[:, None], np.eye(CLASSES, dtype=np.float32)
         for step in range(STEPS):
-            at = code[np.minimum(np.searchsorted(upto, rng.random(BATCH)), len(code) - 1)]
-            a, b, target = at // CLASSES**2, at // CLASSES % CLASSES, at % CLASSES
-            fake = np.minimum(np.searchsorted(noise_upto, rng.random((BATCH, NOISE))), CLASSES - 1)
-            cand = np.concatenate([target[:, None], fake], axis=1)
-            context = before[a] + last[b]
-            # All classes' scores in one product; those of the target and of the noise are picked.
-            score = np.take_along_axis(context @ vectors.T + bias, cand, axis=1) - log_noise[cand]
-            error = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-            error[:, 0] -= 1
-            error /= BATCH
-            spread = np.bincount((rows * CLASSES + cand).ravel(), error.ravel(), BATCH * CLASSES).reshape(BATCH, CLASSES).astype(np.float32)
-            to_context = spread @ vectors
-            grads = [eye[a].T @ to_context, eye[b].T @ to_context, spread.T @ context, spread.sum(axis=0)]
+            context = (before[:, None] + last[None]).reshape(-1, DIMENSIONS)
+            score = context @ vectors.T
+            score += bias - log_noise
+            np.clip(score, -30, 30, out=score)
+            error = both / (1 + np.exp(-score)) - true
+            to_context = (error @ vectors).reshape(CLASSES, CLASSES, DIMENSIONS)
+            grads = [to_context.sum(axis=1), to_context.sum(axis=0), error.T @ context, error.sum(axis=0)]
             rate = 0.03 * (1 - step / STEPS) + 0.001
             for p, g, (m1, m2) in zip(params, grads, moments, strict=True):
                 m1 += 0.1 * (g - m1)
                 m2 += 0.01 * (g * g - m2)
-                p -= rate * (m1 / (1 - 0.9 ** (step + 1))) / (np.sqrt(m2 / (1 - 0.99 ** (step + 1))) + 1e-8)
+                p -= rate * (m1 / (1 - 0.9 ** (step + 1))) / (np.sqrt(m2 / (1 - 0.99 ** (step + 1))) + 1e-15)
     vectors[UNSEEN] = 0
     bias[UNSEEN] = math.log(unseen)
     context = (before[:, None] + last[None]).reshape(-1, DIMENSIONS).astype(np.float64)

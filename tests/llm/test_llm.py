@@ -511,6 +511,18 @@ def test_lm_probabilities_sum_to_one():
     assert (10 ** lm.Model([], 16, 3, mass, table).share(cls, counts)).tolist() == pytest.approx([6 / 9, 3 / 9, 1, 1])
 
 
+def test_lm_learns_from_all_counts():
+    import pandas as pd
+
+    at = lambda a, b, c: (a * lm.CLASSES + b) * lm.CLASSES + c
+    n = {at(1, 2, 3): 10**9, at(1, 2, 4): 10**9, at(40, 41, 42): 100}
+    mass = np.ones(lm.CLASSES)
+    for code, x in n.items():
+        mass[code % lm.CLASSES] += x
+    table = lm.train(pd.DataFrame({"code": sorted(n), "n": [n[x] for x in sorted(n)]}), mass, 0.01)
+    assert table[40, 41, 42] > -1 and table[1, 2, 3] == pytest.approx(math.log10(0.5), abs=0.05)
+
+
 def test_lm_learns_an_order(spark, monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 150)
     texts = ["a b c d " * 50] * 40

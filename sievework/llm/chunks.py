@@ -1,12 +1,13 @@
 """BPE encoding and decoding with content-defined chunks (operator 7).
 
-A rolling hash over the last bytes proposes where a text is cut, so that equal
+A rolling hash over the last bytes says where a text is cut, so that equal
 passages fall into equal chunks wherever they stand. What a chunk encodes to
-is kept in a bounded cache of the worker: a chunk shared by several documents
-is encoded and decoded once. Then the joins are repaired: where a cut does not
-fall before white space, the text around it is encoded again, from the last
-sure place before the cut to the first sure one after it, over as many chunks
-as that takes; from there on the ids agree with those of the whole text.
+is kept in a bounded cache of the worker: a chunk shared by documents is
+encoded once there. Then the joins are repaired: a window around each, from
+the last whole pieces of the chunk before it to the first ones of the chunk
+after it, is encoded again, and its first and last piece must have the ids
+that the chunks have for them; from there on the ids agree with those of the
+whole text. A window that does not agree grows to the whole text.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import own_name, pieces, ship
+from .common import own_name, ship
 
 WINDOW = 16  # bytes that the rolling hash sees; a power of two
-MASK_BITS = 6  # one candidate in 2**6 becomes a cut
-MOST_BYTES = 8192
+MASK_BITS = 11  # one byte in 2**11 is a cut
+LEAST_BYTES = 128
+PIECES = 3  # sure cuts that a chunk must have inside, so that the windows of its two joins don't meet
+CACHE_BYTES = 16 << 20  # of each of the cache's two generations
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -36,102 +39,126 @@ def gear(buf: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(texts: list[str]) -> list[list[bytes]]:
-    """The chunks of each text, as UTF-8.
+def cuts(buf: np.ndarray, ends: np.ndarray, sure: np.ndarray, whole: set[int] = frozenset()) -> list[list[int]]:
+    """Where the chunks of each text start and end, in bytes.
 
-    Candidates are white-space bytes after other bytes; one in 2**MASK_BITS is
-    a cut, by the hash of what stands before it. Longer stretches than
-    MOST_BYTES are cut between characters.
+    Cuts are between characters, by the bytes before them alone. One is left
+    out where a chunk beside it would be short, or would have fewer than PIECES
+    of the `sure` places where pieces start; so are all cuts of `whole` texts.
     """
-    data = [t.encode() for t in texts]
-    buf = np.frombuffer(b"".join(data), np.uint8)
-    out: list[list[bytes]] = []
-    if not len(buf):
-        return [[] for _ in data]
-    h = gear(buf)
-    space = (buf == 0x20) | (buf == 0x0A)
-    wanted = np.zeros(len(buf), bool)
-    wanted[1:] = space[1:] & ~space[:-1] & (h[:-1] >> np.uint32(32 - MASK_BITS) == 0)
-    at = np.flatnonzero(wanted)
-    ends = np.cumsum([len(x) for x in data])
-    low = np.searchsorted(at, ends - [len(x) for x in data], side="right")
-    high = np.searchsorted(at, ends)
-    for x, end, a, b in zip(data, ends, low, high, strict=True):
-        base, own, last = end - len(x), [], 0
-        for k in [*(at[a:b] - base).tolist(), len(x)]:
-            while k - last > MOST_BYTES:
-                cut = last + MOST_BYTES
-                while x[cut] & 0xC0 == 0x80:
-                    cut -= 1
-                own.append(x[last:cut])
-                last = cut
-            if k > last:
-                own.append(x[last:k])
-            last = k
-        out.append(own)
+    at = np.flatnonzero(gear(buf) >> np.uint32(32 - MASK_BITS) == 0) + 1
+    at = at[at < len(buf)]
+    while len(late := np.flatnonzero(buf[at] & 0xC0 == 0x80)):  # to the start of a character
+        at[late] += 1
+        at = at[at < len(buf)]
+    at = np.unique(at)
+    before = np.searchsorted(sure, at)  # sure places before each cut
+    low, high = np.searchsorted(at, ends[:-1] + max(WINDOW, LEAST_BYTES)), np.searchsorted(at, ends[1:] - LEAST_BYTES)
+    first, last = np.searchsorted(sure, ends[:-1], side="right"), np.searchsorted(sure, ends[1:])
+    at, before = at.tolist(), before.tolist()
+    out = []
+    for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        own, seen = [a], int(first[k])
+        if k not in whole:
+            for i in range(int(low[k]), int(high[k])):
+                after = before[i + 1] if i + 1 < int(high[k]) else int(last[k])
+                if at[i] - own[-1] >= LEAST_BYTES and before[i] - seen >= PIECES and after - before[i] > PIECES:
+                    own.append(at[i])
+                    seen = before[i] + 1  # a sure place at the cut itself does not count
+        out.append([*own, b] if b > a else [a])
     return out
 
 
-class _Chunk:
-    __slots__ = ("decimal", "decoded", "n")
+class Chunk:
+    """Ids, and the number of them up to the start and the end of the second piece, and of the last piece but one."""
 
-    def __init__(self, ids: list[int], coder: bpe.Encoder):
-        self.n = len(ids)
-        self.decimal = ",".join(map(str, ids))
-        self.decoded = coder.decode_bytes(ids)
+    __slots__ = ("ids", "head", "second", "tail", "last")
 
-
-class Reuse:
-    """A cache in two generations: what was not asked for again goes first."""
-
-    def __init__(self, coder: bpe.Encoder, most: int = 8_000):
-        self.coder, self.most, self.young, self.old = coder, most, {}, {}
-        self.hits = self.misses = 0
-
-    def get(self, text: bytes) -> _Chunk:
-        found = self.young.get(text)
-        if found is None:
-            found = self.old.get(text)
-            self.hits += found is not None
-            if found is None:
-                self.misses += 1
-                found = _Chunk(self.coder.ids(text.decode()), self.coder)
-            if len(self.young) >= self.most:
-                self.old, self.young = self.young, {}
-            self.young[text] = found
-        else:
-            self.hits += 1
-        return found
+    def __init__(self, ids, head, second, tail, last):
+        self.ids, self.head, self.second, self.tail, self.last = ids, head, second, tail, last
 
 
-def _sure(before: bytes, after: bytes) -> bool:
-    """Is a cut between the two known to leave all ids as they are?"""
-    return after[:1] in b" \n" and before.decode()[-1] not in bpe.SPACE
+class Reuse:
+    """Chunks by their bytes, in two generations: what was not asked for again goes first."""
 
+    def __init__(self, coder: bpe.Encoder, most: int = CACHE_BYTES):
+        self.coder, self.most, self.young, self.old, self.size = coder, most, {}, {}, 0
+        self.hits = self.misses = self.hit_bytes = self.bytes = 0
 
-def joined(chunks: list[bytes], cache: Reuse) -> list[_Chunk]:
-    """Encoded parts whose ids, one after the other, are those of the whole text."""
-    out, carry = [], ""
-    for i, chunk in enumerate(chunks):
-        body = chunk
-        if carry or (i and not _sure(chunks[i - 1], chunk)):
-            text = chunk.decode()
-            cut = bpe.first_cut(text)
-            if cut is None:
-                carry += text
+    def get(self, texts: list[bytes]) -> list[Chunk]:
+        """The chunks of these texts; those that aren't there are encoded together, each once."""
+        found: dict[bytes, Chunk | None] = {}
+        for t in texts:
+            self.bytes += len(t)
+            if t in found:
+                self.hits += 1
+                self.hit_bytes += len(t)
                 continue
-            carry += text[:cut]
-            out.append(_Chunk(cache.coder.ids(carry), cache.coder))
-            carry, body = "", text[cut:].encode()
-        if i + 1 < len(chunks) and not _sure(chunk, chunks[i + 1]):
-            text = body.decode()
-            cut = bpe.last_cut(text) or 0
-            body, carry = text[:cut].encode(), text[cut:]
-        if body:
-            out.append(cache.get(body))
-    if carry:
-        out.append(_Chunk(cache.coder.ids(carry), cache.coder))
-    return out
+            c = self.young.get(t) or self.old.get(t)
+            found[t] = c
+            if c is None:
+                self.misses += 1
+            else:
+                self.hits += 1
+                self.hit_bytes += len(t)
+        new = [t for t, c in found.items() if c is None]
+        for t, c in zip(new, self._encode(new), strict=True):
+            found[t] = c
+        for t, c in found.items():
+            if t not in self.young and len(t) < self.most // 64:
+                self.size += len(t) + c.ids.nbytes + 300
+                self.young[t] = c
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        return [found[t] for t in texts]
+
+    def _encode(self, texts: list[bytes]):
+        ends = np.cumsum([0, *map(len, texts)])
+        ids, start, count, bounds = self.coder.pieces(np.frombuffer(b"".join(texts), np.uint8), ends)
+        total = np.concatenate([[0], np.cumsum(count)])
+        first = np.searchsorted(start, ends)
+        for k in range(len(texts)):
+            a, b, zero = first[k], first[k + 1], bounds[k]
+            at = [int(total[min(max(x, a), b)] - zero) for x in (a + 1, a + 2, b - 2, b - 1)]
+            yield Chunk(ids[zero : bounds[k + 1]].copy(), *at)
+
+
+def encode(cache: Reuse, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a slice, from chunks, and where each text's ids start and end."""
+    coder = cache.coder
+    if not coder.splits or not len(buf):
+        return coder.encode(buf, ends)
+    raw = buf.tobytes()
+    whole = {k for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if any(x in raw[a:b] for x in coder.added)} if any(x in raw for x in coder.added) else set()
+    sure = np.flatnonzero(bpe.cut_places(buf))
+    places = cuts(buf, ends, sure, whole)
+    parts = cache.get([raw[a:b] for own in places for a, b in zip(own, own[1:], strict=False)])
+    joins = np.array([x for own in places for x in own[1:-1]], np.int64)
+    # A window has two pieces on each side; the outer ones must have the ids that they have in the chunks.
+    low, high = sure[np.searchsorted(sure, joins) - 2], sure[np.searchsorted(sure, joins, side="right") + 1] if len(joins) else joins
+    sizes = high - low
+    window_ids, at = coder.encode(bpe.gather(buf, low, sizes), np.concatenate([[0], np.cumsum(sizes)]))
+    out, total, bounds, seam, n = [np.empty(0, coder.code)], 0, [0], 0, 0
+    for k, own in enumerate(places):
+        texts_parts = []
+        chunks = parts[n : n + len(own) - 1]
+        n += len(chunks)
+        agreed = True
+        for i, c in enumerate(chunks):
+            first, last = i == 0, i + 1 == len(chunks)
+            texts_parts.append(c.ids[0 if first else c.second : len(c.ids) if last else c.tail])
+            if not last:
+                w, right = window_ids[at[seam] : at[seam + 1]], chunks[i + 1]
+                left_ids, right_ids = c.ids[c.tail : c.last], right.ids[right.head : right.second]
+                agreed &= w[: len(left_ids)].tobytes() == left_ids.tobytes() and w[len(w) - len(right_ids) :].tobytes() == right_ids.tobytes()
+                texts_parts.append(w)
+                seam += 1
+        if not agreed:
+            texts_parts = [np.array(coder.whole(raw[own[0] : own[-1]].decode()), coder.code)]
+        out += texts_parts
+        total += sum(map(len, texts_parts))
+        bounds.append(total)
+    return np.concatenate(out), np.array(bounds)
 
 
 _CACHES: dict[str, Reuse] = {}
@@ -139,23 +166,26 @@ _CACHES: dict[str, Reuse] = {}
 
 def _cache(path: str) -> Reuse:
     if path not in _CACHES:
-        _CACHES[path] = Reuse(bpe.encoder(path, 300_000))
+        _CACHES[path] = Reuse(bpe.encoder(path))
     return _CACHES[path]
 
 
-def round_trip(texts: list[str | None], path: str) -> list[tuple[int, str, bytes]]:
-    """For each text: number of ids, the ids as decimals joined by commas, and the decoded UTF-8."""
-    cache, out = _cache(path), []
-    if not cache.coder.splits:
-        for t in texts:
-            ids = cache.coder.ids(t or "")
-            out.append((len(ids), ",".join(map(str, ids)), cache.coder.tokenizer.decode(ids, skip_special_tokens=False).encode()))
-        return out
-    for a, b in pieces(texts):
-        for chunks in cuts([t or "" for t in texts[a:b]]):
-            parts = joined(chunks, cache)
-            out.append((sum(p.n for p in parts), ",".join(p.decimal for p in parts), b"".join(p.decoded for p in parts)))
-    return out
+def round_trip(column: pa.Array, path: str):
+    """Slices of a string column, as (from, to, ids, bounds, decoded, bounds): a null text is an empty one."""
+    cache = _cache(path)
+    buf, ends = bpe.utf8(column)
+    for a, b in bpe.slices(ends):
+        ids, bounds = encode(cache, buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+        if cache.coder.splits:
+            yield a, b, ids, bounds, *cache.coder.decode(ids, bounds)
+        else:
+            back = [cache.coder.tokenizer.decode(ids[x:y].tolist(), skip_special_tokens=False).encode() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield a, b, ids, bounds, np.frombuffer(b"".join(back), np.uint8), np.cumsum([0, *map(len, back)])
+
+
+def _hashes(buf: np.ndarray, bounds: np.ndarray, last: int = 0) -> pa.Array:
+    """The sha256 of each stretch without its `last` bytes."""
+    return pa.array([hashlib.sha256(buf[a : max(a, b - last)]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests: bool = True) -> DataFrame:
@@ -165,8 +195,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests:
     decimal ids and of the decoded UTF-8) or, without `digests`, ids
     (array<int>) and decoded. A null or empty text has no ids and decodes to
     the empty text. Repeated rows stay; other columns stay as they are, and
-    columns of docs with the names of added ones give way to these. A text of
-    any length is encoded whole.
+    columns of docs with the names of added ones give way to these; an empty
+    table stays empty. A text of any length is encoded whole. Memory holds one
+    slice of a batch besides the batch.
     """
     ship(docs.sparkSession)
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"
@@ -177,13 +208,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests:
 
     def run(batches):
         for batch in batches:
-            got = round_trip(batch.column(own).to_pylist(), tokenizer)
-            left = [batch.column(c) for c in keep]
-            n = pa.array([x[0] for x in got], pa.int64())
-            if digests:
-                more = [pa.array([hashlib.sha256(x[1].encode()).hexdigest() for x in got], pa.string()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in got], pa.string())]
-            else:
-                more = [pa.array([[int(i) for i in x[1].split(",")] if x[1] else [] for x in got], pa.list_(pa.int32())), pa.array([x[2].decode(errors="replace") for x in got], pa.string())]
-            yield pa.RecordBatch.from_arrays([*left, n, *more], names=[*keep, *made])
+            for a, b, ids, bounds, decoded, ends in round_trip(batch.column(own), tokenizer):
+                left = [batch.column(c)[a:b] for c in keep]
+                if digests:
+                    decimal, at = bpe.encoder(tokenizer).decimals(ids, bounds)
+                    more = [_hashes(decimal, at, 1), _hashes(decoded, ends)]
+                else:
+                    more = [
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                        pa.StringArray.from_buffers(b - a, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(decoded))),
+                    ]
+                yield pa.RecordBatch.from_arrays([*left, pa.array(np.diff(bounds)), *more], names=[*keep, *made])
 
     return docs.mapInArrow(run, full)

@@ -17,43 +17,58 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import pieces, scratch, ship, written
+from .common import scratch, ship, written
 
 END_ID = 0
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
+FILE_BYTES = 256 << 20  # of documents that a file has at most, about
+MOST_FILES = 1_000_000
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, ids array<int>): the ids of each whole text, then end_id. A null text counts as empty."""
+    """(doc_id, at, ids array<int>): the ids of each whole text, then end_id, and how many ids the partition has before them.
+
+    A null text counts as empty.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
-        coder = bpe.encoder(tokenizer)
-        end = np.array([] if end_id is None else [end_id], coder.code).tobytes()
+        coder, done = bpe.encoder(tokenizer), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in pieces(texts):
-                coded = [coder.encode(t or "") + end for t in texts[a:b]]
-                ids = np.frombuffer(b"".join(coded), coder.code).astype(np.int32)
-                ends = np.cumsum([0, *(len(x) // coder.width for x in coded)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+            buf, ends = bpe.utf8(batch.column("text"))
+            for a, b in bpe.slices(ends):
+                ids, bounds = coder.encode(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                if end_id is not None:
+                    ids, own = np.empty(len(ids) + b - a, np.int32), ids
+                    bounds = bounds + np.arange(b - a + 1)
+                    is_end = np.zeros(len(ids), bool)
+                    is_end[bounds[1:] - 1] = True
+                    ids[is_end], ids[~is_end] = end_id, own
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(bounds[:-1] + done), lists], names=["doc_id", "at", "ids"])
+                done += len(ids)
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, at long, ids array<int>")
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, files: int | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> None:
     """Write the ids of all documents as ORC files whose names ascend with the document ids.
 
-    Null ids of documents come first, rows with equal ids in the order of
-    their texts; an empty table gives files without rows.
+    Null ids of documents come first; rows with equal ids are in the order of a
+    hash of their texts, rows that are equal in both in any order. So a range
+    of a file can start or end between rows of one id, and no id, however
+    frequent, is one task's. There are as many files as shuffle partitions, or
+    more, so that a file has about FILE_BYTES of documents. An empty table
+    gives files without rows. Further columns are not used.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Dealt out by id alone, so equal ids stay in one file; the texts are sorted before they are encoded.
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), MOST_FILES))
+    keys = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(files, *keys, F.spark_partition_id()).sortWithinPartitions(*keys)
     (
         encode_ids(ordered, tokenizer, end_id=end_id)
         .write.mode("overwrite")
@@ -66,42 +81,45 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, files: int | None = No
 
 
 def read_ids(spark: SparkSession, path: str, where: str | None = None) -> DataFrame:
-    """(doc_id, ids, part): `where` on doc_id goes down to the stripes; part is the file's number in the order."""
+    """(doc_id, at, ids, part): `where` on doc_id goes down to the stripes; part is the file's number in the order, at counts the ids before in the file."""
     rows = spark.read.orc(path)
     rows = rows.where(where) if where else rows
     return rows.withColumn("part", F.regexp_extract(F.input_file_name(), r"part-(\d+)-[^/]*$", 1).cast("int"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """(doc_id, part, n_tokens, ids_crc32) of what read_ids gives; the crc is over little-endian 32-bit ids."""
+    """(doc_id, part, at, n_tokens, ids_crc32) of what read_ids gives; the crc is over little-endian 32-bit ids."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column("ids")
             offsets = lists.offsets.to_numpy()
             ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            crc = [zlib.crc32(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32"])
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "part", "at")), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "at", "n_tokens", "ids_crc32"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "part", "ids").mapInArrow(run, f"doc_id {kind}, part int, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "part", "at", "ids").mapInArrow(run, f"doc_id {kind}, part int, at long, n_tokens long, ids_crc32 long")
 
 
 def positions(found: DataFrame) -> DataFrame:
-    """Adds start: the number of ids in all documents before it.
+    """Adds start: the number of ids in all documents before it, by the files' order.
 
-    Each part's total is summed first; only these totals, one row for a file,
-    are put in one order. Within a part the rows before a row are summed.
+    Only the files' totals, one row each, are put in one order; within a file
+    the place was written beside the ids.
     """
-    totals = found.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    totals = found.groupBy("part").agg(F.max(F.col("at") + F.col("n_tokens")).alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    rows = found.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(before, "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def ids_file(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write all ids to the shared folder, and give each document's place, length and crc as read back."""
+    """Write all ids to the shared folder, and give each document's place, length and crc as read back.
+
+    One row for each row of docs: repeated rows and ids each have their own
+    place, null ids come first, a null or empty text has the end id alone, an
+    empty table gives no rows.
+    """
     path = scratch(docs.sparkSession, "orc-ids")
     write_ids(docs, path, tokenizer)
     return positions(written(digests(read_ids(docs.sparkSession, path)), "orc-digests"))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -336,32 +337,74 @@ def test_changed_passages_are_found(spark):
 # ---------------------------------------------------------------- 7
 
 
-def test_memo_encoder_gives_the_library_s_ids(tokenizer, docs):
+def coded(texts):
+    buf, ends = bpe.utf8(pa.array(texts, pa.string()))
+    return bpe.encoder(BPE).encode(buf, ends)
+
+
+def test_table_encoder_gives_the_library_s_ids(tokenizer, docs):
     rng = random.Random(3)
-    coder = bpe.Encoder(BPE, memo=50)
-    texts = [random_text(rng, rng.randint(0, 40)) for _ in range(3000)] + [r.text for r in docs.limit(50).collect()] + [t for t in TEXTS if t]
-    assert [coder.ids(t) for t in texts] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = [random_text(rng, rng.randint(0, 40)) for _ in range(3000)] + [r.text for r in docs.limit(50).collect()] + [t for t in TEXTS if t] + ["a", "a\x00", "a\x00\x00", ""]
+    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # new pieces, then known ones
+        ids, bounds = coded(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
+
+
+def test_full_table_starts_anew(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_PIECES", 20)
+    coder, rng = bpe.Encoder(BPE), random.Random(11)
+    for _ in range(20):
+        text = " ".join(f"w{rng.randint(0, 60)}" for _ in range(50))
+        assert coder.ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert coder.table.pieces <= 20 + 50
+
+
+def round_trips(texts):
+    out = []
+    for a, b, ids, bounds, decoded, ends in chunks.round_trip(pa.array(texts, pa.string()), BPE):
+        out += [(ids[bounds[k] : bounds[k + 1]].tolist(), bytes(decoded[ends[k] : ends[k + 1]]).decode()) for k in range(b - a)]
+    return out
 
 
-@pytest.mark.parametrize("most", [7, 20, 8192])
-def test_chunked_ids_are_those_of_whole_texts(tokenizer, monkeypatch, most):
-    monkeypatch.setattr(chunks, "MOST_BYTES", most)
+@pytest.mark.parametrize("bits, least", [(3, 1), (6, 1), (11, 128)])
+def test_chunked_ids_are_those_of_whole_texts(tokenizer, monkeypatch, bits, least):
+    monkeypatch.setattr(chunks, "MASK_BITS", bits)
+    monkeypatch.setattr(chunks, "LEAST_BYTES", least)
+    monkeypatch.setattr(chunks, "_CACHES", {})
     rng = random.Random(4)
-    shared = random_text(rng, 200)
-    texts = [random_text(rng, rng.randint(0, 300)) + shared + random_text(rng, 50) for _ in range(60)] + [t for t in TEXTS if t] + ["x" * 30_000, "漢" * 9000]
-    for t, (n, decimal, decoded) in zip(texts, chunks.round_trip(texts, BPE), strict=True):
-        ids = tokenizer.encode(t, add_special_tokens=False).ids
-        assert (n, decimal, decoded.decode()) == (len(ids), ",".join(map(str, ids)), tokenizer.decode(ids, skip_special_tokens=False))
+    shared = random_text(rng, 200).replace("<|endoftext|>", "")
+    texts = [random_text(rng, rng.randint(0, 300)) + shared + random_text(rng, 50) for _ in range(60)]
+    texts += [t.replace("<|endoftext|>", "") for t in texts] + [*TEXTS, "x" * 30_000, "漢" * 9000, "ab cd " * 5000, "a b"]
+    got = round_trips(texts)
+    assert len(got) == len(texts)
+    for t, (ids, back) in zip(texts, got, strict=True):
+        want = tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert ids == want and back == tokenizer.decode(want, skip_special_tokens=False) == (t or "")
+
+
+def test_windows_that_disagree_grow(tokenizer, monkeypatch):
+    monkeypatch.setattr(chunks, "_CACHES", {})
+    made = chunks.Reuse._encode
+
+    def wrong(self, texts):
+        for c in made(self, texts):
+            c.ids = c.ids + 1  # no window can agree with these
+            yield c
+
+    monkeypatch.setattr(chunks.Reuse, "_encode", wrong)
+    rng = random.Random(5)
+    text = " ".join(f"word{rng.randint(0, 999)}" for _ in range(3000))
+    assert round_trips([text])[0][0] == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_chunks_are_shared():
-    cache = chunks.Reuse(bpe.encoder(BPE))
+def test_chunks_are_shared(monkeypatch):
+    monkeypatch.setattr(chunks, "_CACHES", {})
     rng = random.Random(5)
-    passage = " ".join(f"word{rng.randint(0, 999)}" for _ in range(2000))
-    for k in range(3):
-        for own in chunks.cuts([f"start {k} {passage} end {k}"]):
-            chunks.joined(own, cache)
-    assert cache.hits > cache.misses
+    passage = " ".join(f"word{rng.randint(0, 999)}" for _ in range(4000))
+    round_trips([f"start {k} {passage} end {k}" for k in range(3)])
+    cache = chunks._CACHES[BPE]
+    assert cache.hits > cache.misses and cache.hit_bytes > 0.5 * cache.bytes
 
 
 def test_encode_decode_frame(spark, tokenizer):
@@ -545,23 +588,37 @@ def test_lm_of_odd_texts(spark, monkeypatch):
 
 
 def check_ids(df, tokenizer, got):
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in df.collect()))
-    start, want = 0, []
-    for has, i, _, t in rows:
-        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
-        want.append((i if has else None, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    key = lambda x: (x[1], x[2])
-    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=key) == want
+    """Places have no gaps, ids of documents ascend along them, and each row of df is there."""
+    rows = Counter((r.doc_id, tuple([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0])) for r in df.collect())
+    want = Counter((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for (i, ids), n in rows.items() for _ in range(n))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    at, last = 0, (False, 0)
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at and (r.doc_id is not None, r.doc_id or 0) >= last
+        at, last = at + r.n_tokens, (r.doc_id is not None, r.doc_id or 0)
 
 
 def test_ids_come_back_from_orc(spark, docs, tokenizer):
     check_ids(docs, tokenizer, orc_ids.ids_file(docs, BPE).collect())
-    odd = frame(spark).withColumn("ids", F.lit("clash")).withColumn("part", F.lit("clash"))
+    odd = frame(spark).withColumn("ids", F.lit("clash")).withColumn("part", F.lit("clash")).withColumn("at", F.lit("clash"))
     check_ids(odd, tokenizer, orc_ids.ids_file(odd, BPE).collect())
     assert orc_ids.ids_file(frame(spark, []), BPE).count() == 0
 
 
+def test_places_of_repeated_ids_are_those_in_the_files(spark, tokenizer):
+    rows = [(1, "b"), (1, "a a a a a"), (1, "b"), (2, "c d"), (None, "n"), (None, "n n"), (1, None)] + [(7, f"hot {k % 3}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = orc_ids.scratch(spark, "test")
+    orc_ids.write_ids(df, path, BPE, files=5)
+    read = orc_ids.read_ids(spark, path)
+    assert read.where("doc_id = 7").select("part").distinct().count() > 1  # one id is not one task's
+    stream = [i for _, _, ids in sorted((r.part, r.at, r.ids) for r in read.collect()) for i in ids]
+    got = orc_ids.positions(orc_ids.digests(read)).collect()
+    check_ids(df, tokenizer, got)
+    for r in got:
+        assert zlib.crc32(np.array(stream[r.start : r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32
+
+
 def test_orc_files_prune(spark, docs, tmp_path):
     path = str(tmp_path / "ids")
     orc_ids.write_ids(docs, path, BPE, files=4)

@@ -1,20 +1,27 @@
 """MinHash near-duplicates (operator 8).
 
 Texts become weighted sets of shingles of five words. A shingle weighs its
-count times the mean IDF of its words; document frequencies are counted over
-all documents, by a hash of the word into a table of fixed size. Improved
-consistent weighted sampling draws samples that agree with the probability of
-the weighted Jaccard similarity; bands of samples make buckets. Texts that
-share a bucket are compared by their exact weighted Jaccard similarity, and
-links of 0.8 or more make classes.
+count times the mean IDF of its words. Improved consistent weighted sampling
+draws samples that agree with the probability of the weighted Jaccard
+similarity; bands of samples make buckets. Texts that share a bucket are
+compared by their exact weighted Jaccard similarity, and links of 0.8 or more
+make classes.
+
+Only different texts are signed into buckets, compared and put together:
+exact copies, however many, are one node from the start, and get the class of
+their text at the end.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievework.operators.graph import components
 
@@ -23,8 +30,11 @@ from .common import grams, mix64, own_name, pieces, ship, word_hashes, written
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 12, 4
-DF_BITS = 16
-BLOCK = 2048  # different texts of a bucket that one task compares with each other or another block
+DF_BITS = 18
+RAREST = 256  # a word in one of so many documents, or fewer, has the highest IDF
+BLOCK = 512  # different texts of a bucket that one task compares with each other or with another block
+BLOCK_WORDS = 1 << 20  # and their words
+SLICE = 1 << 19  # characters of text at once
 _T = 1 << 16
 _TABLES: list[tuple] = []
 
@@ -41,40 +51,55 @@ def _tables() -> tuple:
     return _TABLES[0]
 
 
+def buckets(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
+
+
 def document_words(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """In how many of the texts each word bucket is."""
     text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    pair = np.unique((text << DF_BITS) | (h >> np.uint64(64 - DF_BITS)).astype(np.int64))
+    pair = np.unique((text << DF_BITS) | buckets(h))
     return np.bincount(pair & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
 
 
+def idf_of(df: np.ndarray, n: float) -> np.ndarray:
+    """From 2 for words in one of RAREST documents or fewer down to 1 for words in all.
+
+    Many rare words share a bucket when there are very many words; what a
+    bucket has from them is about the median of all buckets, and is taken off.
+    So the IDF of a word depends on the share of documents that have it, and
+    not on how many documents or rare words there are.
+    """
+    own = np.maximum(df - np.median(df), 0)
+    return (1 + np.clip(np.log((n + 1) / (own + 1)) / math.log(RAREST), 0, 1)).astype(np.float32)
+
+
 def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """1 + ln((n + 1) / (df + 1)) / ln(n + 1) of each word bucket, over all documents."""
+    """idf_of each word bucket; document frequencies are counted over all documents with a text."""
     ship(docs.sparkSession)
 
     def run(batches):
         df, n = np.zeros(1 << DF_BITS, np.int64), 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            n += len(texts)
-            for a, b in pieces(texts):
+            n += sum(t is not None for t in texts)
+            for a, b in pieces(texts, SLICE):
                 df += document_words(*word_hashes(texts[a:b]))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], names=["word", "n"])
 
     # At most a row for each bucket comes to the driver.
-    got = docs.select(F.col(f"`{text}`")).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(F.col(f"`{text}`")).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     df = np.zeros(1 << DF_BITS)
     real = got[got.word >= 0]
     df[real.word] = real.n
-    n = float(got.n[got.word < 0].sum())
-    return (1 + np.log((n + 1) / (df + 1)) / max(1.0, np.log(n + 1))).astype(np.float32)
+    return idf_of(df, float(got.n[got.word < 0].sum()))
 
 
 def shingles(texts: list[str | None], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """The sorted shingle hashes of each text and their weights. A text of fewer words has one shingle, a wordless one none."""
     h, ends = word_hashes(texts)
-    w = idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+    w = idf[buckets(h)]
     g = grams(h, SHINGLE)
     total = np.concatenate([[0], np.cumsum(w, dtype=np.float64)])
     mean = ((total[SHINGLE:] - total[:-SHINGLE]) / SHINGLE).astype(np.float32) if len(w) >= SHINGLE else np.empty(0, np.float32)
@@ -104,8 +129,9 @@ def sample(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
     for a in range(0, len(mult), step):
         x = ids * mult[a : a + step, None]
         rate = r[x >> np.uint64(48)]
-        t = np.floor(logs / rate + beta[(x >> np.uint64(16)) & np.uint64(0xFFFF)])
-        cost = c[(x >> np.uint64(32)) & np.uint64(0xFFFF)] - rate * (t - beta[(x >> np.uint64(16)) & np.uint64(0xFFFF)] + 1)
+        shift = beta[(x >> np.uint64(16)) & np.uint64(0xFFFF)]
+        t = np.floor(logs / rate + shift)
+        cost = c[(x >> np.uint64(32)) & np.uint64(0xFFFF)] - rate * (t - shift + 1)
         at = cost.argmin(axis=1)
         keys[a : a + step] = mix64(ids[at] ^ t[np.arange(len(at)), at].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     rows = keys.reshape(BANDS, ROWS)
@@ -167,108 +193,178 @@ def links(nodes: list, sets: list[tuple[np.ndarray, np.ndarray]], least: float =
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(id, digest, bands) of each row of (id, text): the text's md5 and its band keys."""
+    """(id, digest, words, bands) of each row of (id, text): the text's md5, its number of words and its band keys."""
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in pieces(texts):
-                keys = [sample(*x) for x in shingles(texts[a:b], sent.value)]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("digest")[a:b], pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "bands"])
+            for a, b in pieces(texts, SLICE):
+                sets = shingles(texts[a:b], sent.value)
+                keys, sizes = [sample(*x) for x in sets], [len(x[0]) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("digest")[a:b], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "words", "bands"])
+
+    return docs.select("id", digest().alias("digest"), "text").mapInArrow(run, f"id {_type(docs, 'id')}, digest binary, words long, bands array<long>")
+
+
+def digest(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.col(f"`{text}`")))
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def node(copy_id: str = "copy_id", own: str = "digest") -> Column:
+    """A text as a node: nodes are in the order of their smallest ids, those without any last."""
+    return F.struct(F.col(copy_id).isNull().alias("no_id"), F.col(copy_id).alias("copy_id"), F.col(own).alias("digest"))
+
+
+def bucket_members(texts: DataFrame) -> DataFrame:
+    """(bucket, node, words) of the buckets with several different texts; buckets with the same members are one."""
+    members = texts.where(F.size("bands") > 0).select("node", "words", F.posexplode("bands").alias("band", "key")).select("node", "words", F.xxhash64("band", "key").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("words").alias("all_words"), F.bit_xor(F.xxhash64("node.digest")).alias("x"), F.bit_xor(F.xxhash64("node.digest", F.lit(1))).alias("y"), F.min("node").alias("leader")).where("n > 1")
+    sizes = sizes.groupBy("n", "all_words", "x", "y", "leader").agg(F.min("bucket").alias("bucket"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all_words") / BLOCK_WORDS)).cast("int")
+    return members.join(sizes.select("bucket", "leader", blocks.alias("blocks")), "bucket")
+
 
-    return docs.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(run, "id long, digest binary, bands array<long>")
+def _share(blocks, seed: int) -> Column:
+    return F.pmod(F.xxhash64("node.digest", F.lit(seed)), blocks).cast("int")
 
 
-def bucket_tasks(reps: DataFrame) -> DataFrame:
-    """(task, id): which different texts are to be compared with each other.
+def first_tasks(members: DataFrame) -> DataFrame:
+    """(task, node): each bucket is a task; one of several blocks is a task for each, with the bucket's leader in all of them."""
+    own = members.select("node", F.xxhash64("bucket", _share(F.col("blocks"), 2)).alias("task"))
+    led = members.where("blocks > 1").select(F.col("leader").alias("node"), F.xxhash64("bucket", _share(F.col("blocks"), 2)).alias("task")).distinct()
+    return own.unionAll(led)
 
-    reps: (id, bands). Buckets with the same members are one. A bucket of more
-    than BLOCK texts is dealt into blocks, and each pair of blocks is a task,
-    so every pair of the bucket is still compared, and no task holds more than
-    two blocks.
+
+def later_tasks(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(task, node) of what the first tasks have left open in buckets of several blocks.
+
+    Where all texts of a bucket are in one class already, nothing is. Else the
+    texts are dealt into units: parts of one large class, or of several small
+    ones together. Each pair of units is a task, but for two parts of one class.
+    """
+    large = members.where("blocks > 1").select("bucket", "node", "words", "blocks")
+    large = large.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = large.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("words").alias("w"), F.max("blocks").alias("blocks"))
+    several = classes.groupBy("bucket").agg(F.count("*").alias("k"), F.max("blocks").alias("most")).where("k > 1").select("bucket", "most")
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_WORDS)).cast("int")
+    classes = classes.join(several, "bucket").select("bucket", "root", "most", parts.alias("parts"))
+    # A class that fits a block shares a unit with other small ones.
+    unit = F.when(F.col("parts") > 1, F.xxhash64("root", _share(F.col("parts"), 3))).otherwise(F.xxhash64(F.pmod(F.xxhash64("root"), F.col("most"))))
+    whole = F.when(F.col("parts") > 1, F.xxhash64("root"))
+    dealt = written(large.drop("blocks").join(classes, ["bucket", "root"]).select("bucket", "node", unit.alias("unit"), whole.alias("whole")), "units")
+    units = dealt.select("bucket", "unit", "whole").distinct()
+    a, b = units.alias("a"), units.alias("b")
+    open_ = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.unit") <= F.col("b.unit")) & F.coalesce(F.col("a.whole") != F.col("b.whole"), F.lit(True))
+    pairs = a.join(b, open_).select(F.col("a.bucket").alias("bucket"), F.xxhash64("a.bucket", "a.unit", "b.unit").alias("task"), F.array_distinct(F.array("a.unit", "b.unit")).alias("units"))
+    pairs = pairs.select("bucket", "task", F.explode("units").alias("unit"))
+    return dealt.join(pairs, ["bucket", "unit"]).select("task", "node")
+
+
+def compare(tasks: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = LEAST) -> DataFrame:
+    """(src, dst, similarity) links between the nodes of (task, node): in each task a spanning forest of its links.
+
+    texts: (digest, text), one row for each different text.
     """
-    members = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
-    sizes = sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("id", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-
-
-def compare(tasks: DataFrame, idf: np.ndarray, least: float = LEAST) -> DataFrame:
-    """(src, dst, similarity) links of (task, id, text): in each task a spanning forest of its links."""
     sent = tasks.sparkSession.sparkContext.broadcast(idf)
-    rows = tasks.select("task", "id", "text").repartition("task").sortWithinPartitions("task", "id")
+    flat = tasks.select("task", F.col("node.copy_id").alias("copy_id"), F.col("node.digest").alias("digest"))
+    # Texts are the large side at any size, and the tasks grow with them: neither is for a broadcast.
+    rows = flat.join(texts.hint("merge"), "digest").select("task", "copy_id", "digest", "text").repartition("task").sortWithinPartitions("task", "digest")
+    kind = rows.schema["copy_id"].dataType
+    id_type = to_arrow_type(kind)
 
     def groups(batches):
-        now, ids, sets = None, [], []
+        now, nodes, sets = None, [], []
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            keys, nodes = batch.column("task").to_pylist(), batch.column("id").to_pylist()
-            for a, b in pieces(texts):
-                for task, node, s in zip(keys[a:b], nodes[a:b], shingles(texts[a:b], sent.value), strict=True):
+            keys, own = batch.column("task").to_pylist(), list(zip(batch.column("copy_id").to_pylist(), batch.column("digest").to_pylist(), strict=True))
+            for a, b in pieces(texts, SLICE):
+                for task, n, s in zip(keys[a:b], own[a:b], shingles(texts[a:b], sent.value), strict=True):
                     if task != now:
-                        if len(ids) > 1:
-                            yield ids, sets
-                        now, ids, sets = task, [], []
-                    if not ids or ids[-1] != node:
-                        ids.append(node)
+                        if len(nodes) > 1:
+                            yield nodes, sets
+                        now, nodes, sets = task, [], []
+                    if not nodes or nodes[-1] != n:
+                        nodes.append(n)
                         sets.append(s)
-        if len(ids) > 1:
-            yield ids, sets
+        if len(nodes) > 1:
+            yield nodes, sets
+
+    def edges(found):
+        ends = [pa.array([x[side][k] for x in found], t) for side in (0, 1) for k, t in enumerate((id_type, pa.binary()))]
+        return pa.RecordBatch.from_arrays([*ends, pa.array([x[2] for x in found], pa.float64())], names=["src_id", "src_digest", "dst_id", "dst_digest", "similarity"])
 
     def run(batches):
         found = []
-        for ids, sets in groups(batches):
-            found += links(ids, sets, least)
+        for nodes, sets in groups(batches):
+            found += links(nodes, sets, least)
             if len(found) > 10_000:
-                yield _edges(found)
+                yield edges(found)
                 found = []
-        yield _edges(found)
+        yield edges(found)
 
-    return rows.mapInArrow(run, "src long, dst long, similarity double")
+    t = kind.simpleString()
+    out = rows.mapInArrow(run, f"src_id {t}, src_digest binary, dst_id {t}, dst_digest binary, similarity double")
+    return out.select(node("src_id", "src_digest").alias("src"), node("dst_id", "dst_digest").alias("dst"), "similarity")
 
 
-def _edges(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["src", "dst", "similarity"])
+def _classes(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, digest) of each row of (id, text) with a text, and (digest, node, root) of each different text."""
+    real = rows.where("text is not null")
+    idf = idf_table(real)
+    signed = written(signatures(real, idf), "signatures")
+    texts = signed.groupBy("digest").agg(F.min("id").alias("copy_id"), F.any_value("words").alias("words"), F.any_value("bands").alias("bands"))
+    texts = written(texts.select("digest", node().alias("node"), "words", "bands"), "texts")
+    # Copies of a text are put together before they are sent anywhere.
+    bodies = real.groupBy(digest().alias("digest")).agg(F.any_value("text").alias("text"))
+    members = written(bucket_members(texts), "buckets")
+    found = written(compare(first_tasks(members), bodies, idf, least), "links").select("src", "dst")
+    roots = components(found)
+    if members.where("blocks > 1").limit(1).count():
+        more = written(compare(later_tasks(members, roots), bodies, idf, least), "links").select("src", "dst")
+        roots = components(more.unionAll(roots.select(F.col("root").alias("src"), F.col("id").alias("dst")).where("src != dst")))
+    classes = texts.select("digest", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left")
+    return signed.select("id", "digest"), classes.select("digest", "node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """(doc_id, copy_id, class_id) of each document: the smallest ids of its exact copies and of its class.
+    """(doc_id, copy_id, class_id) of each row of docs: the smallest ids of its exact copies and of its class.
 
     Classes are the components of links between different texts with a weighted
-    Jaccard similarity of `least` or more, and of exact copies. A null text is
-    like no other; empty and wordless texts are alike only if they are equal.
-    Rows with one id are one document, so their classes join; a null id stands
-    for a hash of the text. Further columns are not used.
+    Jaccard similarity of `least` or more; exact copies share a class. A null
+    text is like no other, in a class of its own id; empty and wordless texts
+    are alike only if they are equal. Ids can be of any type that has an order.
+    Rows with one id and different texts are in the classes of their texts. A
+    null id counts only where a class has no other: then copy_id or class_id
+    are null. An empty table gives no rows; further columns are not used.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`"), F.lit("no id"))).alias("id"), F.col(f"`{text}`").alias("text"))
-    real = rows.where("text is not null")
-    idf = idf_table(real)
-    signed = written(signatures(real, idf), "signatures")
-    copies = signed.groupBy("digest").agg(F.min("id").alias("copy_id"), F.first("bands").alias("bands"))
-    tasks = written(bucket_tasks(copies.select(F.col("copy_id").alias("id"), "bands").where(F.size("bands") > 0)), "tasks")
-    found = written(compare(tasks.hint("merge").join(real, "id"), idf, least), "links")
-    own = signed.select("id", "digest").join(copies.select("digest", "copy_id"), "digest").select("id", "copy_id")
-    again = own.where("id != copy_id").select(F.col("id").alias("src"), F.col("copy_id").alias("dst"))
-    roots = components(found.select("src", "dst").union(again))
-    # Ids beside null texts stay alone.
-    every = own.groupBy("id").agg(F.min("copy_id").alias("copy_id")).union(rows.where("text is null").select("id", F.col("id").alias("copy_id")))
-    every = every.groupBy("id").agg(F.min("copy_id").alias("copy_id"))
-    return every.join(roots, "id", "left").select(F.col("id").alias("doc_id"), "copy_id", F.coalesce("root", "id").alias("class_id"))
-
-
-def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs, with their columns, that are the first of their class; of rows repeated with one id, one."""
-    classes = near_duplicates(docs, least=least)
-    key, n = own_name(docs, "_id"), own_name(docs, "_n")
-    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias(key))
-    # A repeated id is rare: only such rows are numbered, on their ids and texts.
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit("no id"))))
-    kept = keyed.join(first.hint("merge"), key, "left_semi")
-    return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    signed, classes = _classes(rows, least)
+    found = signed.join(classes.select("digest", F.col("node.copy_id").alias("copy_id"), F.col("root.copy_id").alias("class_id")), "digest")
+    alone = rows.where("text is null").select("id", F.col("id").alias("copy_id"), F.col("id").alias("class_id"))
+    return found.select("id", "copy_id", "class_id").unionAll(alone).withColumnRenamed("id", "doc_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """One row of docs, with all its columns, for each class: one with the smallest id and the text that has it.
+
+    Of rows with that id and text the smallest stays, by their other columns.
+    Rows with one id and different texts are separate documents; rows with
+    a null text all stay. An empty table stays empty.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    first = _classes(rows, least)[1].where("node = root").select(F.col("node.copy_id").alias("k_id"), F.col("digest").alias("k_digest"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("k_id"), digest(text).alias("k_digest"), whole.alias("row"))
+    sortable = not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in docs.schema)
+    one = keyed.groupBy("k_id", "k_digest").agg((F.min("row") if sortable else F.any_value("row")).alias("row"))
+    same = one.k_id.eqNullSafe(first.k_id) & (one.k_digest == first.k_digest)
+    kept = one.join(first.hint("merge"), same, "left_semi")
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return kept.select(*columns).unionAll(docs.where(F.col(f"`{text}`").isNull()))

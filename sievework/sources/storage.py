@@ -14,11 +14,17 @@ IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local folder serves a local session; a session on a
+    cluster has to name one, since executors don't see the driver's folders.
+    """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="sievework-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        path = tempfile.mkdtemp(prefix="sievework-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -28,14 +34,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors.
+
+    The folder is a session's scratch space; what its owner knows to be done
+    with goes by remove().
+    """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of scratch()."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Is there such a path, in whatever store Spark can read?"""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

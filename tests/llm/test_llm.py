@@ -151,24 +151,50 @@ def test_all_notices_of_a_file(spark):
 # ---------------------------------------------------------------- 3
 
 
+def check_top_k(rows, got, k):
+    """Against all pairs in exact integers: rows are (id, whole components); the ids of queries are divisible by 20."""
+    want = Counter()
+    for n, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            found = sorted(((sum(a * b for a, b in zip(x, y)), i) for m, (i, y) in enumerate(rows) if m != n), key=lambda s: (-s[0], s[1]))[:k]
+            want.update((q, r + 1, i, s) for r, (s, i) in enumerate(found))
+    assert Counter(map(tuple, got)) == want
+
+
 def test_top_k_is_exact(spark):
     rng = random.Random(1)
     rows = [(i, [rng.choice([-0.5, -0.01, 0.0, 0.03, 0.4]) for _ in range(6)]) for i in range(90)]
-    rows += [(200, None), (220, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (240, [float("nan")] * 6), (260, [float("inf")] * 6), (280, [0.1] * 3), (7, [0.9] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    rows += [(200, None), (220, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (240, [float("nan")] * 6), (260, [float("inf")] * 6), (280, [0.1] * 3), (7, [0.9] * 6), (None, [0.9] * 6)]
+    rows += [(20, [0.7] * 6), (20, [0.7] * 6), (40, rows[40][1]), (300, [])]  # repeated ids, and a repeated row
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).withColumn("q", F.lit(1)).repartition(5)
     v = topk.whole_vectors(df, "vec_id", "embedding")
     whole = [(r.vec_id, [int(x) for x in r.v]) for r in v.collect()]
-    got = topk.top_k(v, v.where("vec_id % 20 = 0"), 20).collect()
-    for q, x in whole:
-        if q % 20:
-            continue
-        want = sorted(((sum(a * b for a, b in zip(x, y)), i) for i, y in whole if i != q), key=lambda s: (-s[0], s[1]))[:20]
-        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        assert mine == [(k + 1, i, s) for k, (s, i) in enumerate(want)]
+    assert len(whole) == len(rows) - 5
+    check_top_k(whole, topk.top_k(v, v.where("vec_id % 20 = 0"), 20).collect(), 20)
     assert topk.top_k(v.where("false"), v.where("false"), 3).count() == 0
     assert topk.top_k(v.where("vec_id < 3"), v.where("vec_id = 0"), 20).count() == 2
 
 
+def test_top_k_of_large_components(spark):
+    rng = random.Random(2)
+    for size in (1e4, 1e8, 3e9 / 64):
+        rows = [(i, [float(rng.randint(-9, 9)) * size for _ in range(8)]) for i in range(60)]
+        v = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
+        whole = [(r.vec_id, [int(x) for x in r.v]) for r in v.collect()]
+        if size > 1e9:
+            assert max(abs(x) for _, y in whole for x in y) > 2**31
+        try:
+            check_top_k(whole, topk.top_k(v, v.where("vec_id % 20 = 0"), 20).collect(), 20)
+        except Exception as e:
+            assert "beyond 64 bits" in str(e) and size > 1e7
+    huge = topk.whole_vectors(spark.createDataFrame([(0, [1e300]), (1, [1e5]), (2, [float("1e308")])], "vec_id long, e array<double>"), "vec_id", "e")
+    assert [r.v[0] for r in huge.orderBy("vec_id").collect()] == [64e300, 64e5]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(huge, huge.where("vec_id = 0"), 3).collect()
+    q, r = np.array([[2.0**40, -3.0]]), np.array([[2.0**40, 5.0], [-(2.0**50), 1.0]])
+    assert topk.scores(q, r).tolist() == [[2**80 - 15, -(2**90) - 3]]
+
+
 def test_top_k_in_query_blocks(spark, monkeypatch):
     v = topk.whole_vectors(spark.read.parquet(f"{SF}/embeddings.parquet"), "vec_id", "embedding")
     whole = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 20 = 0"), 20).collect()))
@@ -427,7 +453,7 @@ def plain_sets(texts, idf):
     out = []
     for t in texts:
         words = re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
-        own = {w: float(idf[int(minhash.word_hashes([w])[0][0] >> np.uint64(48))]) for w in set(words)}
+        own = {w: float(idf[int(minhash.word_hashes([w])[0][0]) >> (64 - minhash.DF_BITS)]) for w in set(words)}
         n = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else Counter([tuple(words)] if words else [])
         out.append({s: k * round(sum(own[w] for w in s) / len(s), 3) for s, k in n.items()})
     return out
@@ -444,7 +470,7 @@ def test_weighted_jaccard_and_samples():
     vocabulary = [f"v{i}" for i in range(50)]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 60))) for _ in range(30)]
     texts += [t + " " + t[:20] for t in texts]
-    idf = np.linspace(1, 2, 1 << 16).astype(np.float32)
+    idf = np.linspace(1, 2, 1 << minhash.DF_BITS).astype(np.float32)
     mine, plain = minhash.shingles(texts, idf), plain_sets(texts, idf)
     agree, expected = 0, 0.0
     for a in range(0, 60, 7):
@@ -480,9 +506,7 @@ def test_links_span_all_components():
     assert all(s >= 0.8 for *_, s in found) and len(found) < 60
 
 
-@pytest.mark.parametrize("block", [4, 2048])
-def test_near_duplicates(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+def made_texts():
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     groups = [[word() for _ in range(200)] for _ in range(8)]
@@ -500,21 +524,98 @@ def test_near_duplicates(spark, monkeypatch, block):
         truth.append(100 + k)
     texts += [None, None, "", "", " ", "short text", "short text", "Short text!"]
     truth += [200, 201, 202, 202, 203, 204, 204, 204]
-    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts).withColumn("id", F.lit("clash")).withColumn("bands", F.lit(0))).collect()}
+    return texts, truth
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts, truth = made_texts()
+    df = frame(spark, texts)
+    for c in ("id", "bands", "digest", "node", "root", "row", "k_id", "word"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = {r.doc_id: r for r in minhash.near_duplicates(df).collect()}
     want = {i: truth.index(g) for i, g in enumerate(truth)}
     assert {i: r.class_id for i, r in got.items()} == want
     assert {i: r.copy_id for i, r in got.items()} == {i: texts.index(t) if t is not None else i for i, t in enumerate(texts)}
-    kept = minhash.keep_one(frame(spark, texts)).collect()
+    kept = minhash.keep_one(df).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
+    assert set(kept[0].asDict()) == set(df.columns)
+
+
+def chains(texts, links):
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(x) for x in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [3, 5])
+def test_buckets_of_several_classes_lose_no_link(spark, monkeypatch, block):
+    """Blocks of a few texts, and bands of one sample, so that texts of many classes share each bucket."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "sample", lambda ids, weights: np.array([7], np.int64) if len(ids) else np.empty(0, np.int64))
+    rng = random.Random(3)
+    texts = []
+    for g in range(5):
+        own = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(14):  # each is a little further from the first one: chains
+            texts.append(" ".join(own))
+            own[rng.randrange(120)] = f"x{rng.random()}"
+    idf = minhash.idf_table(frame(spark, texts))
+    sets = plain_sets(texts, idf)
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if plain_similarity(sets[a], sets[b]) >= 0.8]
+    df = frame(spark, texts)
+    real = df.selectExpr("doc_id id", "text")
+    signed = minhash.signatures(real, idf)
+    bodies = real.select(minhash.digest().alias("digest"), "text")
+    nodes = signed.withColumn("copy_id", F.col("id")).select("digest", minhash.node().alias("node"), "words", F.array(F.lit(7)).cast("array<long>").alias("bands"))
+    members = minhash.bucket_members(nodes)
+    found = minhash.written(minhash.compare(minhash.first_tasks(members), bodies, idf), "test").select("src", "dst")
+    roots = minhash.components(found)
+    more = minhash.compare(minhash.later_tasks(members, roots), bodies, idf).select("src", "dst")
+    got = {r.id.copy_id: r.root.copy_id for r in minhash.components(found.unionAll(more)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == chains(texts, links)
+
+
+def test_near_duplicates_of_documents_against_all_pairs(spark, docs):
+    """Every pair of `documents` by brute force: links of 0.8 and more are found, and no class has others."""
+    rows = {r.doc_id: r.text for r in docs.collect() if r.text}
+    ids = sorted(rows)
+    idf = minhash.idf_table(docs)
+    sets = plain_sets([rows[i] for i in ids], idf)
+    links = []
+    for a in range(len(ids)):
+        for b in range(a):
+            if sets[a] and sets[b] and (rows[ids[a]] == rows[ids[b]] or plain_similarity(sets[a], sets[b]) >= 0.8):
+                links.append((a, b))
+    want = chains(ids, links)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    found = [(a, b) for a, b in links if got[ids[a]] == got[ids[b]]]
+    assert links and len(found) >= 0.9 * len(links)
+    for k, i in enumerate(ids):  # classes are unions of parts of the true ones
+        assert want[ids.index(got[i])] == want[k]
 
 
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     assert minhash.keep_one(frame(spark, [])).count() == 0
-    rows = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, PROSE), (2, "x"), (None, None), (3, LONG), (3, "other")], "doc_id long, text string")
-    got = minhash.near_duplicates(rows).collect()
-    assert len({r.doc_id for r in got}) == len(got) == 5
-    assert minhash.keep_one(rows).count() == 4
+    rows = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, PROSE), (2, "x"), (None, None), (3, LONG), (3, "other"), (None, "no id"), (5, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.copy_id, r.class_id) for r in minhash.near_duplicates(rows).collect())
+    assert got == Counter([(1, 1, 1)] * 2 + [(None, 1, 1), (2, 2, 2), (None, None, None), (3, 3, 3), (3, 3, 3), (None, None, None), (5, 5, 5)])
+    kept = Counter(map(tuple, minhash.keep_one(rows).collect()))
+    assert kept == Counter([(1, PROSE), (2, "x"), (None, None), (3, LONG), (3, "other"), (None, "no id"), (5, None)])
+    named = rows.selectExpr("cast(doc_id as string) || 'a' as key", "text body", "1 n")
+    assert {r.class_id for r in minhash.near_duplicates(named, "key", "body").collect()} == {"1a", "2a", "3a", "5a", None}
+    same = spark.createDataFrame([(1, PROSE, "b"), (1, PROSE, "a")], "doc_id long, text string, lang string")
+    assert [r.lang for r in minhash.keep_one(same).collect()] == ["a"]
 
 
 # ---------------------------------------------------------------- 9
@@ -547,11 +648,50 @@ def test_lm_probabilities_sum_to_one():
     code = np.unique(rng.integers(0, 20, 3000) * lm.CLASSES**2 + rng.integers(0, 20, 3000) * lm.CLASSES + rng.integers(0, 20, 3000))
     table = lm.train(pd.DataFrame({"code": code, "n": rng.integers(1, 50, len(code))}), np.ones(lm.CLASSES), 0.01)
     assert np.allclose((10.0 ** table.astype(float)).sum(axis=2), 1, atol=1e-4)
-    counts = np.array([5, 2, 0, 9])
-    cls = np.array([lm.FREQUENT + 1] * 2 + [lm.UNSEEN] + [1])
-    mass = np.ones(lm.CLASSES)
-    mass[lm.FREQUENT + 1], mass[1] = 9, 10
-    assert (10 ** lm.Model([], 16, 3, mass, table).share(cls, counts)).tolist() == pytest.approx([6 / 9, 3 / 9, 1, 1])
+    cls = np.array([100, 101, 100, 103])
+    mass = np.full(lm.CLASSES, 40.0)
+    words = lm.train_words(pd.DataFrame({"code": [0, 3, 4, 6], "n": [9, 1, 4, 4]}), cls, np.array([5, 2, 13, 9]), mass)
+    shares = 10.0 ** words.astype(float)
+    assert np.allclose(shares[:, [0, 2]].sum(axis=1), 20 / 40) and np.allclose(shares[:, 1], 3 / 40) and np.allclose(shares[:, 3], 10 / 40)
+    assert shares[1, 0] > shares[1, 2] * 0.9 and shares[0, 0] > shares[0, 2]  # after class 0 the first word was more frequent than the third
+
+
+def test_lm_score_by_hand(spark, docs, monkeypatch):
+    """Each text's score from the model's tables, token by token; in any context the probabilities of all words and of an unseen one sum to 1."""
+    monkeypatch.setattr(lm, "STEPS", 30)
+    monkeypatch.setattr(lm, "LISTED", 300)
+    rows = lm.with_block(docs, "doc_id", "text").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    totals = lm.block_words(rows).groupBy("word").agg(F.sum("n").alias("c"))
+    model = lm.fit(rows, totals)
+    counts = {r.word: r.c for r in totals.collect()}
+    tops = sorted((w for w in counts if w and counts[w]), key=lambda w: (-counts[w], w))
+    assert model.frequent == [w.encode() for w in tops[: lm.FREQUENT]] and model.listed == [w.encode() for w in tops[lm.FREQUENT :][:300]]
+    own = {w: i + 1 for i, w in enumerate(tops[: lm.FREQUENT])} | {"": 0}
+    listed = {w: i for i, w in enumerate(tops[lm.FREQUENT :][:300])}
+    surface = lambda w: own[w] if w in own else lm.FREQUENT + 1 + zlib.crc32(w[-2:].encode()) % lm.SUFFIXES
+    mass = Counter()
+    for w, c in counts.items():
+        if c:
+            mass[surface(w)] += c + 1
+
+    def chance(a, b, w):
+        if not counts.get(w):
+            return float(model.table[a, b, lm.UNSEEN])
+        inside = float(model.words[b, listed[w]]) if w in listed else math.log10((counts[w] + 1) / mass[surface(w)])
+        return float(model.table[a, b, surface(w)]) + inside
+
+    for a, b in [(0, 0), (0, 5), (110, 3), (7, 120)]:
+        known = sum(10 ** chance(a, b, w) for w, c in counts.items() if c)
+        missing = sum(10 ** float(model.table[a, b, k]) for k in range(lm.CLASSES) if k != lm.UNSEEN and not mass[k])
+        assert known + missing + 10 ** chance(a, b, "never seen") == pytest.approx(1, abs=1e-3)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    for r in docs.limit(60).collect():
+        tokens = [w.decode() for w in lm.words(r.text)] + [""]
+        a, b, total = 0, 0, 0.0
+        for w in tokens:
+            total += chance(a, b, w)
+            a, b = b, surface(w)
+        assert got[r.doc_id] == pytest.approx(total, rel=1e-4)
 
 
 def test_lm_learns_from_all_counts():
@@ -573,12 +713,37 @@ def test_lm_learns_an_order(spark, monkeypatch):
     assert all(r.score > 0.5 * r.base_score for r in got)
 
 
+def test_lm_learns_words_after_words(spark, monkeypatch):
+    """Words of one class, each always after another frequent one: only a model of words tells them apart."""
+    monkeypatch.setattr(lm, "STEPS", 60)
+    rng = random.Random(1)
+    common = [f"f{i}" for i in range(200)]
+    pairs = {"f1": "oneing", "f2": "twoing"}  # the same last letters
+    texts = []
+    for _ in range(300):
+        words = [rng.choice(common) for _ in range(60)]
+        for k in range(0, 60, 6):
+            words[k] = rng.choice(["f1", "f2"])
+            words[k + 1] = pairs[words[k]]
+        texts.append(" ".join(words))
+    monkeypatch.setattr(lm, "FREQUENT", 2)
+    monkeypatch.setattr(lm, "SUFFIXES", lm.CLASSES - 4)
+    right, wrong = "f1 oneing f2 twoing", "f1 twoing f2 oneing"
+    got = lm.score_documents(frame(spark, texts + [right, wrong])).orderBy("doc_id").collect()
+    assert got[-2].base_score == got[-1].base_score and got[-2].score > got[-1].score + 1
+
+
 def test_lm_of_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 20)
-    got = {r.doc_id: r for r in lm.score_documents(frame(spark).withColumn("_block", F.lit("clash"))).collect()}
+    monkeypatch.setattr(lm, "WORD_STEPS", 10)
+    monkeypatch.setattr(lm, "BLOCKS", [(10, 4), (200, 2)])
+    odd = frame(spark).withColumn("block", F.lit("clash")).withColumn("word", F.lit("clash"))
+    got = {r.doc_id: r for r in lm.score_documents(odd).collect()}
     assert len(got) == len(TEXTS)
     assert got[0].n_tokens == got[1].n_tokens == got[2].n_tokens == 1
     assert all(math.isfinite(r.score) for r in got.values())
+    renamed = {r.doc_id: (r.score, r.base_score) for r in lm.score_documents(odd.drop("doc_id").selectExpr("n_chars as text_", "text body", "cast(monotonically_increasing_id() as string) id"), "id", "body").collect()}
+    assert len(renamed) == len(TEXTS)
     assert lm.score_documents(frame(spark, [])).count() == 0
     only = spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")
     assert [(r.n_known, r.train_tokens) for r in lm.score_documents(only).collect()] == [(0, 0)] * 2

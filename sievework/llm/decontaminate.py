@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import grams, pieces, ship, word_hashes
+from .common import grams, pieces, scratch, ship, word_hashes, written
 
 SHARE = 0.15  # of an item's words that may be changed
 GRAM = 5  # words of a piece that are looked up; shorter pieces are looked up whole
 BLOCK_BYTES = 8 << 20  # of the items that are sent to the workers at once
+SEEN_BYTES = 8 << 20  # of windows whose distances are remembered
 
 
 def myers(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -70,13 +71,19 @@ class Items:
             rows.sort()
             self.tables[n] = (np.array([r[0] for r in rows], np.uint64), [r[1:] for r in rows])
         self.seen: dict[tuple[int, bytes], tuple[int, int]] = {}
+        self.seen_bytes = 0
 
     def _distance(self, k: int, window: np.ndarray) -> tuple[int, int]:
         key = (k, window.tobytes())
         if key not in self.seen:
-            if len(self.seen) >= 50_000:
+            found = myers(self.items[k][1], window)
+            if window.nbytes > SEEN_BYTES // 64:
+                return found
+            self.seen_bytes += window.nbytes + 200
+            if self.seen_bytes > SEEN_BYTES:
                 self.seen.clear()
-            self.seen[key] = myers(self.items[k][1], window)
+                self.seen_bytes = window.nbytes + 200
+            self.seen[key] = found
         return self.seen[key]
 
     def matches(self, texts: list[str | None]) -> list[dict[int, tuple[int, int]]]:
@@ -109,16 +116,19 @@ class Items:
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int, share: float):
-    """The items in blocks of a bounded size, each broadcast."""
+    """(how many, the items of each block, broadcast); the next block is fetched when the one before it is done with."""
     spark = items.sparkSession
     ship(spark)
     rows = items.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for k in range(n):
-        own = (rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else rows).orderBy("item_id", "text").collect()
+        own = (rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k) if n > 1 else rows).orderBy("item_id", "text").collect()
         if own:
-            yield spark.sparkContext.broadcast(Items([r[0] for r in own], [r[1] for r in own], share))
+            sent = spark.sparkContext.broadcast(Items([r[0] for r in own], [r[1] for r in own], share))
+            yield n, sent
+            if n > 1:
+                sent.destroy()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -126,17 +136,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
     Texts are compared by lower-cased words, so case, punctuation and white
     space don't count. One row for each row of docs and item: the closest
-    place. Null, empty and wordless texts and items match nothing. Repeated
-    documents each give their rows; repeated items each match. Any number of
-    items can be given: they go to the workers in blocks of block_bytes, one
-    pass over docs for each.
+    place, of equally close ones the first. Null, empty and wordless texts and
+    items match nothing. Repeated documents each give their rows; repeated
+    items each match; empty tables give no rows. Further columns, of whatever
+    name, are not used. Any number of items can be given: they go to the
+    workers in blocks of about block_bytes, one after the other, one pass over
+    docs for each; the rows of each pass are written to the shared folder, so
+    driver and workers never hold more than one block.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, distance int, end_word long"
     kinds = [to_arrow_type(rows.schema["doc_id"].dataType), to_arrow_type(items.schema[item_id].dataType), pa.int32(), pa.int64()]
-    out = None
-    for sent in _blocks(items, item_id, item_text, block_bytes, share):
+    path, several = scratch(spark, "leaks"), False
+    for n, sent in _blocks(items, item_id, item_text, block_bytes, share):
 
         def run(batches, sent=sent):
             own = sent.value
@@ -150,14 +163,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "distance", "end_word"])
 
         part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return spark.createDataFrame([], schema) if out is None else out
+        if n == 1:
+            return part
+        part.write.mode("append").parquet(path)
+        several = True
+    return spark.read.schema(schema).parquet(path) if several else spark.createDataFrame([], schema)
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, whose texts hold no benchmark item within the edit budget."""
+    """The rows of docs, with all their columns, whose texts hold no benchmark item within the edit budget.
+
+    Null, empty and wordless texts stay. Where the items are several blocks,
+    what each pass leaves is written to the shared folder.
+    """
     names = docs.columns
-    for sent in _blocks(items, item_id, item_text, block_bytes, share):
+    for n, sent in _blocks(items, item_id, item_text, block_bytes, share):
 
         def run(batches, sent=sent):
             for batch in batches:
@@ -166,4 +186,5 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = written(docs, "leakless") if n > 1 else docs
     return docs

@@ -21,17 +21,36 @@ from .common import pieces, ship, word_hashes
 
 # Phrases whose every place counts, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Words of public license notices, with the phrases that must stand in them.
+# Words of public license texts and notices, sentence by sentence, with the phrases that must stand in them.
 TEMPLATES = [
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ["gnu affero general public license"]),
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license"]),
+    ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", ["www apache org licenses license 2 0"]),
+    ("apache-2.0", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", ["apache license version 2 0 january 2004"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["neither the name of", "endorse or promote products"]),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["any person or organization obtaining a copy"]),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ["eclipse public license"]),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license as published", "either version 2 of the license"]),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
+    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license as published", "either version 3 of the license"]),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007 copyright 2007 free software foundation inc", ["gnu general public license version 3 29 june 2007"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee is hereby granted"]),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
     ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "associated documentation files"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included in all copies"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["copy of the mpl was not distributed"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
 ]
 STARTS = 4096  # places of a template that are looked at together
 LEAST_SHARE = 0.6  # of a template's words that must be in place
@@ -186,7 +205,9 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     Whole texts are scanned, of any length; a null text counts as empty (no
     words, no labels, score 0). n_base counts every place of a phrase. score is
     1 with a base label, else the best template's share of words in place.
-    Repeated rows give repeated results, an empty table none.
+    Repeated rows give repeated results, an empty table none; further columns,
+    of whatever name, are not used. What a text gets does not depend on other
+    rows: document frequencies only say which word is looked up first.
     """
     ship(docs.sparkSession)
     index = Index(templates, phrases)

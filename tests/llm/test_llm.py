@@ -138,8 +138,8 @@ def test_license_labels_do_not_depend_on_other_rows(spark, others):
 
 
 def test_all_notices_of_a_file(spark):
-    bsd = " ".join(t for label, t, _ in licenses.TEMPLATES if label == "bsd")
-    long_mit = next(t for _, t, _ in licenses.TEMPLATES if t.startswith("permission"))
+    bsd = next(t for label, t, _ in licenses.TEMPLATES if label == "bsd")
+    long_mit = next(t for label, t, _ in licenses.TEMPLATES if label == "mit" and t.startswith("permission"))
     texts = [f"{bsd}. Released under the MIT License.", f"{long_mit} {bsd} Licensed under the Apache License, Version 2.0"] + ["Released under the MIT License."] * 20 + ["Licensed under the Apache License, Version 2.0"] * 20
     texts.append(" ".join(t for _, t, _ in licenses.TEMPLATES))
     texts.append("the mit license of " * 30_000 + bsd)  # more places than are looked at together
@@ -148,6 +148,42 @@ def test_all_notices_of_a_file(spark):
     assert got[0] == "bsd,mit" and got[1] == "apache-2.0,bsd,mit" and everything <= set(got[42].split(",")) and got[43] == "bsd,mit"
 
 
+def labels_by_hand(text):
+    """Each template at each place of a text, word by word."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    found = {}
+    for label, template, keys in licenses.TEMPLATES:
+        t = template.split()
+        if not all(k in " ".join(words) for k in keys):
+            continue
+        for start in range(-len(t), len(words) + len(t)):
+            at = lambda i: words[i] if 0 <= i < len(words) else None
+            there = [[at(start + j + d) == w for d in (-2, -1, 0, 1, 2)] for j, w in enumerate(t)]
+            share = sum(map(any, there)) / len(t)
+            near = range(max(0, start - 2), start + len(t) + 3)
+            if share >= 0.6 and any(x[2] for x in there) and all(any(words[i : i + len(k.split())] == k.split() for i in near) for k in keys):
+                found[label] = max(found.get(label, 0), share)
+    return found
+
+
+def test_labels_and_scores_by_hand(spark, docs):
+    rng = random.Random(12)
+    texts = [r.text for r in docs.collect() if r.text and "licen" in r.text.lower()][:40] + ["The MIT license", "cc by 4.0", "licensed CC BY-NC 4.0 under", ""]
+    for _, template, _ in licenses.TEMPLATES:
+        for _ in range(3):  # notices with words changed, left out and put in
+            w = template.split()
+            for _ in range(rng.randint(0, len(w) // 3)):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randint(0, 1)] = rng.choice([["x"], [], [rng.choice(w)]])
+            texts.append("Some words before. " + " ".join(w) + ", and after it.")
+    df = frame(spark, texts).withColumn("labels", F.lit("clash")).withColumn("score", F.lit("clash"))
+    for r in licenses.scan_licenses(df).collect():
+        want = labels_by_hand(texts[r.doc_id])
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == base | set(want), texts[r.doc_id]
+        assert r.score == pytest.approx(1.0 if base else max(want.values(), default=0.0))
+
+
 # ---------------------------------------------------------------- 3
 
 

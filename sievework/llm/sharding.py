@@ -11,7 +11,7 @@ from .common import own_name, ship
 
 # The multiplier of the published algorithm's 64-bit generator.
 STEP = np.uint64(2862933555777941757)
-ROWS_A_BIN = 200_000
+BIN_DIGITS = 3  # of a hash, in base 16, that tell the bins of a shard apart
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -50,20 +50,20 @@ def with_shard(df: DataFrame, key: str, shards: int, out: str = "shard") -> Data
 
 
 def with_slot(df: DataFrame, shard: str, order: list[str], out: str = "slot") -> DataFrame:
-    """df with each row's place in its shard: 0, 1, 2, ... without gaps.
+    """df with each row's place in its shard: 0, 1, 2, ... without gaps; a column of that name gives way.
 
-    No shard is sorted as a whole: its rows are dealt over bins by a hash of the
-    order columns, the bins' sizes are summed up to each bin's first place, and
-    rows are numbered inside their bins. Equal rows are interchangeable.
+    No shard is sorted as a whole: its rows are dealt over 16**BIN_DIGITS bins
+    by a hash of the order columns, the bins' sizes are summed up to each bin's
+    first place, and rows are numbered inside their bins, nulls first. Equal
+    rows are interchangeable.
     """
-    rows = df.select(shard).groupBy(shard).count().agg(F.max("count")).first()[0] or 0
-    bins = max(4, -(-rows // ROWS_A_BIN))
     b, first, n = (own_name(df, x) for x in ("_bin", "_first", "_n"))
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order[:1]], F.lit(1)), F.lit(bins)))
+    columns = [F.col(f"`{c}`") for c in order]
+    dealt = df.withColumn(b, F.left(F.md5(F.concat_ws("|", *columns)), F.lit(BIN_DIGITS)))
     sizes = dealt.groupBy(shard, b).agg(F.count("*").alias(n))
     up_to = Window.partitionBy(shard).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(shard, b, F.coalesce(F.sum(n).over(up_to), F.lit(0)).alias(first))
-    inside = F.row_number().over(Window.partitionBy(shard, b).orderBy(*[F.col(f"`{c}`") for c in order]))
+    inside = F.row_number().over(Window.partitionBy(shard, b).orderBy(*columns))
     return dealt.withColumn(out, inside.cast("long") - 1).join(sizes, [shard, b]).withColumn(out, F.col(out) + F.col(first)).drop(b, first)
 
 
@@ -72,7 +72,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
 
     size is the text's UTF-8 bytes plus 16, 16 for a null text, whose crc is
     that of an empty one. Rows with equal ids share a shard; null ids share the
-    shard of the key 0. grown_shard is the shard with one shard more.
+    shard of the key 0. grown_shard is the shard with one shard more. Repeated
+    rows each have a slot; an empty table gives no rows. Further columns, of
+    whatever name, are not used.
     """
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"),

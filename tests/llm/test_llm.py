@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sievework.llm import bpe, chat, chunks, decontaminate, langid, licenses, lm, minhash, orc_ids, sharding, topk
+from sievework.llm import bpe, chat, chunks, decontaminate, langid, licenses, lm, minhash, orc_ids, registry, sharding, topk
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -45,6 +45,29 @@ def random_text(rng, n):
     return "".join(rng.choice(parts) for _ in range(n))
 
 
+# ---------------------------------------------------------------- SQL
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    return Counter(tuple(round(r[k], 3) if isinstance(r[k], float) else r[k] for k in order) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql_gives_the_same_rows(spark, monkeypatch, name):
+    import duckdb
+
+    monkeypatch.setattr(lm, "STEPS", 5)
+    monkeypatch.setattr(lm, "WORD_STEPS", 5)
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, SF)
+    want = con.sql(registry.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
+
+
 # ---------------------------------------------------------------- 1
 
 

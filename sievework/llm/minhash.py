@@ -216,8 +216,13 @@ def _type(df: DataFrame, column: str) -> str:
 
 
 def node(copy_id: str = "copy_id", own: str = "digest") -> Column:
-    """A text as a node: nodes are in the order of their smallest ids, those without any last."""
-    return F.struct(F.col(copy_id).isNull().alias("no_id"), F.col(copy_id).alias("copy_id"), F.col(own).alias("digest"))
+    """A text as a node: nodes are in the order of their smallest ids, those without any last.
+
+    no_id has the type that it has when it is read from a file, where any
+    column may be null, so that nodes are dealt out alike before and after.
+    """
+    no_id = F.when(F.col(copy_id).isNull(), True).when(F.col(copy_id).isNotNull(), False)
+    return F.struct(no_id.alias("no_id"), F.col(copy_id).alias("copy_id"), F.col(own).alias("digest"))
 
 
 def bucket_members(texts: DataFrame) -> DataFrame:
@@ -319,9 +324,10 @@ def _classes(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     signed = written(signatures(real, idf), "signatures")
     texts = signed.groupBy("digest").agg(F.min("id").alias("copy_id"), F.any_value("words").alias("words"), F.any_value("bands").alias("bands"))
     texts = written(texts.select("digest", node().alias("node"), "words", "bands"), "texts")
-    # Copies of a text are put together before they are sent anywhere.
-    bodies = real.groupBy(digest().alias("digest")).agg(F.any_value("text").alias("text"))
     members = written(bucket_members(texts), "buckets")
+    # Copies of a text are put together before they are sent anywhere; only texts that share a bucket are kept at hand.
+    bodies = real.groupBy(digest().alias("digest")).agg(F.any_value("text").alias("text"))
+    bodies = written(bodies.join(members.select("node.digest").distinct().hint("merge"), "digest", "left_semi"), "bodies")
     found = written(compare(first_tasks(members), bodies, idf, least), "links").select("src", "dst")
     roots = components(found)
     if members.where("blocks > 1").limit(1).count():
@@ -359,12 +365,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    first = _classes(rows, least)[1].where("node = root").select(F.col("node.copy_id").alias("k_id"), F.col("digest").alias("k_digest"))
+    first = _classes(rows, least)[1].where("node = root").select(F.col("node").alias("key"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("k_id"), digest(text).alias("k_digest"), whole.alias("row"))
+    keyed = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("copy_id"), digest(text).alias("digest"), whole.alias("row"))
     sortable = not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in docs.schema)
-    one = keyed.groupBy("k_id", "k_digest").agg((F.min("row") if sortable else F.any_value("row")).alias("row"))
-    same = one.k_id.eqNullSafe(first.k_id) & (one.k_digest == first.k_digest)
-    kept = one.join(first.hint("merge"), same, "left_semi")
+    # Equal rows are put together where they are read; what is left is dealt out by its node once, for this and for the join.
+    one = keyed.groupBy(node().alias("key")).agg((F.min("row") if sortable else F.any_value("row")).alias("row"))
+    kept = one.join(first.hint("merge"), "key", "left_semi")
     columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
     return kept.select(*columns).unionAll(docs.where(F.col(f"`{text}`").isNull()))

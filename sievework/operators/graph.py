@@ -22,8 +22,9 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     now = written(both, "edges", path := scratch(spark, "edges"))
     for _ in range(most_rounds):
         around = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        low = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        # The key is another one than that of the sums, so both sides are dealt out for the join, and Spark can split a hub's rows.
+        low = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.struct("u").alias("key"), "m")
+        large = around.withColumn("key", F.struct("u")).join(low, "key").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         # Small star: to the smallest neighbour go the node itself and its smaller neighbours.
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").union(down.select("m", "b")).distinct()

@@ -71,7 +71,8 @@ def short_name(name: Column) -> Column:
 
 
 def padded_id(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix + "_"), F.lpad(number.cast("string"), 5, "0"))
+    """The number with five digits, or as many as it has."""
+    return F.format_string(prefix + "_%05d", number.cast("long"))
 
 
 def singleton_id(path: Column) -> Column:

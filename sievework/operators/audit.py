@@ -67,3 +67,51 @@ def integrity_checks(df: DataFrame, key: str, group: str, split: str, label: str
         out = out.unionByName(r)
     total = out.agg(F.lit("all").alias("check_name"), F.sum("violations").alias("violations"))
     return out.unionByName(total).select("check_name", (F.col("violations") == 0).alias("passed"), "violations")
+
+
+def report(manifest: DataFrame, original: DataFrame, files: DataFrame, near_pairs: DataFrame, key: str, group: str, split: str, label: str, near: str, splits: dict[str, str]) -> DataFrame:
+    """(category, metric, value) of the 31 figures and checks of a finished manifest; values are text.
+
+    splits: the report's name of each split -> its name in the manifest. A
+    group with several images holds exact duplicates. Label conflicts are a
+    warning and no part of the overall check.
+    """
+    required = {key, group, split, label} <= set(manifest.columns)
+    by_split = F.lower(split)
+    rows = manifest.agg(
+        F.count("*").alias("images"), F.countDistinct(label).alias("classes"), F.countDistinct(key).alias("expected"), F.count_if(F.col(near)).alias("near_images"), F.count_if(F.greatest(*[F.col(x).isNull() for x in (key, group, split, label)])).alias("missing"),
+        *[F.count_if(by_split == name).alias(f"n_{s}") for s, name in splits.items()], *[F.countDistinct(F.when(by_split == name, F.col(label))).alias(f"classes_{s}") for s, name in splits.items()],
+    )
+    sizes = manifest.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(split).alias("s"), F.countDistinct(label).alias("l"))
+    groups = sizes.agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("multi"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("grouped"), F.count_if(F.col("s") > 1).alias("crossing"), F.count_if(F.col("l") > 1).alias("conflicts"))
+    found = manifest.select(key).distinct().join(files.select(key), key, "left_semi").agg(F.count("*").alias("found"))
+    one = rows
+    for other in (groups, found, original.agg(F.count("*").alias("original")), near_pairs.agg(F.count("*").alias("near_pairs")), surplus_copies(manifest, key)):
+        one = one.join(other, F.lit(True))  # one row each
+    n = F.col
+    checks = {
+        "required_columns": F.lit(required), "missing_required_values": n("missing") == 0, "duplicate_paths": n("surplus") == 0, "cross_split_leakage": n("crossing") == 0, "missing_images": n("expected") == n("found"),
+        **{f"all_classes_{s}": n(f"classes_{s}") == n("classes") for s in splits},
+    }
+    overall = F.lit(True)
+    for passed in checks.values():
+        overall = overall & passed
+    figures = {
+        "dataset": {"total_images": n("images"), "number_of_classes": n("classes")},
+        "split": {s: n(f"n_{s}") for s in splits},
+        "leakage": {"total_groups": n("groups"), "groups_multiple_images": n("multi"), "grouped_images": n("grouped"), "cross_split_groups": n("crossing")},
+        "duplicates": {"exact_duplicate_images": n("grouped"), "exact_duplicate_groups": n("multi"), "near_duplicate_images": n("near_images"), "near_duplicate_pairs_or_groups": n("near_pairs")},
+        "label_conflicts": {"conflicting_groups": n("conflicts")},
+        "files": {"images_expected": n("expected"), "images_found": n("found"), "images_missing": n("expected") - n("found")},
+        "retention": {"original_manifest_images": n("original"), "curated_images": n("images"), "images_excluded": F.greatest(F.lit(0), n("original") - n("images")), "retention_rate_percent": F.round(100 * F.try_divide(n("images"), n("original")), 2)},
+        "validation": {**checks, "overall_integrity": overall, "label_conflicts_warning": n("conflicts") > 0},
+    }
+    cells = [F.struct(F.lit(category).alias("category"), F.lit(metric).alias("metric"), value.cast("string").alias("value")) for category, by in figures.items() for metric, value in by.items()]
+    return one.select(F.inline(F.array(*cells)))
+
+
+def document(rows: DataFrame) -> DataFrame:
+    """(document): the report as one nested JSON document, {category: {metric: value}}, in the order of the names."""
+    inner = rows.groupBy("category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("body"))
+    parts = F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("category"), F.lit('":'), F.to_json("body"))))
+    return inner.agg(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("document"))

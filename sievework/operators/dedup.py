@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.scores import bands, hamming
+from sievework.operators.manifest import numbered
 
 # The largest distances of strong pairs and of pairs to be reviewed.
 STRONG, REVIEW = 6, 10
@@ -16,8 +17,8 @@ def exact_groups(df: DataFrame, hash_col: str, order: str) -> DataFrame:
     rows = df.where(F.col(hash_col).isNotNull())
     groups = rows.groupBy(hash_col).agg(F.count("*").alias("group_size"), F.min(order).alias("first")).where("group_size > 1")
     # Numbers need one order over all groups: their first rows are ranked, not the rows of the corpus.
-    numbered = groups.withColumn("duplicate_group", F.row_number().over(Window.orderBy("first", hash_col)))
-    return rows.join(numbered.select(hash_col, "group_size", "duplicate_group"), hash_col)
+    ranked = numbered(groups, ["first", hash_col], "duplicate_group")
+    return rows.join(ranked.select(hash_col, "group_size", "duplicate_group"), hash_col)
 
 
 def words(text: Column) -> Column:

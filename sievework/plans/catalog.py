@@ -2,8 +2,8 @@
 
 An image corpus has stand-ins here: a document is an image, its source
 the dataset, its language the class, its number of characters the size, a
-64-bit SimHash the perceptual hash, the first ten components of an embedding
-the class scores, and days of events the epochs of a training history.
+64-bit SimHash the perceptual hash, the components of an embedding the
+class scores, and days of events the epochs of a training history.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import paths, scores
-from sievework.operators import audit, curate, dedup, evaluate, graph, profile, quality, serve, split, taxonomy, waste
+from sievework.operators import audit, curate, dedup, evaluate, graph, manifest, profile, quality, serve, split, taxonomy, waste
+from sievework.sources.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -327,15 +328,16 @@ def taxonomy_rollup(spark, d):
     return taxonomy.rollup(taxonomy_map(spark, d))
 
 
-_WASTE = "waste AS (SELECT * FROM (VALUES " + ", ".join(map(str, waste.RULES)) + ") t(dataset, original_class, unified_class)), src AS (SELECT dataset, original_class, n_chars % 100 AS source_count FROM waste JOIN documents ON doc_id = length(dataset) + length(original_class))"
+_WASTE = "waste AS (SELECT * FROM (VALUES " + ", ".join(str((i, *r)) for i, r in enumerate(waste.RULES)) + f") t(i, dataset, original_class, unified_class)), src AS (SELECT dataset, original_class, count(*) AS source_count FROM documents JOIN waste ON i = doc_id % {len(waste.RULES)} GROUP BY 1, 2)"
 
 
 @query(f"WITH {_WASTE} SELECT unified_class, sum(source_count)::BIGINT AS n FROM src JOIN waste USING (dataset, original_class) GROUP BY 1")
 def waste_taxonomy_rollup(spark, d):
-    rules = waste.taxonomy(spark)
-    counted = rules.select("dataset", "original_class").join(documents(spark, d).select("doc_id", "n_chars"), F.col("doc_id") == F.length("dataset") + F.length("original_class"))
-    src = counted.select(F.upper("dataset").alias("dataset"), "original_class", (F.col("n_chars") % 100).alias("source_count"))
-    return taxonomy.rollup(taxonomy.map_classes(src, rules)).select("unified_class", "n")
+    """Each document is an image of one of the source classes; all are counted and mapped."""
+    rules = F.array(*[F.struct(F.lit(a).alias("dataset"), F.lit(b).alias("original_class")) for a, b, _ in waste.RULES])
+    own = documents(spark, d).select(F.element_at(rules, (F.col("doc_id") % len(waste.RULES) + 1).cast("int")).alias("r"))
+    src = own.groupBy(F.upper("r.dataset").alias("dataset"), F.col("r.original_class").alias("original_class")).agg(F.count("*").alias("source_count"))
+    return taxonomy.rollup(taxonomy.map_classes(src, waste.taxonomy(spark))).select("unified_class", "n")
 
 
 @query("SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS class_index FROM (SELECT DISTINCT lang FROM documents)")
@@ -364,7 +366,7 @@ members AS (SELECT d.doc_id, d.lang, d.source, d.split, d.sha256, coalesce('GROU
 
 
 def near_edges(spark, d):
-    sig = signed(spark, d)
+    sig = written(signed(spark, d), "simhash")
     pairs = dedup.near_pairs(sig, "doc_id", dedup.STRONG).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return pairs.union(dedup.star_edges(sig, "signature", "doc_id"))
 
@@ -383,13 +385,11 @@ def leakage_groups(spark, d):
     return members(spark, d).select("doc_id", "leakage_group")
 
 
-@query(f"WITH RECURSIVE {_COMPONENTS} SELECT id AS doc_id, concat('NEAR_', lpad(dense_rank() OVER (ORDER BY root)::VARCHAR, 5, '0')) AS near_group FROM nleak")
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT id AS doc_id, printf('NEAR_%05d', dense_rank() OVER (ORDER BY root)) AS near_group FROM nleak")
 def near_components(spark, d):
-    from pyspark.sql import Window
-
     roots = graph.components(near_edges(spark, d))
     # One order over the groups, not over their members.
-    named = roots.select("root").distinct().withColumn("near_group", paths.padded_id("NEAR", F.row_number().over(Window.orderBy("root"))))
+    named = manifest.numbered(roots.select("root").distinct(), ["root"], "n").select("root", paths.padded_id("NEAR", F.col("n")).alias("near_group"))
     return roots.join(named, "root").select(F.col("id").alias("doc_id"), "near_group")
 
 
@@ -532,30 +532,30 @@ def integrity_audit(spark, d):
 # ---------------------------------------------------------------- evaluation and serving
 
 _SCORED = """
-raw AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS v FROM embeddings),
+raw AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 ex AS (SELECT vec_id, label, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM raw),
 probs AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM ex),
 scored AS (SELECT vec_id, label, p, list_position(p, list_max(p)) - 1 AS predicted FROM probs)
 """
-NAMES = [f"class {i}" for i in range(9)]
+NAMES = [f"class {i}" for i in range(60)]
 GUIDANCE = [("class 0", "Keep dry."), ("class 1", "Rinse first."), ("class 3", "Take to a collection point.")]
 
 
 def scored(spark, d):
-    v = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, d, "embeddings").select("vec_id", "label", v.alias("logits"), scores.softmax(v).alias("p")).withColumn("predicted", scores.argmax(F.col("p")))
 
 
-@query(f"WITH {_SCORED}, ranked AS (SELECT vec_id, i - 1 AS class_index, p[i] AS x, row_number() OVER (PARTITION BY vec_id ORDER BY p[i] DESC, i) AS rank FROM scored, generate_series(1, 10) t(i)) SELECT vec_id, rank, class_index::INT AS class_index, round(x, 6) AS confidence FROM ranked WHERE rank <= 3")
+@query(f"WITH {_SCORED}, ranked AS (SELECT vec_id, i - 1 AS class_index, p[i] AS x, row_number() OVER (PARTITION BY vec_id ORDER BY p[i] DESC, i) AS rank FROM scored, generate_series(1, 64) t(i)) SELECT vec_id, rank, class_index::INT AS class_index, round(x, 6) AS confidence FROM ranked WHERE rank <= 3")
 def softmax_topk(spark, d):
     return scored(spark, d).select("vec_id", F.posexplode(scores.top_k(F.col("p"), 3)).alias("i", "s")).select("vec_id", (F.col("i") + 1).cast("long").alias("rank"), F.col("s")["index"].cast("int").alias("class_index"), F.round(F.col("s")["value"], 6).alias("confidence"))
 
 
-_CELLS = f"{_SCORED}, cells AS (SELECT a.i::INT AS actual, b.i::INT AS predicted, count(s.vec_id) AS n FROM generate_series(0, 9) a(i) CROSS JOIN generate_series(0, 9) b(i) LEFT JOIN scored s ON s.label = a.i AND s.predicted = b.i GROUP BY 1, 2)"
+_CELLS = f"{_SCORED}, cells AS (SELECT a.i::INT AS actual, b.i::INT AS predicted, count(s.vec_id) AS n FROM generate_series(0, 63) a(i) CROSS JOIN generate_series(0, 63) b(i) LEFT JOIN scored s ON s.label = a.i AND s.predicted = b.i GROUP BY 1, 2)"
 
 
 def cells(spark, d):
-    return evaluate.confusion(scored(spark, d), "label", "predicted", list(range(10)))
+    return evaluate.confusion(scored(spark, d), "label", "predicted", list(range(64)))
 
 
 @query(f"WITH {_CELLS} SELECT * FROM cells")
@@ -625,14 +625,14 @@ def plateau_lr(spark, d):
 
 @query(f"""
 WITH {_SCORED}, q AS (SELECT p, list_transform(p, lambda x: round(x, 2)) AS q FROM scored)
-SELECT round(max(list_max(list_transform(generate_series(1, 10), lambda i: abs(p[i] - q[i])))), 6) AS max_abs_difference, count(*) FILTER (list_position(p, list_max(p)) = list_position(q, list_max(q))) AS same_argmax, count(*) AS n FROM q
+SELECT round(max(list_max(list_transform(generate_series(1, 64), lambda i: abs(p[i] - q[i])))), 6) AS max_abs_difference, count(*) FILTER (list_position(p, list_max(p)) = list_position(q, list_max(q))) AS same_argmax, count(*) AS n FROM q
 """)
 def scorer_parity(spark, d):
     rows = scored(spark, d).select("p", F.transform("p", lambda x: F.round(x, 2)).alias("q"))
     return evaluate.parity(rows, "p", "q").withColumn("max_abs_difference", F.round("max_abs_difference", 6))
 
 
-_NAMED = f"{_SCORED}, named AS (SELECT vec_id, predicted, CASE WHEN predicted < 9 THEN concat('class ', predicted) ELSE concat('Unknown Class ', predicted) END AS prediction, round(list_max(p), 6) AS confidence, round(100 * list_max(p), 2) AS confidence_percent FROM scored)"
+_NAMED = f"{_SCORED}, named AS (SELECT vec_id, predicted, CASE WHEN predicted < 60 THEN concat('class ', predicted) ELSE concat('Unknown Class ', predicted) END AS prediction, round(list_max(p), 6) AS confidence, round(100 * list_max(p), 2) AS confidence_percent FROM scored)"
 
 
 def served(spark, d):
@@ -650,9 +650,9 @@ def _ladder_sql(name: str) -> str:
     return "CASE " + " ".join(f"WHEN x >= {least} THEN '{text}'" for least, text in steps) + f" ELSE '{last}' END AS {name}_text"
 
 
-@query(f"WITH {_NAMED} SELECT vec_id, {', '.join(map(_ladder_sql, scores.LADDERS))} FROM (SELECT vec_id, confidence_percent * 4 AS x FROM named)")
+@query(f"WITH {_NAMED} SELECT vec_id, {', '.join(map(_ladder_sql, scores.LADDERS))} FROM (SELECT vec_id, confidence_percent * 20 AS x FROM named)")
 def confidence_ladder(spark, d):
-    x = F.col("confidence_percent") * 4
+    x = F.col("confidence_percent") * 20
     return served(spark, d).select("vec_id", *[scores.ladder(x, name).alias(f"{name}_text") for name in scores.LADDERS])
 
 
@@ -671,9 +671,9 @@ def weighted_loss(spark, d):
     return evaluate.weighted_loss(table(spark, d, "events"), "value", "user_id").select(F.round("mean_loss", 6).alias("mean_loss"))
 
 
-@query(f"WITH {_NAMED} SELECT vec_id, u.c AS prediction, u.g AS guidance FROM named JOIN (VALUES {', '.join(str((i, c, g)) for i, (c, g) in enumerate(sorted(waste.GUIDANCE.items())))}) u(i, c, g) ON u.i = named.predicted")
+@query(f"WITH {_NAMED} SELECT vec_id, u.c AS prediction, u.g AS guidance FROM named JOIN (VALUES {', '.join(str((i, c, g)) for i, (c, g) in enumerate(sorted(waste.GUIDANCE.items())))}) u(i, c, g) ON u.i = named.predicted % 16")
 def waste_guidance(spark, d):
-    rows = scored(spark, d).select("vec_id", F.element_at(F.array(*map(F.lit, sorted(waste.GUIDANCE))), F.col("predicted") + 1).alias("prediction"))
+    rows = scored(spark, d).select("vec_id", F.element_at(F.array(*map(F.lit, sorted(waste.GUIDANCE))), F.col("predicted") % 16 + 1).alias("prediction"))
     return serve.with_guidance(rows, waste.guidance(spark)).select("vec_id", "prediction", "guidance")
 
 
@@ -699,3 +699,6 @@ _LINK, _TITLE = r'(?i)href\s*=\s*"([^"]*)"', "(?i)<title>([^<]*)</title>"
 @query(f"SELECT page_id, len(regexp_extract_all(html, '{_LINK}', 1)) AS n_links, regexp_extract(html, '{_TITLE}', 1) AS title FROM pages")
 def text_patterns(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(_LINK), 1)).cast("long").alias("n_links"), F.regexp_extract("html", _TITLE, 1).alias("title"))
+
+
+from sievework.plans import manifest as _more  # noqa: E402, F401  registers its queries

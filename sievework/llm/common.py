@@ -40,7 +40,7 @@ def own_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def pieces(texts: list[str | None], limit: int = 1 << 20):
+def pieces(texts: list[str | None], limit: int = 1 << 19):
     """Slices (from, to) of a list so that each has at most `limit` characters or is one text."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sievework.operators.graph import components
 
-from .common import grams, mix64, own_name, pieces, ship, word_hashes, written
+from .common import grams, mix64, pieces, ship, word_hashes, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -34,7 +34,6 @@ DF_BITS = 18
 RAREST = 256  # a word in one of so many documents, or fewer, has the highest IDF
 BLOCK = 512  # different texts of a bucket that one task compares with each other or with another block
 BLOCK_WORDS = 1 << 20  # and their words
-SLICE = 1 << 19  # characters of text at once
 _T = 1 << 16
 _TABLES: list[tuple] = []
 
@@ -83,7 +82,7 @@ def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             n += sum(t is not None for t in texts)
-            for a, b in pieces(texts, SLICE):
+            for a, b in pieces(texts):
                 df += document_words(*word_hashes(texts[a:b]))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], names=["word", "n"])
@@ -199,7 +198,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in pieces(texts, SLICE):
+            for a, b in pieces(texts):
                 sets = shingles(texts[a:b], sent.value)
                 keys, sizes = [sample(*x) for x in sets], [len(x[0]) for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("digest")[a:b], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "words", "bands"])
@@ -287,7 +286,7 @@ def compare(tasks: DataFrame, texts: DataFrame, idf: np.ndarray, least: float =
         for batch in batches:
             texts = batch.column("text").to_pylist()
             keys, own = batch.column("task").to_pylist(), list(zip(batch.column("copy_id").to_pylist(), batch.column("digest").to_pylist(), strict=True))
-            for a, b in pieces(texts, SLICE):
+            for a, b in pieces(texts):
                 for task, n, s in zip(keys[a:b], own[a:b], shingles(texts[a:b], sent.value), strict=True):
                     if task != now:
                         if len(nodes) > 1:

@@ -1,17 +1,21 @@
-"""Metrics of image files: size, brightness, sharpness, perceptual hash, model input.
+"""Metrics of image files: size, brightness, sharpness, perceptual hash, model input, class scores.
 
-Binary PPM and PGM and uncompressed 24-bit BMP files are decoded with numpy;
-other formats, and files that can't be decoded, give an error in the row.
+JPEG, PNG, GIF and BMP files are decoded by Spark's own image decoder on the
+JVM; PPM and PGM files, and BMP files where only bytes are at hand, with numpy.
+Files that can't be decoded, WebP and TIFF among them, give an error in the row.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Channel means and deviations of the usual photo normalisation, and luma weights.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -78,18 +82,113 @@ def model_input(content: bytes) -> list[float]:
 def inspect_image(path: str, content: bytes) -> tuple:
     try:
         px, kind, mode = decode(bytes(content))
-        h, w = px.shape[:2]
-        gray = luma(px)
-        return path, w, h, w / h if h else 0.0, kind, mode, float(gray.mean()), blur(gray), phash(gray), None
+        return measured(path, px, kind, mode)
     except Exception as e:  # a broken file is a row, not a failed job
         return path, None, None, None, None, None, None, None, None, f"read_error:{type(e).__name__}"
 
 
+def from_planes(height: int, width: int, channels: int, data: bytes) -> tuple[np.ndarray, str]:
+    """(height, width, 3) bytes and mode of what Spark's image source gives: rows of gray, BGR or BGRA bytes."""
+    px = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    if channels == 1:
+        return np.repeat(px, 3, axis=2), "L"
+    return px[:, :, 2::-1], "RGBA" if channels == 4 else "RGB"
+
+
+def measured(path: str, px: np.ndarray, kind: str, mode: str) -> tuple:
+    h, w = px.shape[:2]
+    gray = luma(px)
+    return path, w, h, w / h if h else 0.0, kind, mode, float(gray.mean()), blur(gray), phash(gray), None
+
+
+def read_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, height, width, channels, data) of the JPEG, PNG, GIF and BMP files below a folder; -1 and no data for broken ones."""
+    rows = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
+    return rows.select(F.col("image.origin").alias("path"), *[F.col(f"image.{c}").alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))])
+
+
+def inspect_decoded(images: DataFrame) -> DataFrame:
+    """Metrics of rows of read_images; one row for each file."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for path, h, w, n, data in zip(*(f[c] for c in ("path", "height", "width", "channels", "data")), strict=True):
+                kind = path.rsplit(".", 1)[-1].upper().replace("JPG", "JPEG")
+                try:
+                    px, mode = from_planes(h, w, n, bytes(data))
+                    rows.append(measured(path, px, kind, mode))
+                except Exception as e:  # a broken file is a row, not a failed job
+                    rows.append((path, *[None] * 8, f"read_error:{type(e).__name__}"))
+            yield _frame(rows)
+
+    return images.mapInPandas(run, SCHEMA)
+
+
+def model_inputs(images: DataFrame) -> DataFrame:
+    """(path, x array<float>): the normalised, channel-first copy of each decodable image; null for others."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for h, w, n, data in zip(*(f[c] for c in ("height", "width", "channels", "data")), strict=True):
+                try:
+                    px = resize(from_planes(h, w, n, bytes(data))[0], SIDE, SIDE) / 255
+                    out.append(((px - MEAN) / STD).transpose(2, 0, 1).ravel().astype(np.float32))
+                except Exception:  # no input for a broken file
+                    out.append(None)
+            yield pd.DataFrame({"path": f["path"], "x": out})
+
+    return images.mapInPandas(run, "path string, x array<float>")
+
+
+def classify(inputs: DataFrame, model: str, x: str = "x") -> DataFrame:
+    """inputs with logits: a forward pass of an ONNX file, or of an .npz file with `weight` (classes, inputs) and `bias`.
+
+    The file is read through Spark, sent to the workers once, and loaded once
+    in each task; rows go through it in batches. Null inputs have no logits.
+    """
+    spark = inputs.sparkSession
+    content = spark.read.format("binaryFile").load(model).select("content").first()[0]
+    sent = spark.sparkContext.broadcast(bytes(content))
+    onnx = model.endswith(".onnx")
+
+    def loaded():
+        if onnx:
+            import onnxruntime
+
+            session = onnxruntime.InferenceSession(sent.value, providers=["CPUExecutionProvider"])
+            name, shape = session.get_inputs()[0].name, session.get_inputs()[0].shape
+            return lambda a: session.run(None, {name: a.reshape(len(a), *shape[1:])})[0]
+        parts = np.load(io.BytesIO(sent.value))
+        return lambda a: a @ parts["weight"].T + parts["bias"]
+
+    @F.pandas_udf("array<float>")
+    def forward(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = loaded()
+        for batch in batches:
+            out = pd.Series([None] * len(batch), dtype=object)
+            there = np.flatnonzero(batch.notna())
+            for a in range(0, len(there), 32):
+                some = there[a : a + 32]
+                for k, row in zip(some.tolist(), model(np.stack(batch.iloc[some].to_list()).astype(np.float32)), strict=True):
+                    out[k] = row.astype(np.float32)
+            yield out
+
+    return inputs.withColumn("logits", forward(F.col(x)))
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    # As objects first: whole numbers beside None would pass through doubles, which 64-bit hashes don't survive.
+    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")], dtype=object)
+    return frame.astype({"width": "Int32", "height": "Int32", "phash": "Int64", "aspect_ratio": "Float64", "mean_brightness": "Float64", "blur_score": "Float64"})
+
+
 def inspect_images(files: DataFrame) -> DataFrame:
     """Metrics of (path, content) rows, as the binaryFile source gives; one row for each file."""
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame([inspect_image(p, c) for p, c in zip(f["path"], f["content"], strict=True)], columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"width": "Int32", "height": "Int32", "phash": "Int64"})
+            yield _frame([inspect_image(p, c) for p, c in zip(f["path"], f["content"], strict=True)])
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)

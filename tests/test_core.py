@@ -208,6 +208,87 @@ def test_entry(spark):
     assert e.queries()["serving_json"](spark, SF).count() == 500
 
 
+def png(px):
+    """An RGB or gray PNG, written by hand."""
+    import struct
+    import zlib
+
+    h, w = px.shape[:2]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + px[y].astype(np.uint8).tobytes() for y in range(h))
+    head = struct.pack(">IIBBBBB", w, h, 8, 2 if px.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images_of_spark_s_source(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    images = {f"c{k % 3}/i{k}.png": rng.integers(0, 256, (40 + k, 50, 3)) for k in range(6)} | {"c0/gray.png": rng.integers(0, 256, (33, 47))}
+    for name, px in images.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(png(px))
+    (tmp_path / "c1/broken.png").write_bytes(b"\x89PNG but no more")
+    read = pixels.read_images(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 2)[-2] + "/" + r.path.rsplit("/", 1)[-1]: r for r in pixels.inspect_decoded(read).collect()}
+    assert set(got) == {*images, "c1/broken.png"} and got["c1/broken.png"].error.startswith("read_error") and got["c1/broken.png"].width is None
+    for name, px in images.items():
+        three = px if px.ndim == 3 else np.repeat(px[:, :, None], 3, axis=2)
+        gray = np.round(three @ np.array([0.299, 0.587, 0.114]))
+        r = got[name]
+        assert (r.height, r.width, r.mode, r.format, r.error) == (*px.shape[:2], "RGB" if px.ndim == 3 else "L", "PNG", None)
+        assert r.mean_brightness == pytest.approx(gray.mean()) and r.phash == pixels.phash(gray)
+    x = pixels.model_inputs(read)
+    weight, bias = rng.normal(size=(4, 3 * 224 * 224)).astype(np.float32), np.arange(4, dtype=np.float32)
+    np.savez(tmp_path / "model.npz", weight=weight, bias=bias)
+    rows = pixels.classify(x, str(tmp_path / "model.npz")).collect()
+    assert len(rows) == 8
+    for r in rows:
+        if r.path.endswith("broken.png"):
+            assert r.x is None and r.logits is None
+        else:
+            assert r.logits == pytest.approx((weight @ np.array(r.x, np.float32) + bias).tolist(), rel=1e-3, abs=1e-2)
+
+
+def test_audit_report_of_a_clean_manifest(spark):
+    rows = [(i, f"g{i // 2}", "train" if i < 16 else "val" if i < 24 else "TEST", f"c{i // 2 % 2}", i == 3) for i in range(32)]
+    m = spark.createDataFrame(rows, "path long, grp string, split string, label string, near boolean")
+    how = {"key": "path", "group": "grp", "split": "split", "label": "label", "near": "near", "splits": {"train": "train", "val": "val", "test": "test"}}
+    got = {(r.category, r.metric): r.value for r in audit.report(m, m.union(m.limit(8)), m, m.limit(1), **how).collect()}
+    assert len(got) == 31
+    want = {("dataset", "total_images"): "32", ("split", "test"): "8", ("leakage", "groups_multiple_images"): "16", ("duplicates", "exact_duplicate_images"): "32", ("retention", "retention_rate_percent"): "80.0", ("files", "images_missing"): "0"}
+    assert want.items() <= got.items()
+    assert all(v == "true" for (c, k), v in got.items() if c == "validation" and k != "label_conflicts_warning") and got["validation", "label_conflicts_warning"] == "false"
+    bad = {(r.category, r.metric): r.value for r in audit.report(m.withColumn("split", F.when(F.col("path") == 0, "val").otherwise(F.col("split"))), m, m.where("path > 5"), m.limit(0), **how).collect()}
+    assert (bad["validation", "cross_split_leakage"], bad["validation", "missing_images"], bad["validation", "overall_integrity"], bad["files", "images_found"]) == ("false", "false", "false", "26")
+
+
+def test_long_numbers_keep_their_digits(spark):
+    got = spark.range(1).select(paths.padded_id("NEAR", F.lit(123456)).alias("a"), paths.padded_id("NEAR", F.lit(12345)).alias("b")).first()
+    assert tuple(got) == ("NEAR_123456", "NEAR_12345")
+
+
+def test_numbers_follow_one_order(spark):
+    from sievework.operators.manifest import numbered
+
+    df = spark.createDataFrame([(k * 7919 % 1000, k) for k in range(1000)], "a long, b long").repartition(7)
+    got = numbered(df, ["a", "b"], "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, 1001)) and [r.a for r in got] == sorted(r.a for r in got)
+    assert numbered(df.where("false"), ["a"], "n").count() == 0
+
+
+def test_a_cluster_must_name_a_shared_folder(spark):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session)
+
+
 @pytest.mark.parametrize("name", sorted(__import__("sievework.plans.catalog", fromlist=["x"]).ORACLES))
 def test_query_matches_its_sql(spark, name):
     import duckdb

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import own_name, ship
+from .common import own_name, ship, tidy
 
 WINDOW = 16  # bytes that the rolling hash sees; a power of two
 MASK_BITS = 11  # one byte in 2**11 is a cut
@@ -220,4 +220,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests:
                     ]
                 yield pa.RecordBatch.from_arrays([*left, pa.array(np.diff(bounds)), *more], names=[*keep, *made])
 
-    return docs.mapInArrow(run, full)
+    return docs.mapInArrow(tidy(run), full)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -32,6 +33,25 @@ def ship(spark: SparkSession) -> None:
     sc._sievework_shipped = True
 
 
+def tidy(run):
+    """run, for mapInArrow: what a task has freed goes back to the system when it ends, since workers live on."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def own_name(df: DataFrame, wanted: str) -> str:
     """A column name that df hasn't got."""
     taken = {c.lower() for c in df.columns}

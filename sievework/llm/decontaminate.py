@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import grams, pieces, scratch, ship, word_hashes, written
+from .common import grams, pieces, scratch, ship, tidy, word_hashes, written
 
 SHARE = 0.15  # of an item's words that may be changed
 GRAM = 5  # words of a piece that are looked up; shorter pieces are looked up whole
@@ -162,7 +162,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 columns = zip(*found, strict=True) if found else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "distance", "end_word"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(tidy(run), schema)
         if n == 1:
             return part
         part.write.mode("append").parquet(path)
@@ -185,6 +185,6 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
                 keep = [not got for a, b in pieces(texts) for got in sent.value.matches(texts[a:b])]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
         docs = written(docs, "leakless") if n > 1 else docs
     return docs

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_name, pieces, ship
+from .common import own_name, pieces, ship, tidy
 
 ORDERS = (1, 2, 3)
 BITS = 15  # of the hashed features of each order
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "
                 got = sent.value.predict(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in keep), pa.array([x[0] for x in got]), pa.array([x[1] for x in got], pa.float64())], names=[*keep, lang_out, score_out])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sievework.operators.graph import components
 
-from .common import grams, mix64, pieces, ship, word_hashes, written
+from .common import grams, mix64, pieces, ship, tidy, word_hashes, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -88,7 +88,7 @@ def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], names=["word", "n"])
 
     # At most a row for each bucket comes to the driver.
-    got = docs.select(F.col(f"`{text}`")).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    got = docs.select(F.col(f"`{text}`")).mapInArrow(tidy(run), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     df = np.zeros(1 << DF_BITS)
     real = got[got.word >= 0]
     df[real.word] = real.n
@@ -203,7 +203,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 keys, sizes = [sample(*x) for x in sets], [len(x[0]) for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("digest")[a:b], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "words", "bands"])
 
-    return docs.select("id", digest().alias("digest"), "text").mapInArrow(run, f"id {_type(docs, 'id')}, digest binary, words long, bands array<long>")
+    return docs.select("id", digest().alias("digest"), "text").mapInArrow(tidy(run), f"id {_type(docs, 'id')}, digest binary, words long, bands array<long>")
 
 
 def digest(text: str = "text") -> Column:
@@ -312,7 +312,7 @@ def compare(tasks: DataFrame, texts: DataFrame, idf: np.ndarray, least: float =
         yield edges(found)
 
     t = kind.simpleString()
-    out = rows.mapInArrow(run, f"src_id {t}, src_digest binary, dst_id {t}, dst_digest binary, similarity double")
+    out = rows.mapInArrow(tidy(run), f"src_id {t}, src_digest binary, dst_id {t}, dst_digest binary, similarity double")
     return out.select(node("src_id", "src_digest").alias("src"), node("dst_id", "dst_digest").alias("dst"), "similarity")
 
 

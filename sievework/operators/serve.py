@@ -39,3 +39,13 @@ def serving_row(df: DataFrame, logits: str, names: list[str], guidance: DataFram
     rows = with_guidance(predictions(df, logits, names, k), guidance)
     document = F.struct("prediction", "confidence", "confidence_percent", "top_predictions", ladder(F.col("confidence_percent")).alias("confidence_text"), "guidance")
     return rows.withColumn("document", F.to_json(document))
+
+
+def best_match(files: DataFrame, key: str, name: str, stem: str, newest: list[str]) -> DataFrame:
+    """(key, best): the name that goes best with the stem of its key, of equal ones the newest; keys without any score have no row."""
+    low = F.lower(name)
+    # What parts of a file name count.
+    parts = [(F.lower(stem), 10), (F.lit("grad"), 5), (F.lit("cam"), 5), (F.lit("why"), 3)]
+    score = sum((F.when(F.contains(low, part), n).otherwise(0) for part, n in parts), F.lit(0))
+    rows = files.select(key, F.col(name).alias("best"), F.struct(score.alias("score"), *newest).alias("rank")).where("rank.score > 0")
+    return rows.groupBy(key).agg(F.max_by("best", "rank").alias("best"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COLUMNS = ["dataset", "original_class", "unified_parent", "unified_class", "training_role", "safety_level", "disposal_group", "mapping_confidence"]
+COLUMNS = ["dataset", "original_class", "unified_parent", "unified_class", "training_role", "safety_level", "disposal_group", "mapping_confidence", "mapping_reason"]
 
 
 def mapping_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in COLUMNS))
+    """Rows with values for all COLUMNS, or for the first ones."""
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in COLUMNS[: len(rows[0])]))
 
 
 def _keys(df: DataFrame, taxonomy: DataFrame):
     # The mapping is a short fixed list, so Catalyst broadcasts it by its size.
     numbered = taxonomy.withColumn("n", F.monotonically_increasing_id())
-    last = numbered.groupBy(F.lower(F.trim("dataset")).alias("k1"), F.lower(F.trim("original_class")).alias("k2")).agg(F.max_by(F.struct(*COLUMNS[2:]), "n").alias("m"))
+    last = numbered.groupBy(F.lower(F.trim("dataset")).alias("k1"), F.lower(F.trim("original_class")).alias("k2")).agg(F.max_by(F.struct(*[c for c in taxonomy.columns if c in COLUMNS[2:]]), "n").alias("m"))
     return df.withColumns({"k1": F.lower(F.trim("dataset")), "k2": F.lower(F.trim("original_class"))}), last
 
 

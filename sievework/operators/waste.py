@@ -6,61 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievework.operators.taxonomy import mapping_table
 
-# Unified class -> parent, role, safety level, disposal group.
-CLASSES = {
-    "Battery": ("Special", "safety_critical", "S3", "Battery Collection"),
-    "Cardboard": ("Recyclable", "material", "S1", "Cardboard Recycling"),
-    "Electronic Component": ("E-Waste", "e_waste", "S2", "E-Waste Collection"),
-    "Electronic Device": ("E-Waste", "e_waste", "S2", "E-Waste Collection"),
-    "Food Organics": ("Organic", "organic", "S0", "Organic Waste"),
-    "Glass": ("Recyclable", "material", "S1", "Glass Recycling"),
-    "Hazardous Waste": ("Hazardous", "stream", "S3", "Hazardous Waste Collection"),
-    "Large Electronic Appliance": ("E-Waste", "e_waste", "S2", "E-Waste Collection"),
-    "Metal": ("Recyclable", "material", "S1", "Metal Recycling"),
-    "Organic Stream": ("Organic", "stream", "S0", "Organic Waste"),
-    "Paper": ("Recyclable", "material", "S1", "Paper Recycling"),
-    "Plastic": ("Recyclable", "material", "S1", "Plastic Recycling"),
-    "Recyclable Stream": ("Recyclable", "stream", "S1", "Recycling Stream"),
-    "Residual": ("Residual", "residual", "S0", "Residual Waste"),
-    "Textile": ("Recyclable", "material", "S1", "Textile Recovery"),
-    "Vegetation": ("Organic", "organic", "S0", "Organic Waste"),
-}
-
-# Dataset, source class, unified class.
-RULES = [
-    ("trashnet", "cardboard", "Cardboard"),
-    ("trashnet", "glass", "Glass"),
-    ("trashnet", "metal", "Metal"),
-    ("trashnet", "paper", "Paper"),
-    ("trashnet", "plastic", "Plastic"),
-    ("trashnet", "trash", "Residual"),
-    ("realwaste", "cardboard", "Cardboard"),
-    ("realwaste", "food organics", "Food Organics"),
-    ("realwaste", "glass", "Glass"),
-    ("realwaste", "metal", "Metal"),
-    ("realwaste", "miscellaneous trash", "Residual"),
-    ("realwaste", "paper", "Paper"),
-    ("realwaste", "plastic", "Plastic"),
-    ("realwaste", "textile trash", "Textile"),
-    ("realwaste", "vegetation", "Vegetation"),
-    ("ewaste", "battery", "Battery"),
-    ("ewaste", "keyboard", "Electronic Device"),
-    ("ewaste", "mobile", "Electronic Device"),
-    ("ewaste", "mouse", "Electronic Device"),
-    ("ewaste", "printer", "Electronic Device"),
-    ("ewaste", "player", "Electronic Device"),
-    ("ewaste", "pcb", "Electronic Component"),
-    ("ewaste", "microwave", "Large Electronic Appliance"),
-    ("ewaste", "television", "Large Electronic Appliance"),
-    ("ewaste", "washing machine", "Large Electronic Appliance"),
-    ("phenomsg", "hazardous", "Hazardous Waste"),
-    ("phenomsg", "non-recyclable", "Residual"),
-    ("phenomsg", "organic", "Organic Stream"),
-    ("phenomsg", "recyclable", "Recyclable Stream"),
+# Dataset, source class, parent, unified class, role, safety level, disposal group, confidence and reason of the mapping.
+TAXONOMY = [
+    ("trashnet", "cardboard", "Recyclable", "Cardboard", "material", "S1", "Cardboard Recycling", "HIGH", "Direct material-level label."),
+    ("trashnet", "glass", "Recyclable", "Glass", "material", "S1", "Glass Recycling", "HIGH", "Direct material-level label."),
+    ("trashnet", "metal", "Recyclable", "Metal", "material", "S1", "Metal Recycling", "HIGH", "Direct material-level label."),
+    ("trashnet", "paper", "Recyclable", "Paper", "material", "S1", "Paper Recycling", "HIGH", "Direct material-level label."),
+    ("trashnet", "plastic", "Recyclable", "Plastic", "material", "S1", "Plastic Recycling", "HIGH", "Direct material-level label."),
+    ("trashnet", "trash", "Residual", "Residual", "residual", "S0", "Residual Waste", "MEDIUM", "Generic TrashNet label; safest unified representation is residual waste."),
+    ("realwaste", "cardboard", "Recyclable", "Cardboard", "material", "S1", "Cardboard Recycling", "HIGH", "Direct material-level label."),
+    ("realwaste", "food organics", "Organic", "Food Organics", "organic", "S0", "Organic Waste", "HIGH", "Direct organic-waste label."),
+    ("realwaste", "glass", "Recyclable", "Glass", "material", "S1", "Glass Recycling", "HIGH", "Direct material-level label."),
+    ("realwaste", "metal", "Recyclable", "Metal", "material", "S1", "Metal Recycling", "HIGH", "Direct material-level label."),
+    ("realwaste", "miscellaneous trash", "Residual", "Residual", "residual", "S0", "Residual Waste", "HIGH", "Dataset explicitly identifies miscellaneous trash."),
+    ("realwaste", "paper", "Recyclable", "Paper", "material", "S1", "Paper Recycling", "HIGH", "Direct material-level label."),
+    ("realwaste", "plastic", "Recyclable", "Plastic", "material", "S1", "Plastic Recycling", "HIGH", "Direct material-level label."),
+    ("realwaste", "textile trash", "Recyclable", "Textile", "material", "S1", "Textile Recovery", "HIGH", "Direct textile-waste label."),
+    ("realwaste", "vegetation", "Organic", "Vegetation", "organic", "S0", "Organic Waste", "HIGH", "Direct vegetation/organic label."),
+    ("ewaste", "battery", "Special", "Battery", "safety_critical", "S3", "Battery Collection", "HIGH", "Battery is explicitly identifiable and requires special handling."),
+    ("ewaste", "keyboard", "E-Waste", "Electronic Device", "e_waste", "S2", "E-Waste Collection", "HIGH", "Electronic peripheral."),
+    ("ewaste", "mobile", "E-Waste", "Electronic Device", "e_waste", "S2", "E-Waste Collection", "HIGH", "Electronic consumer device."),
+    ("ewaste", "mouse", "E-Waste", "Electronic Device", "e_waste", "S2", "E-Waste Collection", "HIGH", "Electronic peripheral."),
+    ("ewaste", "printer", "E-Waste", "Electronic Device", "e_waste", "S2", "E-Waste Collection", "HIGH", "Electronic device."),
+    ("ewaste", "player", "E-Waste", "Electronic Device", "e_waste", "S2", "E-Waste Collection", "HIGH", "Electronic media device."),
+    ("ewaste", "pcb", "E-Waste", "Electronic Component", "e_waste", "S2", "E-Waste Collection", "HIGH", "Printed circuit board/electronic component."),
+    ("ewaste", "microwave", "E-Waste", "Large Electronic Appliance", "e_waste", "S2", "E-Waste Collection", "HIGH", "Electrical appliance."),
+    ("ewaste", "television", "E-Waste", "Large Electronic Appliance", "e_waste", "S2", "E-Waste Collection", "HIGH", "Electrical/electronic appliance."),
+    ("ewaste", "washing machine", "E-Waste", "Large Electronic Appliance", "e_waste", "S2", "E-Waste Collection", "HIGH", "Large electrical appliance."),
+    ("phenomsg", "hazardous", "Hazardous", "Hazardous Waste", "stream", "S3", "Hazardous Waste Collection", "HIGH", "Source dataset explicitly identifies hazardous waste."),
+    ("phenomsg", "non-recyclable", "Residual", "Residual", "stream", "S0", "Residual Waste", "HIGH", "Source dataset explicitly identifies non-recyclable waste."),
+    ("phenomsg", "organic", "Organic", "Organic Stream", "stream", "S0", "Organic Waste", "HIGH", "Source label identifies the broad organic waste stream without specifying a material."),
+    ("phenomsg", "recyclable", "Recyclable", "Recyclable Stream", "stream", "S1", "Recycling Stream", "HIGH", "Source label identifies recyclability but does not specify a material."),
 ]
-# Rules of less than high confidence, and classes whose role there is the stream.
-MEDIUM = {("trashnet", "trash")}
-STREAMS = {("phenomsg", "non-recyclable")}
 
 # Guidance by unified class.
 GUIDANCE = {
@@ -82,13 +59,24 @@ GUIDANCE = {
     "Vegetation": "Place vegetation and garden waste in the appropriate organic-waste or composting stream.",
 }
 
+# What the web page says for a class whose name holds a word; the first word counts.
+WEB_GUIDANCE = [
+    ("plastic", "Empty and rinse the plastic item when appropriate, then place it in the designated plastic recycling stream. Follow your local recycling rules."),
+    ("paper", "Keep paper clean and dry where possible and place it in the appropriate paper recycling stream."),
+    ("cardboard", "Flatten clean cardboard when practical and place it in the appropriate cardboard recycling stream."),
+    ("glass", "Place glass in the designated glass collection stream and follow local handling rules."),
+    ("metal", "Empty the metal item when appropriate and place it in the designated metal recycling stream."),
+    ("organic", "Place organic material in the designated organic or composting stream where available."),
+    ("food", "Place organic material in the designated organic or composting stream where available."),
+    ("vegetation", "Place organic material in the designated organic or composting stream where available."),
+    ("battery", "Do not place this with ordinary household recycling. Use the appropriate hazardous waste or special collection service."),
+    ("hazardous", "Do not place this with ordinary household recycling. Use the appropriate hazardous waste or special collection service."),
+]
+WEB_DEFAULT = "Follow your local waste segregation rules for this category."
+
 
 def taxonomy(spark: SparkSession) -> DataFrame:
-    rows = []
-    for dataset, source, unified in RULES:
-        parent, role, safety, disposal = CLASSES[unified]
-        rows.append((dataset, source, parent, unified, "stream" if (dataset, source) in STREAMS else role, safety, disposal, "MEDIUM" if (dataset, source) in MEDIUM else "HIGH"))
-    return mapping_table(spark, rows)
+    return mapping_table(spark, TAXONOMY)
 
 
 def guidance(spark: SparkSession) -> DataFrame:

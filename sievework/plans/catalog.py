@@ -328,14 +328,14 @@ def taxonomy_rollup(spark, d):
     return taxonomy.rollup(taxonomy_map(spark, d))
 
 
-_WASTE = "waste AS (SELECT * FROM (VALUES " + ", ".join(str((i, *r)) for i, r in enumerate(waste.RULES)) + f") t(i, dataset, original_class, unified_class)), src AS (SELECT dataset, original_class, count(*) AS source_count FROM documents JOIN waste ON i = doc_id % {len(waste.RULES)} GROUP BY 1, 2)"
+_WASTE = "waste AS (SELECT * FROM (VALUES " + ", ".join(str((i, *r)) for i, r in enumerate((t[0], t[1], t[3]) for t in waste.TAXONOMY)) + f") t(i, dataset, original_class, unified_class)), src AS (SELECT dataset, original_class, count(*) AS source_count FROM documents JOIN waste ON i = doc_id % {len(waste.TAXONOMY)} GROUP BY 1, 2)"
 
 
 @query(f"WITH {_WASTE} SELECT unified_class, sum(source_count)::BIGINT AS n FROM src JOIN waste USING (dataset, original_class) GROUP BY 1")
 def waste_taxonomy_rollup(spark, d):
     """Each document is an image of one of the source classes; all are counted and mapped."""
-    rules = F.array(*[F.struct(F.lit(a).alias("dataset"), F.lit(b).alias("original_class")) for a, b, _ in waste.RULES])
-    own = documents(spark, d).select(F.element_at(rules, (F.col("doc_id") % len(waste.RULES) + 1).cast("int")).alias("r"))
+    rules = F.array(*[F.struct(F.lit(a).alias("dataset"), F.lit(b).alias("original_class")) for a, b, *_ in waste.TAXONOMY])
+    own = documents(spark, d).select(F.element_at(rules, (F.col("doc_id") % len(waste.TAXONOMY) + 1).cast("int")).alias("r"))
     src = own.groupBy(F.upper("r.dataset").alias("dataset"), F.col("r.original_class").alias("original_class")).agg(F.count("*").alias("source_count"))
     return taxonomy.rollup(taxonomy.map_classes(src, waste.taxonomy(spark))).select("unified_class", "n")
 
@@ -701,4 +701,4 @@ def text_patterns(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(_LINK), 1)).cast("long").alias("n_links"), F.regexp_extract("html", _TITLE, 1).alias("title"))
 
 
-from sievework.plans import manifest as _more  # noqa: E402, F401  registers its queries
+from sievework.plans import manifest as _more, stored as _stored  # noqa: E402, F401  register their queries

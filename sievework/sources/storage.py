@@ -65,6 +65,16 @@ def require_columns(df: DataFrame, needed: set[str] | list[str]) -> DataFrame:
     return df
 
 
+def put_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, such as a model, in whatever store Spark can write."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def scan_files(spark: SparkSession, roots: dict[str, str], extensions: list[str] = IMAGE_EXTENSIONS) -> DataFrame:
     """(dataset, path, length, content) of the files below each root that exists; extensions in any case."""
     out = None
@@ -78,7 +88,10 @@ def scan_files(spark: SparkSession, roots: dict[str, str], extensions: list[str]
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, strict: bool = False) -> DataFrame:
-    """A CSV file with a header: typed by a schema, or all strings with a byte-order mark stripped; strict fails on bad rows."""
+    """A CSV file with a header: typed by a schema, or all strings with a byte-order mark stripped.
+
+    Empty values are null; strict fails on bad rows, which else have nulls.
+    """
     reader = spark.read.option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("multiLine", True).option("escape", '"')
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -112,9 +125,11 @@ def class_mapping(spark: SparkSession, text: str) -> DataFrame:
     return one.select(F.inline(entries)).orderBy("class_index")
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """One CSV report with a header; for small results."""
-    (df.select(*columns) if columns else df).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, single: bool = True) -> None:
+    """CSV with a header and all spaces kept: one file, for a report, or one for each partition."""
+    df = df.select(*columns) if columns else df
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (df.coalesce(1) if single else df).write.mode("overwrite").options(**kept).csv(path)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
@@ -126,3 +141,22 @@ def write_json_report(df: DataFrame, path: str) -> None:
 def write_split_cache(df: DataFrame, path: str, split: str = "split") -> None:
     """A Parquet cache with one folder for each split."""
     df.write.mode("overwrite").partitionBy(split).parquet(path)
+
+
+def read_split_cache(spark: SparkSession, path: str, wanted: str, split: str = "split") -> DataFrame:
+    """One split of write_split_cache; other splits' folders are not opened."""
+    return spark.read.parquet(path).where(F.col(split) == wanted)
+
+
+def write_results(df: DataFrame, path: str, stem: str = "stem", document: str = "document") -> None:
+    """JSON lines (file, document), one for each row: the file name is `<stem>_result.json`.
+
+    Lines of large files take the place of one tiny file for each image.
+    """
+    df.select(F.concat(F.col(stem), F.lit("_result.json")).alias("file"), F.col(document).alias("document")).write.mode("overwrite").json(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_results wrote, with the document's fields as columns."""
+    rows = spark.read.schema("file string, document string").json(path)
+    return rows.select("file", F.from_json("document", schema).alias("d")).select("file", "d.*")

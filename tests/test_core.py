@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import paths, scores
-from sievework.operators import audit, curate, dedup, evaluate, graph, pixels, quality, split, taxonomy
+from sievework.operators import audit, curate, dedup, evaluate, graph, pixels, quality, serve, split, taxonomy, waste
 from sievework.sources import storage
 from sievework.streaming import serve as stream
 from tests.conftest import SF
@@ -303,3 +303,39 @@ def test_query_matches_its_sql(spark, name):
     want = con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in names)} from ({ORACLES[name].strip()})").fetchall()
     assert len(want[0] if want else names) == len(got.columns)
     assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, want))
+
+
+def test_csv_keeps_texts_and_strict_reads_fail(spark, tmp_path):
+    df = spark.createDataFrame([(1, " a, \"b\"\nc "), (2, ""), (3, None), (4, "\t\\")], "n long, t string")
+    storage.write_csv(df, f"{tmp_path}/r", single=False)
+    assert {tuple(r) for r in storage.read_csv(spark, f"{tmp_path}/r", df.schema, strict=True).collect()} == {(r.n, r.t or None) for r in df.collect()}
+    (tmp_path / "bad.csv").write_text("n,t\nx,y\n")
+    assert storage.read_csv(spark, f"{tmp_path}/bad.csv", df.schema).first().n is None
+    with pytest.raises(Exception, match="(?i)malformed"):
+        storage.read_csv(spark, f"{tmp_path}/bad.csv", df.schema, strict=True).collect()
+
+
+def test_best_match_prefers_the_score_then_the_newest(spark):
+    rows = [
+        ("k", "S_cam.png", "s", 1), ("k", "s_grad.png", "s", 2), ("k", "s_why.png", "s", 9), ("m", "other.png", "s2", 1),
+        ("n", "gradcam.png", "zz", 1), ("n", "zz.png", "zz", 0), ("n", "zz2.png", "zz", 0),
+    ]
+    files = spark.createDataFrame(rows, "image string, name string, stem string, mtime int")
+    got = {r.image: r.best for r in serve.best_match(files, "image", "name", "stem", ["mtime", "name"]).collect()}
+    assert got == {"k": "s_grad.png", "n": "gradcam.png"}
+
+
+def test_waste_texts(spark):
+    names = [("Food Organics",), ("Plastic cardboard",), ("Hazardous Waste",), ("Residual",)]
+    advice = serve.guidance_rules(F.col("n"), waste.WEB_GUIDANCE, waste.WEB_DEFAULT)
+    got = [r.a.split(".")[0] for r in spark.createDataFrame(names, "n string").select(advice.alias("a")).collect()]
+    assert got == [
+        "Place organic material in the designated organic or composting stream where available", "Empty and rinse the plastic item when appropriate, then place it in the designated plastic recycling stream",
+        "Do not place this with ordinary household recycling", "Follow your local waste segregation rules for this category",
+    ]
+    rows = {(r.dataset, r.original_class): r for r in waste.taxonomy(spark).collect()}
+    assert len(rows) == 29
+    trash, stream = rows["trashnet", "trash"], rows["phenomsg", "non-recyclable"]
+    assert (trash.unified_class, trash.training_role, trash.mapping_confidence) == ("Residual", "residual", "MEDIUM")
+    assert (stream.unified_class, stream.training_role, stream.mapping_confidence) == ("Residual", "stream", "HIGH")
+    assert rows["ewaste", "pcb"].mapping_reason == "Printed circuit board/electronic component."

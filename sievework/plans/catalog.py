@@ -661,7 +661,14 @@ def guidance_rules(spark, d):
     return served(spark, d).select("vec_id", serve.guidance_rules(F.col("prediction"), [("unknown", "Ask first."), ("class", "See the list.")], "none").alias("advice"))
 
 
-@query()
+_TOP = "list_transform(list_slice(list_sort(list_transform(p, lambda x, i: {'v': -x, 'i': i - 1})), 1, 3), lambda s: {'class': CASE WHEN s.i < 60 THEN concat('class ', s.i) ELSE concat('Unknown Class ', s.i) END, 'confidence': round(-s.v, 6), 'confidence_percent': round(-100 * s.v, 2), 'class_index': s.i})"
+
+
+@query(f"""
+WITH {_NAMED}, worded AS (SELECT *, {_ladder_sql("long")} FROM (SELECT *, confidence_percent AS x FROM named))
+SELECT vec_id, to_json({{'prediction': prediction, 'confidence': confidence, 'confidence_percent': confidence_percent, 'top_predictions': {_TOP}, 'confidence_text': long_text, 'guidance': coalesce(guidance, '{serve.DEFAULT_GUIDANCE}')}})::VARCHAR AS document
+FROM worded JOIN (SELECT vec_id, p FROM scored) USING (vec_id) LEFT JOIN (VALUES {', '.join(map(str, GUIDANCE))}) g(prediction, guidance) USING (prediction)
+""")
 def serving_json(spark, d):
     return served(spark, d).select("vec_id", "document")
 

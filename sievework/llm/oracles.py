@@ -107,3 +107,27 @@ n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c),
 s AS (SELECT i, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base FROM t LEFT JOIN c USING (word) CROSS JOIN n GROUP BY 1)
 SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 4) AS base_score FROM d JOIN s USING (i) CROSS JOIN n
 """
+
+
+#: Every anchor against every row, then every positive against every row of another label.
+OP11 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS own, list_dot_product(a.v, c.v)::BIGINT AS score FROM r a JOIN r c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+#: Targets as the one level that fills all sources up to three times their size: l of the sum of least(3 * size, weight * l).
+MIX_BASE = """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight) AS i FROM w),
+l AS (SELECT i, 3 * source_size / weight < (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS full_ FROM o),
+f AS (SELECT (SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) FILTER (full_), 0) AS rest, sum(weight) FILTER (NOT full_) AS free FROM o JOIN l USING (i))
+SELECT doc_id, size, source_size, CASE WHEN full_ THEN (3 * source_size)::DOUBLE ELSE (weight * rest)::DOUBLE / free::DOUBLE END AS target
+FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source JOIN l USING (i) CROSS JOIN f
+"""

@@ -21,8 +21,8 @@ ROWS_A_BLOCK = 8192
 QUERIES_AT_ONCE = 32
 
 
-def whole_vectors(df: DataFrame, vec_id: str, vector: str, scale: float = 64.0) -> DataFrame:
-    """(vec_id, v array<double>): floor(scale * x) of each component, exact at any size.
+def whole_vectors(df: DataFrame, vec_id: str, vector: str, scale: float = 64.0, *more) -> DataFrame:
+    """(vec_id, v array<double>): floor(scale * x) of each component, exact at any size; further columns may be asked for.
 
     Rows whose vector is null or holds null, NaN or infinite components (also
     after scaling) go, and so do rows without an id, which a result can't name.
@@ -31,7 +31,7 @@ def whole_vectors(df: DataFrame, vec_id: str, vector: str, scale: float = 64.0)
     good = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     # From 2**53 on a double is whole; floor() gives a long, which would clip it.
     whole = F.transform(v, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
-    return df.where(good & F.col(f"`{vec_id}`").isNotNull()).select(F.col(f"`{vec_id}`").alias("vec_id"), whole.alias("v"))
+    return df.where(good & F.col(f"`{vec_id}`").isNotNull()).select(F.col(f"`{vec_id}`").alias("vec_id"), whole.alias("v"), *more)
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,16 +26,27 @@ LADDERS = {
 }
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once for a row: Spark shares nothing between the lambdas of a column."""
+    return F.transform(F.array(value), then)[0]
+
+
 def softmax(v: Column, digits: int | None = None) -> Column:
-    """Stable softmax of an array of doubles."""
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - F.array_max(v).cast("double")))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: F.round(x / total, digits) if digits is not None else x / total)
+    """Stable softmax of an array, in doubles; in as many steps as it has elements."""
+
+    def shares(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+        return let(total, lambda t: F.transform(e, lambda x: F.round(x / t, digits) if digits is not None else x / t))
+
+    def of(x: Column) -> Column:
+        return let(F.array_max(x).cast("double"), lambda m: let(F.transform(x, lambda y: F.exp(y.cast("double") - m)), shares))
+
+    return let(v, of)
 
 
 def argmax(v: Column) -> Column:
-    """The first place, from 0, of the largest element."""
-    return F.array_position(v, F.array_max(v)).cast("int") - 1
+    """The first place, from 0, of the largest element; that of softmax(v) is that of v."""
+    return let(v, lambda x: F.array_position(x, F.array_max(x))).cast("int") - 1
 
 
 def top_k(v: Column, k: int) -> Column:
@@ -65,6 +79,11 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def probes(radius: int, bits: int = 16) -> list[int]:
+    """The masks that flip at most `radius` of `bits` bits."""
+    return [sum(1 << b for b in flipped) for r in range(radius + 1) for flipped in combinations(range(bits), r)]
+
+
 def bands(signature: Column) -> Column:
     """The four 16-bit sections of a 64-bit signature, the highest first."""
     return F.array(*[F.shiftrightunsigned(signature, 48 - 16 * k).bitwiseAND(F.lit(65535)) for k in range(4)])

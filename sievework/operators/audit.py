@@ -69,21 +69,16 @@ def integrity_checks(df: DataFrame, key: str, group: str, split: str, label: str
     return out.unionByName(total).select("check_name", (F.col("violations") == 0).alias("passed"), "violations")
 
 
-def report(manifest: DataFrame, original: DataFrame, files: DataFrame, near_pairs: DataFrame, key: str, group: str, split: str, label: str, near: str, splits: dict[str, str]) -> DataFrame:
-    """(category, metric, value) of the 31 figures and checks of a finished manifest; values are text.
-
-    splits: the report's name of each split -> its name in the manifest. A
-    group with several images holds exact duplicates. Label conflicts are a
-    warning and no part of the overall check.
-    """
+def _figures(manifest: DataFrame, original: DataFrame, files: DataFrame, near_pairs: DataFrame, key: str, group: str, split: str, label: str, near: str, splits: dict[str, str]) -> tuple[DataFrame, dict]:
+    """One row with all counts, and {category: {metric: column on it}}."""
     required = {key, group, split, label} <= set(manifest.columns)
     by_split = F.lower(split)
     rows = manifest.agg(
         F.count("*").alias("images"), F.countDistinct(label).alias("classes"), F.countDistinct(key).alias("expected"), F.count_if(F.col(near)).alias("near_images"), F.count_if(F.greatest(*[F.col(x).isNull() for x in (key, group, split, label)])).alias("missing"),
         *[F.count_if(by_split == name).alias(f"n_{s}") for s, name in splits.items()], *[F.countDistinct(F.when(by_split == name, F.col(label))).alias(f"classes_{s}") for s, name in splits.items()],
     )
-    sizes = manifest.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(split).alias("s"), F.countDistinct(label).alias("l"))
-    groups = sizes.agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("multi"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("grouped"), F.count_if(F.col("s") > 1).alias("crossing"), F.count_if(F.col("l") > 1).alias("conflicts"))
+    sizes = group_sizes(manifest, group, split, label)
+    groups = sizes.agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("multi"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("grouped"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.count_if(F.col("s") > 1).alias("crossing"), F.count_if(F.col("l") > 1).alias("conflicts"))
     found = manifest.select(key).distinct().join(files.select(key), key, "left_semi").agg(F.count("*").alias("found"))
     one = rows
     for other in (groups, found, original.agg(F.count("*").alias("original")), near_pairs.agg(F.count("*").alias("near_pairs")), surplus_copies(manifest, key)):
@@ -96,7 +91,7 @@ def report(manifest: DataFrame, original: DataFrame, files: DataFrame, near_pair
     overall = F.lit(True)
     for passed in checks.values():
         overall = overall & passed
-    figures = {
+    return one, {
         "dataset": {"total_images": n("images"), "number_of_classes": n("classes")},
         "split": {s: n(f"n_{s}") for s in splits},
         "leakage": {"total_groups": n("groups"), "groups_multiple_images": n("multi"), "grouped_images": n("grouped"), "cross_split_groups": n("crossing")},
@@ -106,10 +101,56 @@ def report(manifest: DataFrame, original: DataFrame, files: DataFrame, near_pair
         "retention": {"original_manifest_images": n("original"), "curated_images": n("images"), "images_excluded": F.greatest(F.lit(0), n("original") - n("images")), "retention_rate_percent": F.round(100 * F.try_divide(n("images"), n("original")), 2)},
         "validation": {**checks, "overall_integrity": overall, "label_conflicts_warning": n("conflicts") > 0},
     }
+
+
+def group_sizes(manifest: DataFrame, group: str, split: str, label: str) -> DataFrame:
+    """(group, n, s, l): the rows, splits and labels of each group."""
+    return manifest.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(split).alias("s"), F.countDistinct(label).alias("l"))
+
+
+def report(manifest: DataFrame, original: DataFrame, files: DataFrame, near_pairs: DataFrame, key: str, group: str, split: str, label: str, near: str, splits: dict[str, str]) -> DataFrame:
+    """(category, metric, value) of the 31 figures and checks of a finished manifest; values are text.
+
+    splits: the report's name of each split -> its name in the manifest. A
+    group with several images holds exact duplicates. Label conflicts are a
+    warning and no part of the overall check.
+    """
+    one, figures = _figures(manifest, original, files, near_pairs, key, group, split, label, near, splits)
     cells = [F.struct(F.lit(category).alias("category"), F.lit(metric).alias("metric"), value.cast("string").alias("value")) for category, by in figures.items() for metric, value in by.items()]
     return one.select(F.inline(F.array(*cells)))
 
 
+def typed_document(manifest: DataFrame, original: DataFrame, files: DataFrame, near_pairs: DataFrame, name: str, key: str, group: str, split: str, label: str, near: str, splits: dict[str, str]) -> DataFrame:
+    """One row with the whole audit as typed, nested columns: dataset, splits, class_distribution, leakage, duplicates, label_conflicts, files, retention, validation.
+
+    Counts are whole numbers, checks booleans; class_distribution and
+    conflict_distribution are maps in the order of their keys. The names of
+    the classes and of the groups in conflict are lists in one row, as the
+    document asks for; all else is of a fixed size.
+    """
+    one, figures = _figures(manifest, original, files, near_pairs, key, group, split, label, near, splits)
+    in_order = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(k).cast("string"), F.col(v)))))
+    by_class = manifest.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    classes = by_class.agg(in_order(label, "n").alias("class_distribution"), F.array_sort(F.collect_list(F.col(label))).alias("class_names"))
+    conflicts = group_sizes(manifest, group, split, label).where("l > 1")
+    names = conflicts.agg(F.array_sort(F.collect_list(F.col(group).cast("string"))).alias("conflict_names"))
+    kinds = conflicts.groupBy("l").agg(F.count("*").alias("k")).agg(in_order("l", "k").alias("conflict_kinds"))
+    for other in (classes, names, kinds):
+        one = one.join(other, F.lit(True))  # one row each
+    n, part = F.col, lambda by: F.struct(*[v.alias(k) for k, v in by.items()])
+    total = sum((n(f"n_{s}") for s in splits), F.lit(0).cast("long"))
+    leakage = {"total_groups": n("groups"), "groups_containing_multiple_images": n("multi"), "images_in_grouped_samples": n("grouped"), "maximum_group_size": n("largest"), "groups_crossing_splits": n("crossing")}
+    return one.select(
+        part({"name": F.lit(name), **figures["dataset"], "classes": n("class_names")}).alias("dataset"),
+        part({**figures["split"], "total": total}).alias("splits"),
+        n("class_distribution"),
+        part(leakage).alias("leakage"),
+        part(figures["duplicates"]).alias("duplicates"),
+        part({**figures["label_conflicts"], "conflict_distribution": n("conflict_kinds"), "conflicting_group_names": n("conflict_names")}).alias("label_conflicts"),
+        *[part(figures[c]).alias(c) for c in ("files", "retention", "validation")],
+    )
+
+
 def document(rows: DataFrame) -> DataFrame:
     """(document): the report as one nested JSON document, {category: {metric: value}}, in the order of the names."""
     inner = rows.groupBy("category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("body"))

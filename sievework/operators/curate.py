@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.sources.storage import written
+
 # The decisions that a reviewer may take.
 DECISIONS = ["LEGITIMATE_DIFFERENCE", "ANNOTATION_ERROR", "AMBIGUOUS", "NEEDS_REVIEW"]
 
 
-def conflict_groups(df: DataFrame, group: str, label: str, member: str) -> DataFrame:
-    """Groups with more than one label: size, number of labels, the labels and members joined in order."""
+#: Members of a group that stand in one row.
+TOGETHER = 10_000
+
+
+def conflicts(df: DataFrame, group: str, label: str, member: str) -> DataFrame:
+    """(group, image_count, class_count, classes) of the groups with more than one label."""
     rows = df.where(F.col(group).isNotNull())
-    g = rows.groupBy(group).agg(F.count(member).alias("image_count"), F.countDistinct(label).alias("class_count"), F.collect_set(label).alias("c"), F.collect_list(member).alias("m")).where("class_count > 1")
-    return g.select(group, "image_count", "class_count", F.array_join(F.array_sort("c"), " | ").alias("classes"), F.array_join(F.array_sort("m"), " | ").alias("images"))
+    return rows.groupBy(group).agg(F.count(member).alias("image_count"), F.countDistinct(label).alias("class_count"), F.array_join(F.array_sort(F.collect_set(label)), " | ").alias("classes")).where("class_count > 1")
+
+
+def conflict_groups(df: DataFrame, group: str, label: str, member: str, together: int = TOGETHER) -> DataFrame:
+    """Groups with more than one label: size, number of labels, the labels and members joined in order.
+
+    `images` is null for groups of more than `together` members: conflict_members() lists theirs in chunks.
+    """
+    found = conflicts(df, group, label, member)
+    small = df.join(found.where(F.col("image_count") <= together).select(group), group, "left_semi")
+    joined = small.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(member)), " | ").alias("images"))
+    return found.join(joined, group, "left").select(group, "image_count", "class_count", "classes", "images")
+
+
+def conflict_members(df: DataFrame, group: str, label: str, member: str, size: int = TOGETHER) -> DataFrame:
+    """(group, chunk, n, images): the members of every conflict group in order, `size` in a chunk, chunks from 0.
+
+    Members are dealt out by ranges of (group, member), so a group may fill
+    many ranges; a range's first place in a group comes from the counts of the
+    ranges before it. No row and no task holds more than a range or a chunk.
+    """
+    rows = df.where(F.col(member).isNotNull()).join(conflicts(df, group, label, member).select(group), group, "left_semi").select(group, member)
+    ranged = written(rows.repartitionByRange(group, member).withColumn("_range", F.spark_partition_id()), "members")
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(group, "_range").orderBy(member)) - 1
+    placed = ranged.withColumn("_place", place).join(first, [group, "_range"]).withColumn("_place", F.col("_place") + F.col("_first"))
+    chunk = F.floor(F.col("_place") / size).alias("chunk")
+    listed = F.array_sort(F.collect_list(F.struct("_place", F.col(member).cast("string").alias("m"))))
+    return placed.groupBy(group, chunk).agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda x: x["m"]), " | ").alias("images"))
 
 
 def conflict_histogram(conflicts: DataFrame) -> DataFrame:

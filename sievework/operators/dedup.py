@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.scores import bands, hamming
+from sievework.functions.scores import bands, hamming, probes
 from sievework.operators.manifest import numbered
 
 # The largest distances of strong pairs and of pairs to be reviewed.
 STRONG, REVIEW = 6, 10
+SIGNED_AT_ONCE = 256  # rows whose words' bits are unpacked together
 
 
 def exact_groups(df: DataFrame, hash_col: str, order: str) -> DataFrame:
@@ -26,19 +29,38 @@ def words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), "[^\\w]+")), lambda w: w != "")
 
 
-def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, signature): 64-bit SimHash over distinct words, each with the first 64 bits of its md5; texts without words have none."""
-    tokens = df.select(key, F.explode(words(F.col(text))).alias("w")).select(key, F.conv(F.left(F.md5("w"), F.lit(16)), 16, -10).cast("long").alias("h"))
-    ones = tokens.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)])
-    bits = [F.when(2 * F.col(f"b{b}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    signature = bits[0]
-    for x in bits[1:]:
-        signature = signature.bitwiseOR(x)
-    return ones.select(key, signature.alias("signature"))
+def simhash(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(key, signature), and more columns if asked for: 64-bit SimHash over distinct words, each with the first 64 bits of its md5; texts without words have none.
 
-
-def near_pairs(signed: DataFrame, key: str, most: int = REVIEW) -> DataFrame:
-    """(a, b, distance, n_a, n_b) of pairs of different signatures that share one of four 16-bit bands.
+    Each row has its own signature, also where rows share a key. Words are
+    hashed in the scan and their bits counted in the same task, a batch of
+    rows at a time: nothing is shuffled.
+    """
+    kept = [key, *more]
+    rows = df.select(*kept, F.transform(words(F.col(text)), lambda w: F.unhex(F.left(F.md5(w), F.lit(16)))).alias("h")).where(F.size("h") > 0)
+
+    def sign(batches):
+        for batch in batches:
+            lists = batch.column("h")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            # Eight bytes each, in one buffer.
+            data = np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(-1, 8)
+            found = []
+            for a in range(0, len(lists), SIGNED_AT_ONCE):
+                b = min(len(lists), a + SIGNED_AT_ONCE)
+                first, n = ends[a:b] - ends[a], np.diff(ends[a : b + 1])
+                ones = np.add.reduceat(np.unpackbits(data[ends[a] : ends[b]], axis=1), first, axis=0, dtype=np.int64)
+                found.append(np.packbits(2 * ones > n[:, None], axis=1).view(">i8").ravel().astype(np.int64))
+            signatures = np.concatenate(found) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(signatures)], names=[*kept, "signature"])
+
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept)
+    return rows.mapInArrow(sign, f"{kinds}signature long")
+
+
+def near_pairs(signed: DataFrame, key: str, most: int = REVIEW, *more: str) -> DataFrame:
+    """(a, b, distance, n_a, n_b), and signature_a, signature_b if asked for, of pairs of different signatures that share one of four 16-bit bands.
 
     Rows with one signature are collapsed to the one with the smallest key;
     n_a and n_b say how many they are, so the join never pairs copies.
@@ -49,7 +71,47 @@ def near_pairs(signed: DataFrame, key: str, most: int = REVIEW) -> DataFrame:
     same = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.rep") < F.col("b.rep"))
     distance = hamming(F.col("a.signature"), F.col("b.signature"))
     pairs = a.join(b, same).where(distance <= most)
-    return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), distance.alias("distance"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).distinct()
+    return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), distance.alias("distance"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.col("a.signature").alias("signature_a"), F.col("b.signature").alias("signature_b")).distinct().select("a", "b", "distance", "n_a", "n_b", *more)
+
+
+def near_pairs_exact(signed: DataFrame, key: str, most: int = REVIEW) -> DataFrame:
+    """(a, b, distance, n_a, n_b) of all pairs of different signatures at most `most` bits apart.
+
+    If no band of 16 bits were within its own radius, the signatures would be
+    further apart than `most`: the radii, plus one each, add up to most + 1.
+    So one side of a pair asks for every value within the radius of its
+    bands, the other is found by its bands as they are, and the first band
+    that is within its radius reports the pair: nothing is made distinct. A
+    bucket is one value of one band of different signatures, whose mean size
+    is their number over 65,536; a hot one is split by Spark's skew join.
+    """
+    least = (most + 1) // 4
+    radii = [least + (k < (most + 1) % 4) - 1 for k in range(4)]
+    reps = signed.where("signature is not null").groupBy("signature").agg(F.min(key).alias("rep"), F.count("*").alias("n"))
+    asks = F.filter(F.array(*[F.struct(F.lit(k).alias("band"), F.array(*map(F.lit, probes(r) if r >= 0 else [])).cast("array<bigint>").alias("masks")) for k, r in enumerate(radii)]), lambda x: F.size(x["masks"]) > 0)
+    a = reps.select("rep", "n", "signature", F.explode(asks).alias("ask")).select("rep", "n", "signature", "ask.band", F.explode("ask.masks").alias("mask"))
+    a = a.withColumn("value", bands(F.col("signature"))[F.col("band")].bitwiseXOR(F.col("mask"))).alias("a")
+    b = reps.select("rep", "n", "signature", F.posexplode(bands(F.col("signature"))).alias("band", "value")).alias("b")
+    differ = F.col("a.signature").bitwiseXOR(F.col("b.signature"))
+    by_band = bands(differ)
+    earlier = [(F.col("a.band") > k) & (F.bit_count(by_band[k]) <= r) for k, r in enumerate(radii[:-1])]
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.rep") < F.col("b.rep")) & (F.bit_count(differ) <= most)
+    for x in earlier:
+        same &= ~x
+    return a.join(b, same).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.bit_count(differ).alias("distance"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+
+
+def pairs_across(pairs: DataFrame, signed: DataFrame, source: str) -> DataFrame:
+    """pairs with n_across: how many of the n_a * n_b pairs of rows are of two sources; `signed` has each row's signature and source.
+
+    Rows of one source are counted by signature, so copies are never paired.
+    """
+    by_source = signed.where("signature is not null").groupBy("signature", source).agg(F.count("*").alias("k"))
+    a = by_source.select(F.col("signature").alias("signature_a"), F.col(source).alias("s"), F.col("k").alias("k_a"))
+    b = by_source.select(F.col("signature").alias("signature_b"), F.col(source).alias("t"), F.col("k").alias("k_b"))
+    same = pairs.join(a, "signature_a").join(b, "signature_b").where(F.col("s").eqNullSafe(F.col("t")))
+    within = same.groupBy("a", "b").agg(F.sum(F.col("k_a") * F.col("k_b")).alias("within"))
+    return pairs.join(within, ["a", "b"], "left").withColumn("n_across", F.col("n_a") * F.col("n_b") - F.coalesce("within", F.lit(0))).drop("within")
 
 
 def group_audit(df: DataFrame, group: str, columns: list[str]) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,38 +46,63 @@ def weakest(report: DataFrame, k: int = 10) -> DataFrame:
     return report.where(~F.coalesce(F.col("label").rlike("(?i)accuracy|macro avg|weighted avg"), F.lit(False))).orderBy("f1", "label").limit(k)
 
 
-def early_stopping(history: DataFrame, metric: str, patience: int, lower_is_better: bool = True, order: str = "epoch") -> DataFrame:
-    """history up to the stop, with improved, best so far and rounds since the last improvement.
+def follow(history: DataFrame, metric: str, start: float = 1.0, factor: float = 0.5, lr_patience: int = 2, stop_patience: int | None = None, lower_is_better: bool = True, order: str = "epoch", run: str | None = None, threshold: float = 0.0) -> DataFrame:
+    """history with improved, best, since and stopped of early stopping, and the learning_rate used in each row.
+
+    `improved` is better than all rows before, `best` the best so far, `since`
+    the rows since an improvement; `stopped` is true after a row whose `since`
+    has reached stop_patience. The rate falls by `factor` after more than
+    lr_patience rows in which the metric isn't better, by `threshold`, than
+    the best that the rate has seen. A null or NaN metric is no improvement.
 
-    A history is short and has one order, so one task holds it.
+    Runs of any number are followed at once: rows are dealt by run, sorted in
+    their tasks, and streamed through one small state, so a run takes time in
+    proportion to its rows and no memory for them. Without `run` there is one.
+    Columns of the results' names give way.
     """
-    w = Window.orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    best = (F.min if lower_is_better else F.max)(metric)
-    prior = best.over(before)
-    improved = prior.isNull() | (F.col(metric) < prior if lower_is_better else F.col(metric) > prior)
-    rows = history.withColumns({"improved": improved, "best": best.over(w)}).withColumn("at", F.row_number().over(w))
-    rows = rows.withColumn("since", F.col("at") - F.max(F.when(F.col("improved"), F.col("at"))).over(w))
-    stops = F.count_if(F.col("since") >= patience).over(before)
-    return rows.withColumn("stopped", stops > 0).where("not stopped").drop("stopped", "at")
-
-
-def plateau_lr(history: DataFrame, metric: str, start: float, factor: float = 0.5, patience: int = 2, lower_is_better: bool = True, order: str = "epoch", threshold: float = 0.0) -> DataFrame:
-    """history with the learning rate used in each row: it falls after more than `patience` rows without an improvement."""
-    rows = history.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(metric).cast("double").alias("m")))).alias("h"))
+    made = {"improved": "boolean", "best": "double", "since": "long", "stopped": "boolean", "learning_rate": "double"}
+    kept = [c for c in history.columns if c not in made]
+    rows = history.select(*kept)
+    dealt = rows.repartition(F.col(run)) if run else rows.coalesce(1)
+    keys = [run, order] if run else [order]
     sign = 1.0 if lower_is_better else -1.0
-    state = "struct<best:double,bad:int,lr:double,out:array<struct<o:{0},lr:double>>>".format(history.schema[order].dataType.simpleString())
-
-    def step(a, x):
-        better = F.lit(sign) * x["m"] < a["best"] - threshold
-        bad = F.when(better, 0).otherwise(a["bad"] + 1)
-        falls = bad > patience
-        out = F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), a["lr"].alias("lr"))))
-        return F.struct(F.when(better, F.lit(sign) * x["m"]).otherwise(a["best"]).alias("best"), F.when(falls, 0).otherwise(bad).cast("int").alias("bad"), F.when(falls, a["lr"] * factor).otherwise(a["lr"]).alias("lr"), out.alias("out")).cast(state)
-
-    first = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(start).alias("lr"), F.array().alias("out")).cast(state)
-    used = rows.select(F.inline(F.aggregate("h", first, step)["out"]))
-    return history.join(used.select(F.col("o").alias(order), F.col("lr").alias("learning_rate")), order)
+
+    def steps(batches):
+        now, state = object(), None
+        for batch in batches:
+            runs = batch.column(run).to_pylist() if run else [None] * batch.num_rows
+            out: list[tuple] = []
+            for r, m in zip(runs, batch.column("_metric").to_pylist(), strict=True):
+                if state is None or r != now:
+                    now, state = r, {"best": None, "since": 0, "stopped": False, "seen": math.inf, "bad": 0, "lr": start}
+                s, x = state, sign * m if m is not None and m == m else None
+                better = x is not None and (s["best"] is None or x < s["best"])
+                s["best"] = x if better else s["best"]
+                s["since"] = 0 if better else s["since"] + 1
+                out.append((better, sign * s["best"] if s["best"] is not None else None, s["since"], s["stopped"], s["lr"]))
+                s["stopped"] |= stop_patience is not None and s["since"] >= stop_patience
+                if x is not None and x < s["seen"] - threshold:
+                    s["seen"], s["bad"] = x, 0
+                else:
+                    s["bad"] += 1
+                    if s["bad"] > lr_patience:
+                        s["bad"], s["lr"] = 0, s["lr"] * factor
+            new = [pa.array(x, t) for x, t in zip(zip(*out), (pa.bool_(), pa.float64(), pa.int64(), pa.bool_(), pa.float64()), strict=True)] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, *made])
+
+    fields = ", ".join([*[f"`{c}` {history.schema[c].dataType.simpleString()}" for c in kept], *[f"{c} {t}" for c, t in made.items()]])
+    return dealt.withColumn("_metric", F.col(metric).cast("double")).sortWithinPartitions(*keys).mapInArrow(steps, fields)
+
+
+def early_stopping(history: DataFrame, metric: str, patience: int, lower_is_better: bool = True, order: str = "epoch", run: str | None = None) -> DataFrame:
+    """history up to the stop, with improved, best so far and rounds since the last improvement; many runs at once by `run`."""
+    return follow(history, metric, stop_patience=patience, lower_is_better=lower_is_better, order=order, run=run).where("not stopped").drop("stopped", "learning_rate")
+
+
+def plateau_lr(history: DataFrame, metric: str, start: float, factor: float = 0.5, patience: int = 2, lower_is_better: bool = True, order: str = "epoch", threshold: float = 0.0, run: str | None = None) -> DataFrame:
+    """history with the learning rate used in each row: it falls after more than `patience` rows without an improvement; many runs at once by `run`."""
+    return follow(history, metric, start, factor, patience, None, lower_is_better, order, run, threshold).drop("improved", "best", "since", "stopped")
 
 
 def parity(df: DataFrame, p: str, q: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Metrics of image files: size, brightness, sharpness, perceptual hash, model input, class scores.
 
 JPEG, PNG, GIF and BMP files are decoded by Spark's own image decoder on the
-JVM; PPM and PGM files, and BMP files where only bytes are at hand, with numpy.
-Files that can't be decoded, WebP and TIFF among them, give an error in the row.
+JVM; TIFF, PPM and PGM files, and BMP and PNG files where only bytes are at
+hand, with numpy. Files that can't be decoded, WebP among them, give an error in the row.
 """
 
 from __future__ import annotations
@@ -14,13 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions.rasters import read_png, read_tiff
+from sievework.sources import storage
+
 # Channel means and deviations of the usual photo normalisation, and luma weights.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 LUMA = (0.299, 0.587, 0.114)
 SIDE = 224
+MODEL_BYTES = 512 << 20
 
 SCHEMA = "path string, width int, height int, aspect_ratio double, format string, mode string, mean_brightness double, blur_score double, phash long, error string"
 
@@ -39,6 +43,12 @@ def decode(content: bytes) -> tuple[np.ndarray, str, str]:
         line = (w * 3 + 3) // 4 * 4
         px = np.frombuffer(content, np.uint8, line * abs(h), at).reshape(abs(h), line)[:, : w * 3].reshape(abs(h), w, 3)[:, :, ::-1]
         return px[::-1] if h > 0 else px, "BMP", "RGB"
+    if content[:4] in (b"II*\0", b"MM\0*"):
+        px, mode = read_tiff(content)
+        return px, "TIFF", mode
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        px, mode = read_png(content)
+        return px, "PNG", mode
     raise ValueError("unknown format")
 
 
@@ -101,9 +111,9 @@ def measured(path: str, px: np.ndarray, kind: str, mode: str) -> tuple:
     return path, w, h, w / h if h else 0.0, kind, mode, float(gray.mean()), blur(gray), phash(gray), None
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
+def read_images(spark: SparkSession, folder: str, since: str | None = None) -> DataFrame:
     """(path, height, width, channels, data) of the JPEG, PNG, GIF and BMP files below a folder; -1 and no data for broken ones."""
-    rows = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
+    rows = storage.changed(spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True), since).load(folder)
     return rows.select(F.col("image.origin").alias("path"), *[F.col(f"image.{c}").alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))])
 
 
@@ -125,6 +135,98 @@ def inspect_decoded(images: DataFrame) -> DataFrame:
     return images.mapInPandas(run, SCHEMA)
 
 
+#: What Spark's image source doesn't read and decode() does.
+BY_BYTES = ["tif", "tiff", "ppm", "pgm"]
+BY_SPARK = ["jpg", "jpeg", "png", "gif", "bmp"]
+
+
+def inspect_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of all image files below a folder, one row for each; files that nothing here decodes are error rows."""
+    extension = F.lower(F.element_at(F.split("path", r"\."), -1))
+    by_spark = inspect_decoded(read_images(spark, folder).where(extension.isin(BY_SPARK)))
+    others = sorted((set(storage.IMAGE_EXTENSIONS) | set(BY_BYTES)) - set(BY_SPARK))
+    return by_spark.unionByName(inspect_images(storage.scan_files(spark, {"": folder}, others)))
+
+
+def folder_inputs(spark: SparkSession, folder: str, since: str | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(path, x array<float>) of all image files below a folder: model inputs, null for broken ones.
+
+    `since` leaves out files that were last changed before (a timestamp of
+    whole seconds), `only` all but those of its paths.
+    """
+    extension = F.lower(F.element_at(F.split("path", r"\."), -1))
+    by_spark = read_images(spark, folder, since).withColumn("path", _plain("path")).where(extension.isin(BY_SPARK))
+    by_bytes = storage.scan_files(spark, {"": folder}, BY_BYTES, since).withColumn("path", _plain("path"))
+    if only is not None:
+        wanted = only.select(_plain("path").alias("path"))
+        by_spark, by_bytes = (x.join(wanted, "path", "left_semi") for x in (by_spark, by_bytes))
+    return model_inputs(by_spark).unionByName(byte_inputs(by_bytes))
+
+
+def _plain(path: str) -> Column:
+    """Sources name one file with one or three slashes after `file:`."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def byte_inputs(files: DataFrame) -> DataFrame:
+    """(path, x array<float>) of (path, content) rows that decode() reads; null for others."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for content in f["content"]:
+                try:
+                    out.append(np.array(model_input(bytes(content)), np.float32))
+                except Exception:  # no input for a broken file
+                    out.append(None)
+            yield pd.DataFrame({"path": f["path"], "x": out})
+
+    return files.select("path", "content").mapInPandas(run, "path string, x array<float>")
+
+
+def cache_images(spark: SparkSession, folder: str, cache: str, batch: int, since: str | None = None) -> int:
+    """Add the model inputs of the image files below a folder to a cache, with their content's hash as the key; how many were new.
+
+    Only contents that the cache hasn't got are made inputs of, each once
+    however many files have it; with `since`, files that were last changed
+    before aren't opened. What can't be decoded is kept with its error, so it
+    isn't tried again. A batch is written beside the cache and renamed into it
+    when all of it is there: readers see whole batches, and a run that breaks
+    off leaves none.
+    """
+    rows = hashed_files(spark, folder, since)
+    if storage.exists(spark, cache):
+        rows = rows.join(read_cache(spark, cache).select("key"), "key", "left_anti")
+    new = storage.written(rows.groupBy("key").agg(F.min("path").alias("path")), "new-files")
+    found = new.join(folder_inputs(spark, folder, since, new), "path", "left")
+    found = found.select("key", "x", F.when(F.col("x").isNull(), "read_error").alias("error"), F.lit(batch).cast("int").alias("batch"))
+    staged = f"{cache}-staged-{batch}"
+    found.write.mode("overwrite").parquet(staged)
+    storage.rename(spark, staged, f"{cache}/batch-{batch}")
+    return new.count()
+
+
+def hashed_files(spark: SparkSession, folder: str, since: str | None = None) -> DataFrame:
+    """(path, key) of the image files below a folder: their content's sha256."""
+    return storage.scan_files(spark, {"": folder}, [*storage.IMAGE_EXTENSIONS, *BY_BYTES], since).select(_plain("path").alias("path"), F.sha2("content", 256).alias("key"))
+
+
+def read_cache(spark: SparkSession, cache: str) -> DataFrame:
+    """(key, x, error, batch) of all batches of cache_images."""
+    return spark.read.schema("key string, x array<float>, error string, batch int").parquet(f"{cache}/batch-*")
+
+
+def cached_rows(labelled: DataFrame, folder: str, cache: str, label: str = "label") -> DataFrame:
+    """labelled (path below the folder, label) with x, error and batch from the cache; rows with an error have no label."""
+    spark = labelled.sparkSession
+    files = hashed_files(spark, folder).select(F.col("path").alias("_path"), "key")
+    top = folder.rstrip("/").rsplit("/", 1)[-1] + "/"
+    files = files.withColumn("path", F.substring_index("_path", top, -1)).drop("_path")
+    rows = labelled.join(files, "path", "left").join(read_cache(spark, cache), "key", "left")
+    rows = rows.withColumn("error", F.when(F.col("batch").isNull(), "not cached").otherwise(F.col("error")))
+    return rows.withColumn(label, F.when(F.col("error").isNull(), F.col(label)))
+
+
 def model_inputs(images: DataFrame) -> DataFrame:
     """(path, x array<float>): the normalised, channel-first copy of each decodable image; null for others."""
 
@@ -145,12 +247,18 @@ def model_inputs(images: DataFrame) -> DataFrame:
 def classify(inputs: DataFrame, model: str, x: str = "x") -> DataFrame:
     """inputs with logits: a forward pass of an ONNX file, or of an .npz file with `weight` (classes, inputs) and `bias`.
 
-    The file is read through Spark, sent to the workers once, and loaded once
-    in each task; rows go through it in batches. Null inputs have no logits.
+    Names in an .npz file may begin with `module.`, as parallel training writes
+    them. The file is read through Spark, sent to the workers once, and loaded
+    once in each task; rows go through it in batches. Null inputs have no
+    logits. A file of more than MODEL_BYTES raises: it would have to stand in
+    the memory of the driver and of each worker.
     """
     spark = inputs.sparkSession
-    content = spark.read.format("binaryFile").load(model).select("content").first()[0]
-    sent = spark.sparkContext.broadcast(bytes(content))
+    file = spark.read.format("binaryFile").load(model)
+    size = file.select("length").first()[0]
+    if size > MODEL_BYTES:
+        raise ValueError(f"{model} has {size} bytes, more than {MODEL_BYTES}")
+    sent = spark.sparkContext.broadcast(bytes(file.select("content").first()[0]))
     onnx = model.endswith(".onnx")
 
     def loaded():
@@ -160,7 +268,8 @@ def classify(inputs: DataFrame, model: str, x: str = "x") -> DataFrame:
             session = onnxruntime.InferenceSession(sent.value, providers=["CPUExecutionProvider"])
             name, shape = session.get_inputs()[0].name, session.get_inputs()[0].shape
             return lambda a: session.run(None, {name: a.reshape(len(a), *shape[1:])})[0]
-        parts = np.load(io.BytesIO(sent.value))
+        with np.load(io.BytesIO(sent.value)) as file:
+            parts = {name.removeprefix("module."): file[name] for name in file.files}
         return lambda a: a @ parts["weight"].T + parts["bias"]
 
     @F.pandas_udf("array<float>")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.select import medians
+
 
 def counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -26,11 +28,14 @@ def grouping_profile(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, key: str, columns: list[str], valid: Column | None = None) -> DataFrame:
-    """min, max, mean (2 digits) and exact median of each column; groups without valid rows are left out."""
-    aggs = []
+    """min, max, mean (2 digits) and exact median of each column; groups without valid rows are left out. Medians are found by selection, so groups may be of any size."""
+    aggs, rows = [], df.where(valid) if valid is not None else df
     for c in columns:
-        aggs += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.round(F.avg(c), 2).alias(f"mean_{c}"), F.median(c).alias(f"median_{c}")]
-    return (df.where(valid) if valid is not None else df).groupBy(key).agg(*aggs)
+        aggs += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.round(F.avg(c), 2).alias(f"mean_{c}")]
+    own = medians(rows, key, columns).select(F.col(key).alias("_k"), "column_name", "median")
+    wide = own.groupBy("_k").agg(*[F.max(F.when(F.col("column_name") == c, F.col("median"))).alias(f"median_{c}") for c in columns])
+    found = rows.groupBy(key).agg(*aggs).join(wide, F.col(key).eqNullSafe(F.col("_k")), "left")
+    return found.select(key, *[f"{x}_{c}" for c in columns for x in ("min", "max", "mean", "median")])
 
 
 def dataset_summary(df: DataFrame, key: str, label: str, valid: Column, small: Column) -> DataFrame:

@@ -41,6 +41,41 @@ def serving_row(df: DataFrame, logits: str, names: list[str], guidance: DataFram
     return rows.withColumn("document", F.to_json(document))
 
 
+# What a served document says of the image's quality, of the prediction and of its explanation.
+LEAST_SIDE = 64
+SMALL, READABLE = ("WARNING", "Image resolution is very small."), ("OK", "Image is readable.")
+EXPLAINED = ("SUCCESS", "Grad-CAM explanation generated.")
+NOT_EXPLAINED = ("UNAVAILABLE", "No explanation was generated.")
+WHY = "The model classified the image as '%s' with %.2f%% confidence. %s The Grad-CAM heatmap highlights regions of the image that contributed most strongly to the prediction."
+
+
+def _said(texts: tuple[str, str]) -> list[Column]:
+    return [F.lit(texts[0]).alias("status"), F.lit(texts[1]).alias("message")]
+
+
+def result_document(df: DataFrame, logits: str, names: list[str], guidance: DataFrame, image: Column, width: Column, height: Column, explanation: Column, model: str, device: str = "cpu", k: int = 3) -> DataFrame:
+    """df with `result`, the whole document of each image as a struct.
+
+    image, model, device, quality, prediction, confidence, confidence_percent,
+    top_predictions, why_this_result, grad_cam, recycling_guidance. The quality
+    is a warning where a side is under LEAST_SIDE pixels; an image without a
+    width, which could not be read, has no document. `explanation` is the path
+    of the image's explanation, or null.
+    """
+    given = {"_image": image, "_width": width.cast("int"), "_height": height.cast("int"), "_explanation": explanation.cast("string")}
+    rows = with_guidance(predictions(df.withColumns(given), logits, names, k), guidance)
+    w, h, path = F.col("_width"), F.col("_height"), F.col("_explanation")
+    size = [w.alias("width"), h.alias("height")]
+    quality = F.when(F.least(w, h) < LEAST_SIDE, F.struct(*_said(SMALL), *size)).otherwise(F.struct(*_said(READABLE), *size))
+    shown = F.when(path.isNull(), F.struct(*_said(NOT_EXPLAINED), path.alias("path"))).otherwise(F.struct(*_said(EXPLAINED), path.alias("path")))
+    why = F.format_string(WHY, F.col("prediction"), F.col("confidence_percent"), ladder(F.col("confidence_percent")))
+    result = F.struct(
+        F.col("_image").alias("image"), F.lit(model).alias("model"), F.lit(device).alias("device"), quality.alias("quality"), "prediction", "confidence", "confidence_percent", "top_predictions",
+        why.alias("why_this_result"), shown.alias("grad_cam"), F.col("guidance").alias("recycling_guidance"),
+    )
+    return rows.withColumn("result", F.when(w.isNotNull() & h.isNotNull(), result)).drop(*given)
+
+
 def best_match(files: DataFrame, key: str, name: str, stem: str, newest: list[str]) -> DataFrame:
     """(key, best): the name that goes best with the stem of its key, of equal ones the newest; keys without any score have no row."""
     low = F.lower(name)

@@ -225,8 +225,8 @@ pairs AS (SELECT a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.s0, b.s0)) + bit_c
 _NEAR = _simhash_sql()
 
 
-def signed(spark, d):
-    return dedup.simhash(documents(spark, d), "doc_id", "text")
+def signed(spark, d, *more):
+    return dedup.simhash(documents(spark, d), "doc_id", "text", *more)
 
 
 @query(f"WITH {_NEAR} SELECT * FROM pairs WHERE distance <= 6")
@@ -240,23 +240,35 @@ def near_duplicates_review(spark, d):
 
 
 @query(f"""
-WITH {_NEAR}, {_HASHED}, g AS (SELECT count(*) AS n, count(DISTINCT source) AS k FROM hashed WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) > 1)
+WITH {_NEAR} SELECT a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.s0, b.s0)) + bit_count(xor(a.s1, b.s1)) + bit_count(xor(a.s2, b.s2)) + bit_count(xor(a.s3, b.s3)) AS INT) AS distance, a.n AS n_a, b.n AS n_b
+FROM reps a JOIN reps b ON a.rep < b.rep AND bit_count(xor(a.s0, b.s0)) + bit_count(xor(a.s1, b.s1)) + bit_count(xor(a.s2, b.s2)) + bit_count(xor(a.s3, b.s3)) <= 10
+""")
+def near_duplicates_exact(spark, d):
+    """All pairs up to the review distance; the SQL compares every two signatures."""
+    return dedup.near_pairs_exact(written(signed(spark, d), "simhash"), "doc_id")
+
+
+@query(f"""
+WITH {_NEAR}, {_HASHED}, g AS (SELECT count(*) AS n, count(DISTINCT source) AS k FROM hashed WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) > 1),
+owned AS (SELECT r.rep, d.source FROM sig s JOIN reps r USING (s0, s1, s2, s3) JOIN documents d USING (doc_id)),
+across AS (SELECT p.distance FROM pairs p JOIN owned x ON x.rep = p.a JOIN owned y ON y.rep = p.b WHERE x.source IS DISTINCT FROM y.source)
 SELECT 'records' AS metric, count(*) AS value FROM documents
 UNION ALL SELECT 'exact_groups', count(*) FROM g UNION ALL SELECT 'exact_records', coalesce(sum(n), 0)::BIGINT FROM g UNION ALL SELECT 'exact_cross_source_groups', count(*) FILTER (k > 1) FROM g
 UNION ALL SELECT 'equal_signature_pairs', coalesce(sum(n * (n - 1) // 2), 0)::BIGINT FROM reps
 UNION ALL SELECT 'strong_pairs', coalesce(sum(n_a * n_b) FILTER (distance <= 6), 0)::BIGINT FROM pairs UNION ALL SELECT 'review_pairs', coalesce(sum(n_a * n_b) FILTER (distance BETWEEN 7 AND 10), 0)::BIGINT FROM pairs
+UNION ALL SELECT 'strong_cross_source_pairs', count(*) FILTER (distance <= 6) FROM across UNION ALL SELECT 'review_cross_source_pairs', count(*) FILTER (distance BETWEEN 7 AND 10) FROM across
 """)
 def duplicate_summary(spark, d):
     docs = hashed(spark, d)
     g = docs.where("sha256 is not null").groupBy("sha256").agg(F.count("*").alias("n"), F.countDistinct("source").alias("k")).where("n > 1")
-    sig = signed(spark, d)
-    near = dedup.near_pairs(sig, "doc_id")
+    sig = written(signed(spark, d, "source"), "simhash")
+    near = dedup.pairs_across(written(dedup.near_pairs(sig, "doc_id", dedup.REVIEW, "signature_a", "signature_b"), "pairs"), sig, "source")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     sums = [
         docs.agg(F.count("*").alias("records")),
         g.agg(F.count("*").alias("exact_groups"), zero(F.sum("n")).alias("exact_records"), F.count_if(F.col("k") > 1).alias("exact_cross_source_groups")),
         sig.groupBy("signature").agg(F.count("*").alias("n")).agg(zero(F.sum(F.expr("n * (n - 1) div 2"))).alias("equal_signature_pairs")),
-        near.agg(zero(F.sum(F.expr("case when distance <= 6 then n_a * n_b end"))).alias("strong_pairs"), zero(F.sum(F.expr("case when distance > 6 then n_a * n_b end"))).alias("review_pairs")),
+        near.agg(*[zero(F.sum(F.when(within, F.expr(n)))).alias(f"{kind}_{name}") for n, name in (("n_a * n_b", "pairs"), ("n_across", "cross_source_pairs")) for kind, within in (("strong", F.col("distance") <= dedup.STRONG), ("review", F.col("distance") > dedup.STRONG))]),
     ]
     out = None
     for s in sums:
@@ -542,8 +554,8 @@ GUIDANCE = [("class 0", "Keep dry."), ("class 1", "Rinse first."), ("class 3", "
 
 
 def scored(spark, d):
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", "label", v.alias("logits"), scores.softmax(v).alias("p")).withColumn("predicted", scores.argmax(F.col("p")))
+    v = F.col("embedding").cast("array<double>")
+    return table(spark, d, "embeddings").select("vec_id", "label", v.alias("logits"), scores.softmax(v).alias("p"), scores.argmax(v).alias("predicted"))
 
 
 @query(f"WITH {_SCORED}, ranked AS (SELECT vec_id, i - 1 AS class_index, p[i] AS x, row_number() OVER (PARTITION BY vec_id ORDER BY p[i] DESC, i) AS rank FROM scored, generate_series(1, 64) t(i)) SELECT vec_id, rank, class_index::INT AS class_index, round(x, 6) AS confidence FROM ranked WHERE rank <= 3")
@@ -708,4 +720,4 @@ def text_patterns(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(_LINK), 1)).cast("long").alias("n_links"), F.regexp_extract("html", _TITLE, 1).alias("title"))
 
 
-from sievework.plans import manifest as _more, stored as _stored  # noqa: E402, F401  register their queries
+from sievework.plans import histories as _histories, images as _images, manifest as _more, stored as _stored  # noqa: E402, F401  register their queries

@@ -8,6 +8,7 @@ from sievework.functions import paths, scores
 from sievework.operators import audit, curate, dedup, evaluate, manifest, profile, quality
 from sievework.plans import catalog as c
 from sievework.plans.catalog import query
+from sievework.sources.storage import written
 
 # ---------------------------------------------------------------- filters and orders
 
@@ -66,8 +67,8 @@ def largest_groups(spark, d):
 _NEAR_IDS = "near_ids AS (SELECT a AS doc_id, min(b) AS near FROM (SELECT a, b FROM pairs WHERE distance <= 6 UNION SELECT b, a FROM pairs WHERE distance <= 6) GROUP BY 1)"
 
 
-def _near_ids(spark, d):
-    p = dedup.near_pairs(c.signed(spark, d), "doc_id", dedup.STRONG).select("a", "b")
+def _near_ids(spark, d, pairs=None):
+    p = (dedup.near_pairs(c.signed(spark, d), "doc_id", dedup.STRONG) if pairs is None else pairs).select("a", "b")
     return p.union(p.select("b", "a")).groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("near"))
 
 
@@ -220,10 +221,17 @@ report AS (SELECT unnest([
 """
 
 
+def _manifest(spark, d, label="lang"):
+    """What an audit is about, each table written once: it is read for many counts."""
+    pairs = written(dedup.near_pairs(c.signed(spark, d), "doc_id", dedup.STRONG), "pairs")
+    rows = c.hashed(spark, d).where("doc_id % 50 != 7").join(_near_ids(spark, d, pairs), "doc_id", "left")
+    rows = written(rows.select("doc_id", "sha256", "split", label, F.col("near").isNotNull().alias("has_near")), "manifest")
+    return (rows, c.documents(spark, d), c.table(spark, d, "labels"), pairs), {"key": "doc_id", "group": "sha256", "split": "split", "label": label, "near": "has_near", "splits": {"train": "train", "val": "validation", "test": "test"}}
+
+
 def _audited(spark, d):
-    rows = c.hashed(spark, d).where("doc_id % 50 != 7").join(_near_ids(spark, d), "doc_id", "left").withColumn("has_near", F.col("near").isNotNull())
-    pairs = dedup.near_pairs(c.signed(spark, d), "doc_id", dedup.STRONG)
-    return audit.report(rows, c.documents(spark, d), c.table(spark, d, "labels"), pairs, key="doc_id", group="sha256", split="split", label="lang", near="has_near", splits={"train": "train", "val": "validation", "test": "test"})
+    tables, columns = _manifest(spark, d)
+    return audit.report(*tables, **columns)
 
 
 @query(f"WITH {_AUDITED} SELECT r.category AS category, r.metric AS metric, r.value AS value FROM report")
@@ -237,3 +245,37 @@ SELECT '{{' || string_agg('"' || category || '":{{' || body || '}}', ',' ORDER B
 """)
 def audit_document(spark, d):
     return audit.document(_audited(spark, d))
+
+
+_TYPED = f"""
+{c._NEAR}, {_NEAR_IDS}, {c._HASHED},
+m AS (SELECT hashed.*, near IS NOT NULL AS has_near FROM hashed LEFT JOIN near_ids USING (doc_id) WHERE doc_id % 50 <> 7),
+g AS (SELECT sha256, count(*) AS n, count(DISTINCT split) AS s, count(DISTINCT source) AS l FROM m WHERE sha256 IS NOT NULL GROUP BY 1),
+k AS (SELECT source, count(*) AS n FROM m WHERE source IS NOT NULL GROUP BY 1), f AS (SELECT l::VARCHAR AS l, count(*) AS n FROM g WHERE l > 1 GROUP BY 1),
+q AS (SELECT count(*) AS images, count(DISTINCT source) AS classes, count(DISTINCT doc_id) AS expected, count(*) FILTER (has_near) AS near_images, count(*) - count(DISTINCT doc_id) AS surplus,
+  count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS val, count(*) FILTER (split = 'test') AS test, count(DISTINCT doc_id) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS found,
+  count(DISTINCT source) FILTER (split = 'train') = count(DISTINCT source) AS in_train, count(DISTINCT source) FILTER (split = 'validation') = count(DISTINCT source) AS in_val, count(DISTINCT source) FILTER (split = 'test') = count(DISTINCT source) AS in_test,
+  count(*) FILTER (doc_id IS NULL OR sha256 IS NULL OR source IS NULL OR split IS NULL) = 0 AS complete FROM m),
+h AS (SELECT count(*) AS groups, count(*) FILTER (n > 1) AS multi, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS grouped, coalesce(max(n), 0) AS largest, count(*) FILTER (s > 1) AS crossing, count(*) FILTER (l > 1) AS conflicts FROM g)
+"""
+
+
+@query(f"""
+WITH {_TYPED} SELECT
+  to_json({{'name': 'documents', 'total_images': images, 'number_of_classes': classes, 'classes': (SELECT list(source ORDER BY source) FROM k)}})::VARCHAR AS dataset,
+  to_json({{'train': train, 'val': val, 'test': test, 'total': train + val + test}})::VARCHAR AS splits,
+  '{{' || (SELECT string_agg('"' || source || '":' || n, ',' ORDER BY source) FROM k) || '}}' AS class_distribution,
+  to_json({{'total_groups': groups, 'groups_containing_multiple_images': multi, 'images_in_grouped_samples': grouped, 'maximum_group_size': largest, 'groups_crossing_splits': crossing}})::VARCHAR AS leakage,
+  to_json({{'exact_duplicate_images': grouped, 'exact_duplicate_groups': multi, 'near_duplicate_images': near_images, 'near_duplicate_pairs_or_groups': (SELECT count(*) FROM pairs WHERE distance <= 6)}})::VARCHAR AS duplicates,
+  '{{"conflicting_groups":' || conflicts || ',"conflict_distribution":{{' || (SELECT string_agg('"' || l || '":' || n, ',' ORDER BY l) FROM f) || '}},"conflicting_group_names":' || (SELECT to_json(list(sha256 ORDER BY sha256)) FROM g WHERE l > 1) || '}}' AS label_conflicts,
+  to_json({{'images_expected': expected, 'images_found': found, 'images_missing': expected - found}})::VARCHAR AS files,
+  to_json({{'original_manifest_images': (SELECT count(*) FROM documents), 'curated_images': images, 'images_excluded': (SELECT count(*) FROM documents) - images, 'retention_rate_percent': round(100.0 * images / (SELECT count(*) FROM documents), 2)::DOUBLE}})::VARCHAR AS retention,
+  to_json({{'required_columns': true, 'missing_required_values': complete, 'duplicate_paths': surplus = 0, 'cross_split_leakage': crossing = 0, 'missing_images': expected = found, 'all_classes_train': in_train, 'all_classes_val': in_val, 'all_classes_test': in_test,
+    'overall_integrity': complete AND surplus = 0 AND crossing = 0 AND expected = found AND in_train AND in_val AND in_test, 'label_conflicts_warning': conflicts > 0}})::VARCHAR AS validation
+FROM q CROSS JOIN h
+""")
+def audit_typed(spark, d):
+    """The typed audit, its parts as JSON: sources are the classes here, so that groups of copies are in conflict."""
+    tables, columns = _manifest(spark, d, label="source")
+    found = audit.typed_document(*tables, name="documents", **columns)
+    return found.select(*[F.to_json(x).alias(x) for x in found.columns])

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import io
-import json
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions import scores
 from sievework.operators import pixels, serve, taxonomy, waste
 from sievework.plans import catalog as c
 from sievework.plans.catalog import query
 from sievework.sources import storage
+from sievework.streaming import serve as stream_serve
 
 # ---------------------------------------------------------------- CSV
 
@@ -52,15 +53,53 @@ def chosen_inputs(spark, d):
     return counted[0].unionAll(counted[1]).unionAll(missing)
 
 
-# ---------------------------------------------------------------- JSON
+_ODD_LINES = "CASE doc_id % 7 WHEN 2 THEN doc_id || ',en' WHEN 3 THEN doc_id || ',\"a,b\",src,5,6' WHEN 4 THEN doc_id || ',en,src,many' WHEN 5 THEN 'x' || doc_id || ',en,src,5' ELSE doc_id || ',\"l,' || lang || '\",' || source || ',' || n_chars END"
+
+
+@query("""
+SELECT doc_id % 7 AS kind, CASE doc_id % 7 WHEN 2 THEN 'too few columns' WHEN 3 THEN 'too many columns' WHEN 4 THEN 'no bigint in n_chars' WHEN 5 THEN 'no bigint in doc_id' ELSE 'good' END AS reason, count(*) AS n, sum(doc_id)::BIGINT AS ids,
+       CASE WHEN doc_id % 7 IN (2, 3, 4, 5) THEN count(*) END AS lines
+FROM documents GROUP BY 1, 2
+""")
+def csv_quarantine(spark, d):
+    """Four of seven lines are bad, each in its way; good rows and quarantined ones, whose lines are found again by file and number."""
+    path = storage.scratch(spark, "odd-csv")
+    lines = c.table(spark, d, "documents").select("doc_id", F.expr(_ODD_LINES).alias("value"))
+    head = spark.range(1).select(F.lit("doc_id,lang,source,n_chars").alias("value"))
+    for k in range(3):
+        head.unionAll(lines.where(F.col("doc_id") % 3 == k).select("value")).coalesce(1).write.mode("append").text(path)
+    good, bad = storage.read_guarded(spark, path, T.StructType.fromDDL("doc_id long, lang string, source string, n_chars long"))
+    i = F.regexp_extract("record", "^x?([0-9]+)", 1).cast("long")
+    seen = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("all"))
+    # The line of that number in that file is the record.
+    found = bad.join(seen, "file").withColumn("same", F.element_at("all", F.col("line").cast("int")) == F.col("record"))
+    bad = found.groupBy((i % 7).alias("kind"), "reason").agg(F.count("*").alias("n"), F.sum(i).alias("ids"), F.count_if("same").alias("lines"))
+    none = F.lit(None).cast("long").alias("lines")
+    return bad.unionAll(good.groupBy((F.col("doc_id") % 7).alias("kind"), F.lit("good").alias("reason")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).withColumn("lines", none))
+
+
+@query("SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
+def stream_unique(spark, d):
+    """Events that come again in later files, and after a restart of the stream: the sink has each once."""
+    source, sink, state = (storage.scratch(spark, x) for x in ("arrivals", "unique", "state"))
+    rows = c.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def arrive(some):
+        some.coalesce(2).write.mode("append").parquet(source)
+
+    def follow():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        stream_serve.start_once(stream_serve.unique_uploads(stream, "event_id", "ts", "400 days"), sink, state).awaitTermination()
+
+    arrive(rows.where("event_id % 2 = 0"))
+    arrive(rows.where("event_id % 3 = 0"))
+    follow()
+    arrive(rows)
+    follow()
+    return stream_serve.read_sink(spark, sink, rows.schema).select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
 
 
-@query("SELECT form, i::INT AS class_index, 'class ' || i AS class_name FROM (VALUES ('list'), ('classes'), ('idx_to_class'), ('class_to_idx'), ('digits')) f(form), generate_series(0, 59) t(i)")
-def class_mapping_forms(spark, d):
-    keyed = {str(i): n for i, n in enumerate(c.NAMES)}
-    forms = {"list": c.NAMES, "classes": {"classes": c.NAMES}, "idx_to_class": {"idx_to_class": keyed}, "class_to_idx": {"class_to_idx": {n: i for i, n in enumerate(c.NAMES)}}, "digits": keyed}
-    out = [storage.class_mapping(spark, json.dumps(x)).select(F.lit(k).alias("form"), "class_index", "class_name") for k, x in forms.items()]
-    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3]).unionAll(out[4])
+# ---------------------------------------------------------------- JSON
 
 
 @query("SELECT source, count(*) AS n, round(avg(n_chars), 4) AS mean_chars, NULL::DOUBLE AS no_number FROM documents GROUP BY source")
@@ -122,16 +161,6 @@ def waste_advice(spark, d):
 # ---------------------------------------------------------------- images and models
 
 
-@query("SELECT * FROM (VALUES ('first', 'a.JPG', 3::BIGINT), ('first', 'b.png', 4::BIGINT), ('first', 'c.tiff', 5::BIGINT), ('second', 'a.webp', 6::BIGINT)) t(dataset, name, length)")
-def scanned_images(spark, d):
-    """Files below three roots, one of which does not exist; other extensions are left out."""
-    root = storage.scratch(spark, "images")
-    for path, n in (("one/x/a.JPG", 3), ("one/x/y/b.png", 4), ("one/c.tiff", 5), ("one/notes.txt", 7), ("two/a.webp", 6), ("two/jpg", 2)):
-        storage.put_file(spark, f"{root}/{path}", b"." * n)
-    found = storage.scan_files(spark, {"first": f"{root}/one", "second": f"{root}/two", "third": f"{root}/three"})
-    return found.select("dataset", F.substring_index("path", "/", -1).alias("name"), "length")
-
-
 @query("""
 WITH h AS (SELECT doc_id, text IS NULL AS none, doc_id % 10 = 3 AS broken, sha256(text) || sha256(text || '.') AS h FROM documents),
 b AS (SELECT *, list_transform(range(64), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INT) AS b FROM h WHERE NOT none AND NOT broken),

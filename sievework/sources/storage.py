@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def rename(spark: SparkSession, path: str, new: str) -> None:
+    """Move a folder to a path that isn't there, in one step of the store."""
+    p, q = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, new))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(q):
+        raise FileExistsError(new)
+    fs.mkdirs(q.getParent())
+    if not fs.rename(p, q):
+        raise OSError(f"{path} could not become {new}")
+
+
 def require_columns(df: DataFrame, needed: set[str] | list[str]) -> DataFrame:
     """df, or a ValueError that names the columns it lacks."""
     if missing := sorted(set(needed) - set(df.columns)):
@@ -75,13 +86,18 @@ def put_file(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
-def scan_files(spark: SparkSession, roots: dict[str, str], extensions: list[str] = IMAGE_EXTENSIONS) -> DataFrame:
+def changed(reader, since: str | None):
+    """A reader of files that leaves out those last changed before `since`, a timestamp of whole seconds."""
+    return reader.option("modifiedAfter", since) if since else reader
+
+
+def scan_files(spark: SparkSession, roots: dict[str, str], extensions: list[str] = IMAGE_EXTENSIONS, since: str | None = None) -> DataFrame:
     """(dataset, path, length, content) of the files below each root that exists; extensions in any case."""
     out = None
     for dataset, root in roots.items():
         if not exists(spark, root):
             continue
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        files = changed(spark.read.format("binaryFile").option("recursiveFileLookup", True), since).load(root)
         part = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(extensions)).select(F.lit(dataset).alias("dataset"), "path", "length", "content")
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], "dataset string, path string, length long, content binary") if out is None else out
@@ -99,6 +115,37 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return df.toDF(*[c.removeprefix(chr(0xFEFF)) for c in df.columns])
 
 
+def read_guarded(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The good rows of CSV files with a header, typed by the schema, and (file, line, record, reason) of the bad ones.
+
+    A line with too few or too many columns, or with a value that is none of
+    its column's type, is bad as a whole; the first such reason is told. Lines
+    are counted from 1 and files are split between tasks as usual: each block's
+    first line comes from the counts of the blocks before it. A record is a
+    line, so values hold no line breaks.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    by_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = written(lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")), "blocks")
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(by_file), F.lit(0))).drop("n")
+    numbered = lines.join(blocks, ["file", "block"])
+    head = (F.col("block") == 0) & (F.col("at") == F.col("first"))
+    names = schema.fieldNames()
+    wide = ", ".join(f"`{i}` string" for i in range(len(names) + 1))
+    tokens = F.from_csv("value", wide, {"escape": '"'})
+    rows = numbered.where(~head).withColumn("t", tokens).where(F.length("value") > 0)
+    cells = [F.col("t")[str(i)] for i in range(len(names))]
+    typed = [x.try_cast(f.dataType) for x, f in zip(cells, schema.fields, strict=True)]
+    width = F.size(F.split(F.regexp_replace("value", '"(?:[^"]|"")*"', ""), ","))
+    reason = F.when(width < len(names), "too few columns").when(width > len(names), "too many columns")
+    for name, x, y in zip(names, cells, typed, strict=True):
+        reason = reason.when(x.isNotNull() & y.isNull(), f"no {schema[name].dataType.simpleString()} in {name}")
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason is null").select(*[y.alias(n) for n, y in zip(names, typed, strict=True)])
+    bad = rows.where("reason is not null").select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.col("value").alias("record"), "reason")
+    return good, bad
+
+
 def read_preferred(spark: SparkSession, paths: list[str], read=read_csv, **how) -> DataFrame:
     """The first path that exists."""
     for p in paths:

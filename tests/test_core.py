@@ -296,7 +296,7 @@ def test_query_matches_its_sql(spark, name):
     from sievework.plans.catalog import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels", "events"):
+    for t in ("documents", "embeddings", "pages", "labels", "events", "lineitem"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got = QUERIES[name](spark, SF)
     names = sorted(got.columns)

@@ -18,6 +18,8 @@ UNKNOWN = "und"
 MOST_TRAINING_ROWS = 20_000
 LEAST_TRAINING_ROWS = 500  # of a language that has as many
 LEAST_SCORE = 0.5
+SMOOTHING = 0.1
+MOST_LANGUAGES = 256  # the model has 384 KB for each
 
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _BLANK = np.uint32(32)
@@ -68,12 +70,16 @@ def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 class Model:
     """Languages, their log priors, and for each order a (languages, features + 1) matrix of log probabilities."""
 
-    def __init__(self, languages: list[str], docs: np.ndarray, counts: np.ndarray):
+    def __init__(self, languages: list[str], docs: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]]):
+        """counts: of each language its features, ascending, and how often they are there."""
         self.languages = languages
         self.prior = np.log(docs / max(1, docs.sum())) if len(languages) else np.zeros(0)
-        counts = counts.reshape(len(languages), len(ORDERS), 1 << BITS) + 0.1
-        logs = np.log(counts / counts.sum(axis=2, keepdims=True)).astype(np.float32)
-        self.logs = np.concatenate([logs, np.zeros((len(languages), len(ORDERS), 1), np.float32)], axis=2)  # -1: nothing
+        self.logs = np.zeros((len(languages), len(ORDERS), (1 << BITS) + 1), np.float32)  # the last: nothing
+        for logs, (features_, n) in zip(self.logs, counts, strict=True):
+            own = np.full(len(ORDERS) << BITS, SMOOTHING)
+            own[features_] += n
+            own = own.reshape(len(ORDERS), -1)
+            logs[:, :-1] = np.log(own / own.sum(axis=1, keepdims=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior of each text; `und` and 0 for a text that is null or has no letter."""
@@ -102,7 +108,7 @@ def quota(counts, most_rows: int) -> int:
 
 
 def draw(rows: DataFrame, per: dict[str, int], most_rows: int, by=None) -> DataFrame:
-    """All rows of a language with no more than the quota, of another about as many as the quota, by a hash of `by` or at random."""
+    """All rows of a language with no more than the quota, of another about as many as the quota, by a hash of `by`, or at random where copies are all there is."""
     most = quota(per.values(), most_rows)
     rates = [(x, -(-(most << 40) // n)) for x, n in per.items() if n > most]
     if not rates:
@@ -118,38 +124,46 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_rows: in
     Rows are drawn by a hash of their id (doc_id, if there is one) and text, so
     copies do not go together. Priors are from all rows. Rows with a null text
     or language are left out. The counts are summed on the workers; the driver
-    gets one number for each language and feature.
+    gets one number for each feature that a language has. More than
+    MOST_LANGUAGES different values of `lang` raise: the model would not be
+    small, and a column of so many values hardly names languages.
     """
     ship(docs.sparkSession)
     key = [F.col("doc_id").alias("doc_id")] if "doc_id" in docs.columns else []
     rows = docs.select(*key, F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null and text is not null")
-    per = dict(rows.groupBy("lang").count().collect())
+    per = dict(rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect())
+    if len(per) > MOST_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MOST_LANGUAGES} different values")
     drawn = draw(rows, per, most_rows, [c for c in rows.columns if c != "lang"])
     languages = sorted(per)
     where = {x: i for i, x in enumerate(languages)}
     width = len(ORDERS) << BITS
 
     def run(frames):
-        counts = np.zeros((len(languages), width), np.int64)
+        counts: dict[int, np.ndarray] = {}
         docs_of = np.zeros(len(languages), np.int64)
         for f in frames:
             for name, g in f.groupby("lang"):
                 i = where[name]
                 docs_of[i] += len(g)
+                own = counts.setdefault(i, np.zeros(width, np.int64))
                 texts = g["text"].tolist()
                 for a, b in pieces(texts):
                     for n, x in enumerate(features(texts[a:b])[0]):
-                        counts[i, n << BITS : (n + 1) << BITS] += np.bincount(x[x >= 0], minlength=1 << BITS)
-        i, j = np.nonzero(counts)
-        yield pd.DataFrame({"lang": i, "feature": j, "n": counts[i, j]})
+                        own[n << BITS : (n + 1) << BITS] += np.bincount(x[x >= 0], minlength=1 << BITS)
+        for i, own in counts.items():
+            j = np.flatnonzero(own)
+            yield pd.DataFrame({"lang": i, "feature": j, "n": own[j]})
         yield pd.DataFrame({"lang": np.arange(len(languages)), "feature": -1, "n": docs_of})
 
-    counts, docs_of = np.zeros((len(languages), width)), np.zeros(len(languages))
+    none = np.empty(0, np.int64)
+    counts, docs_of = [(none, none)] * len(languages), np.zeros(len(languages))
 
     def learn(some):
         got = some.select("text", "lang").mapInPandas(run, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-        real, head = got[got.feature >= 0], got[got.feature < 0]
-        counts[real.lang, real.feature] += real.n
+        for i, g in got[got.feature >= 0].groupby("lang"):
+            counts[i] = (g.feature.to_numpy(), g.n.to_numpy())
+        head = got[got.feature < 0]
         docs_of[head.lang] += head.n
 
     learn(drawn)

@@ -288,6 +288,60 @@ def test_bayes_by_hand(spark):
     assert score == pytest.approx(1 / sum(math.exp(x - max(want)) for x in want), rel=1e-6)
 
 
+def bayes_in_plain_python(rows):
+    """{doc_id: (language, posterior)} of rows (doc_id, text, lang), from the definition: n-grams, hashes, counts, smoothing."""
+    mult = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+
+    def grams(text):
+        chars = [ord(c) if ord(c) > 0xFFFF or c.isalpha() else 32 for c in " " + text.replace("\0", " ").lower() + " "]
+        found = []
+        for n in (1, 2, 3):
+            for i in range(len(chars) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h ^ chars[i + k]) * mult[k] % 2**32
+                    h ^= h >> 15
+                found.append((n, h >> 17))
+        return Counter(found)
+
+    own = {i: grams(t or "") for i, t, _ in rows}
+    learned = [(i, lang) for i, t, lang in rows if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    docs_of, counts, sums = Counter(lang for _, lang in learned), {}, Counter()
+    for i, lang in learned:
+        counts.setdefault(lang, Counter()).update(own[i])
+        for (n, _), k in own[i].items():
+            sums[lang, n] += k
+    out = {}
+    for i, text, _ in rows:
+        total = {}
+        for lang in sorted(docs_of):
+            c = counts[lang]
+            total[lang] = math.log(docs_of[lang] / len(learned)) + sum(k * math.log((c[g] + 0.1) / (sums[lang, g[0]] + 0.1 * 2**15)) for g, k in own[i].items())
+        best = max(total, key=total.get, default=None)
+        letters = any(c.isalpha() for c in text or "")
+        out[i] = (best, 1 / sum(math.exp(x - total[best]) for x in total.values())) if letters and total else ("und", 0.0)
+    return out
+
+
+def test_languages_of_all_documents_in_plain_python(spark, docs):
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    rows += [(10_000 + i, t, None) for i, t in enumerate(["der", "Straße", "the", "zz", "😀", "ab\0cd", "Ǆ x", "", None, "12"])]
+    want = bayes_in_plain_python(rows)
+    df = spark.createDataFrame([(*r, "s", None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = langid.identify(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0]
+        assert r.score == pytest.approx(want[r.doc_id][1], abs=1e-3)
+
+
+def test_many_languages(spark):
+    some = spark.range(3000).selectExpr("id doc_id", "concat('text ', id) text", "concat('l', id % 200) lang")
+    assert len(langid.train(some).languages) == 200
+    with pytest.raises(ValueError, match="different values"):
+        langid.train(spark.range(10_000).selectExpr("id doc_id", "'text' text", "concat('l', id) lang"))
+
+
 def test_languages_are_drawn_by_quota(spark):
     hot = spark.range(30_000).selectExpr("id doc_id", "'the very same text' text", "'en' lang")
     rare = spark.createDataFrame([(-i, f"der hund nummer {i}", "de") for i in range(1, 4)], hot.schema)

@@ -56,6 +56,10 @@ def dataset_of(path: Column, names: list[str], default: str = "unknown") -> Colu
     return out
 
 
+# The splits that a path names by their plain words, the first of the list that it has.
+PLAIN_SPLITS = [(w, [w]) for w in ("train", "test", "validation", "val")]
+
+
 def split_of(path: Column, order: list[tuple[str, list[str]]] | None = None, default: str = "unspecified") -> Column:
     """The split that a path names: by `order`, (name, folder names) pairs with the first match winning."""
     p = F.transform(parts(path), F.lower)

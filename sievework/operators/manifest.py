@@ -85,3 +85,23 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
 def first_rows(df: DataFrame, order: list, n: int) -> DataFrame:
     """The first n rows in an order that has no ties."""
     return df.orderBy(*order).limit(n)
+
+
+def rows_between(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+    """The rows from place `first` to place `last`, from 1, of an order over all rows, with their `place`."""
+    return numbered(df, order, "place").where(F.col("place").between(first, last))
+
+
+def first_of_groups(df: DataFrame, group: str, values: list[str], order: str) -> DataFrame:
+    """(group, values): what the first row of each group has, null or not; rows are never gathered."""
+    first = F.min_by(F.struct(*values), F.col(order)).alias("v")
+    return df.where(F.col(group).isNotNull()).groupBy(group).agg(first).select(group, "v.*")
+
+
+def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows whose keys are those of another row, too; nulls are equal. Keys are counted, so a frequent one stays spread."""
+    often = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_n")).where("_n > 1")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(often, same, "left_semi")

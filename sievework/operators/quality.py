@@ -57,3 +57,8 @@ def upload_gate(size: Column, extension: Column, width: Column, height: Column,
         .when((width < SMALL_SIDE) | (height < SMALL_SIDE) | (width * height < 10_000), "image too small")
     )
     return F.struct(message.isNull().alias("valid"), F.coalesce(message, F.lit("ok")).alias("message"))
+
+
+def client_gate(mime: Column, size: Column, most_bytes: int = 10 << 20) -> Column:
+    """What a page checks before it sends a file: is it said to be an image, and of at most so many bytes?"""
+    return F.coalesce(F.startswith(mime, F.lit("image/")) & (size <= most_bytes), F.lit(False))

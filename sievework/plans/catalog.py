@@ -720,4 +720,4 @@ def text_patterns(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(_LINK), 1)).cast("long").alias("n_links"), F.regexp_extract("html", _TITLE, 1).alias("title"))
 
 
-from sievework.plans import histories as _histories, images as _images, manifest as _more, stored as _stored  # noqa: E402, F401  register their queries
+from sievework.plans import cases as _cases, histories as _histories, images as _images, manifest as _more, stored as _stored  # noqa: E402, F401  register their queries

@@ -31,14 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; clear() deletes what is there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this process has put into the shared folder so far; frames that read it can't be used any more. How many paths there were."""
+    found = [p for p in _MADE if exists(spark, p)]
+    for path in found:
+        remove(spark, path)
+    _MADE.clear()
+    return len(found)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors.
 
-    The folder is a session's scratch space; what its owner knows to be done
-    with goes by remove().
+    The folder is a session's scratch space; what is done with goes by
+    remove(), all of it by clear().
     """
     spark = df.sparkSession
     path = path or scratch(spark, name)

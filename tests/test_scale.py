@@ -390,3 +390,10 @@ def test_models_of_both_kinds(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pixels, "MODEL_BYTES", 100)
     with pytest.raises(ValueError, match="bytes"):
         pixels.classify(rows, str(tmp_path / "a.npz"))
+
+
+def test_the_shared_folder_can_be_cleared(spark):
+    path = storage.scratch(spark, "cleared")
+    storage.written(spark.range(3), "cleared", path)
+    assert storage.exists(spark, path) and storage.clear(spark) >= 1
+    assert not storage.exists(spark, path) and storage.clear(spark) == 0

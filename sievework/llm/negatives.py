@@ -21,7 +21,7 @@ from .common import ship, tidy, written
 from .topk import _kind, _longs, _matrix, _whole, whole_vectors
 
 LEAF = 64
-BLOCK = 4096  # rows of a block at most
+BLOCK = 4096  # rows of a block, expected
 SAMPLE = 16_384  # rows that a routing tree is fitted on at most
 CELLS = 1024  # of a routing tree at most
 SEEDS = 4  # blocks with the highest bounds, searched first for each block of anchors
@@ -267,8 +267,9 @@ def _router(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
 def blocks(rows: DataFrame, n: int, wide: int) -> DataFrame:
     """rows (row, vec_id, label, v) with their block, their place in its tree, and at place 0 the block's ball and labels.
 
-    Rows go to ranges of (cell, hash), so a cell with a third of all rows is
-    spread like any other, and each task cuts its cells into blocks.
+    A cell of the routing tree is dealt by a hash into as many blocks as its
+    rows ask for, so one with a third of all rows is spread like any other,
+    and the number of blocks follows from the rows and not from the tasks.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -279,7 +280,8 @@ def blocks(rows: DataFrame, n: int, wide: int) -> DataFrame:
         return np.pad(v, ((0, 0), (0, wide - v.shape[1])))
 
     sample = rows.orderBy(F.xxhash64("v", "row"), "row").limit(SAMPLE).select("v").toArrow()
-    sent = spark.sparkContext.broadcast(_router(padded(sample) if len(sample) else np.empty((0, wide)), min(CELLS, max(1, n // size))))
+    router = _router(padded(sample) if len(sample) else np.empty((0, wide)), min(CELLS, max(1, n // size)))
+    sent = spark.sparkContext.broadcast(router)
 
     def route(batches):
         for b in batches:
@@ -297,23 +299,26 @@ def blocks(rows: DataFrame, n: int, wide: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*[b.column(c) for c in ("row", "vec_id", "label", "v")], pa.array(np.full(n, block)), pa.array(np.arange(n)), *ball], names=["row", "vec_id", "label", "v", "block", "pos", "centre", "radius", "low", "high"])
 
     def cut(batches):
-        held, cell, n = [], None, 0
+        held, key = [], None
         for b in batches:
-            cells = b.column("cell").to_numpy()
-            at = 0
-            while at < b.num_rows:
-                if held and (cells[at] != cell or n == size):
+            cells, parts = b.column("cell").to_numpy(), b.column("part").to_numpy()
+            ends = [*(np.flatnonzero((np.diff(cells) != 0) | (np.diff(parts) != 0)) + 1).tolist(), b.num_rows]
+            for a, e in zip([0, *ends], ends, strict=False):
+                if a == e:
+                    continue
+                if held and key != (cells[a], parts[a]):
                     yield one(held)
-                    held, n = [], 0
-                cell = cells[at]
-                end = min(at + size - n, int(np.searchsorted(cells, cell, side="right")))
-                held.append(b.slice(at, end - at))
-                n, at = n + end - at, end
+                    held = []
+                key = (cells[a], parts[a])
+                held.append(b.slice(a, e - a))
         if held:
             yield one(held)
 
     routed = rows.select("row", "vec_id", "label", "v").mapInArrow(tidy(route), "row long, vec_id long, label long, v array<double>, cell long")
-    dealt = routed.repartitionByRange("cell", F.xxhash64("row")).sortWithinPartitions("cell", F.xxhash64("row"))
+    first = len(router[1])
+    counts = dict(routed.groupBy("cell").count().collect())  # of CELLS cells at most
+    parts = F.element_at(F.array(*[F.lit(-(-counts.get(first + k, 1) // size)) for k in range(first + 1)]), (F.col("cell") - first + 1).cast("int"))
+    dealt = routed.withColumn("part", F.pmod(F.xxhash64("row"), parts)).repartition("cell", "part").sortWithinPartitions("cell", "part", "row")
     schema = "row long, vec_id long, label long, v array<double>, block long, pos long, centre array<double>, radius double, low long, high long"
     return written(dealt.mapInArrow(tidy(cut), schema), "tree")
 

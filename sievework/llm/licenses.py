@@ -24,33 +24,68 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 # Words of public license texts and notices, sentence by sentence, with the phrases that must stand in them.
 TEMPLATES = [
     ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ["gnu affero general public license"]),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation inc", ["gnu affero general public license version 3"]),
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license"]),
     ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", ["www apache org licenses license 2 0"]),
     ("apache-2.0", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", ["apache license version 2 0 january 2004"]),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["agreed to in writing software distributed under the license", "distributed on an as is basis"]),
+    ("apache-2.0", "see the license for the specific language governing permissions and limitations under the license", ["specific language governing permissions and limitations"]),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form", ["irrevocable copyright license to reproduce"]),
+    ("apache-2.0", "patent license to make have made use offer to sell sell import and otherwise transfer the work", ["patent license to make have made use offer to sell sell import"]),
+    ("artistic-2.0", "the artistic license 2 0 copyright c 2000 2006 the perl foundation", ["artistic license 2 0"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms"]),
     ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
     ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ["provided by the copyright holders and contributors as is"]),
+    ("bsd", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability", ["exemplary or consequential damages", "procurement of substitute goods or services loss of use data or profits"]),
     ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["neither the name of", "endorse or promote products"]),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement", ["all advertising materials mentioning features or use of this software"]),
     ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["any person or organization obtaining a copy"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa"]),
+    ("bsl-1.0", "boost software license version 1 0 august 17th 2003", ["boost software license version 1 0"]),
+    ("bsl-1.0", "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software", ["this entire statement including the above license grant"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc"]),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial 4 0"]),
+    ("cc-by-nc-sa-4.0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ["creative commons attribution noncommercial sharealike 4 0"]),
+    ("cc-by-nd-4.0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", ["creative commons attribution noderivatives 4 0"]),
+    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa"]),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike 4 0"]),
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
+    ("cc0-1.0", "cc0 1 0 universal creative commons corporation is not a law firm and does not provide legal services", ["cc0 1 0 universal"]),
     ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ["eclipse public license"]),
+    ("epl-2.0", "the accompanying program is provided under the terms of this eclipse public license agreement", ["terms of this eclipse public license"]),
     ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license as published", "either version 2 of the license"]),
+    ("gpl-2.0", "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc", ["gnu general public license version 2 june 1991"]),
+    ("gpl-2.0", "you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa", ["gnu general public license along with this program if not write to the free software foundation"]),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
     ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license as published", "either version 3 of the license"]),
     ("gpl-3.0", "gnu general public license version 3 29 june 2007 copyright 2007 free software foundation inc", ["gnu general public license version 3 29 june 2007"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee is hereby granted"]),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ["author disclaims all warranties with regard to this software"]),
+    ("isc", "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action", ["negligence or other tortious action"]),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
+    ("lgpl", "gnu lesser general public license version 2 1 february 1999 copyright c 1991 1999 free software foundation inc", ["gnu lesser general public license version 2 1"]),
+    ("lgpl", "gnu lesser general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ["gnu lesser general public license version 3"]),
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "associated documentation files"]),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included in all copies"]),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ["to deal in the software without restriction", "publish distribute sublicense and or sell copies"]),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ["authors or copyright holders be liable for any claim"]),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license", ["mozilla public license version 1 1"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["copy of the mpl was not distributed"]),
+    ("mpl-2.0", "mozilla public license version 2 0 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to the creation of or owns covered software", ["mozilla public license version 2 0"]),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license if you do not accept the license do not use the software", ["this license governs use of the accompanying software"]),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ["sil open font license"]),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies", ["this paragraph and the following two paragraphs"]),
+    ("psf-2.0", "this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using this software python in source or binary form and its associated documentation", ["python software foundation psf"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["anyone is free to copy modify publish use compile sell or distribute this software"]),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", ["origin of this software must not be misrepresented"]),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ["altered source versions must be plainly marked"]),
+    ("zlib", "this notice may not be removed or altered from any source distribution", ["may not be removed or altered from any source distribution"]),
 ]
 STARTS = 4096  # places of a template that are looked at together
 LEAST_SHARE = 0.6  # of a template's words that must be in place

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sievework.functions import rasters
-from sievework.operators import pixels, serve
+from sievework.operators import dedup, pixels, profile, serve
 from sievework.plans import catalog as c
 from sievework.plans.catalog import query
 from sievework.sources import files, storage
@@ -18,10 +18,11 @@ SIDE = 8
 KINDS = ["bmp", "png", "tiff", "TIF"]
 
 
-def drawn(df, seed: str = "html"):
+def drawn(df, seed: str = "html", spoiled: bool = False):
     """df with `path` and `content`: a file of SIDE x SIDE pixels whose bytes are digests of a text; every tenth is broken.
 
     Bytes are multiples of 8, of which no luma lies half-way between two whole numbers.
+    A spoiled picture has a first byte of its own.
     """
 
     @F.pandas_udf("binary")
@@ -34,6 +35,8 @@ def drawn(df, seed: str = "html"):
 
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("page_id") % 4 + 1).cast("int"))
     hexes = F.concat(*[F.sha2(F.concat(seed, F.lit(f".{k}")), 256) for k in range(6)])
+    if spoiled:
+        hexes = F.concat(F.lpad(F.hex(F.col("page_id") % 8 * 32), 2, "0"), F.substr(hexes, F.lit(3)))
     content = F.when(F.col("page_id") % 10 == 3, F.encode(F.lit("no image"), "US-ASCII")).otherwise(image(kind, hexes))
     return df.withColumn("content", content).withColumn("path", F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit("."), kind))
 
@@ -71,6 +74,53 @@ def image_files(spark, d):
     )
 
 
+_DCT = """
+w AS (SELECT list_transform(range(64), lambda p: list_sum(list_transform(range(4), lambda t: cos(pi() * (p // 8) * (8 * (p % 8) + 2 * t + 1) / 64)))) AS w),
+dct AS (SELECT page_id, kind, list_transform(range(64), lambda o: list_sum(list_transform(range(64), lambda p: w[o // 8 * 8 + p // 8 + 1] * w[o % 8 * 8 + p % 8 + 1] * g[p + 1]))) AS low FROM g CROSS JOIN w WHERE NOT broken),
+hash AS (SELECT page_id, kind, array_to_string(list_transform(low, lambda x: CASE WHEN x > list_median(low) THEN '1' ELSE '0' END), '') AS phash FROM dct)
+"""
+
+
+def _files_of(seed: str, spoiled: bool = False) -> str:
+    out = _FILES.replace("sha256(html ||", f"sha256({seed} ||")
+    return out.replace(" AS h FROM pages)", " AS h FROM pages), o AS (SELECT * REPLACE (printf('%02x', page_id % 8 * 32) || substr(h, 3) AS h) FROM f)").replace("AS b FROM f)", "AS b FROM o)") if spoiled else out
+
+
+def twin_folder(spark, d, spoiled: bool = False) -> str:
+    """Eight files in a row show one picture, in all four formats; spoiled ones each a little differently."""
+    root = storage.scratch(spark, "twins")
+    files.write_files(drawn(c.table(spark, d, "pages").withColumn("twin", F.expr("cast(page_id div 8 as string)")), "twin", spoiled), root)
+    return root
+
+
+@query(f"WITH {_files_of('(page_id // 8)::VARCHAR')}, {_DCT} SELECT phash, count(*) AS n, array_to_string(list_sort(list_distinct(list(CASE WHEN kind = 'TIF' THEN 'TIFF' ELSE upper(kind) END))), '|') AS formats FROM hash GROUP BY 1 HAVING count(*) > 1")
+def image_hash_groups(spark, d):
+    """Files that look alike, whatever their format."""
+    found = pixels.inspect_folder(spark, twin_folder(spark, d)).where("phash is not null")
+    groups = found.groupBy("phash").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("format")), "|").alias("formats")).where("n > 1")
+    return groups.withColumn("phash", F.lpad(F.bin("phash"), 64, "0"))
+
+
+@query(f"""
+WITH {_files_of('(page_id // 8)::VARCHAR', True)}, {_DCT}, r AS (SELECT phash, min(page_id) AS id, count(*) AS n FROM hash GROUP BY 1),
+p AS (SELECT x.id AS a, y.id AS b, list_sum(list_transform(range(64), lambda i: CASE WHEN x.phash[i + 1] <> y.phash[i + 1] THEN 1 ELSE 0 END))::INT AS distance, x.n AS n_a, y.n AS n_b FROM r x JOIN r y ON x.id < y.id)
+SELECT * FROM p WHERE distance <= 10
+""")
+def image_near_pairs(spark, d):
+    """Pictures whose hashes are near: files to pixels to hashes to pairs, none of them left out."""
+    found = pixels.inspect_folder(spark, twin_folder(spark, d, True)).where("phash is not null")
+    signed = found.select(F.regexp_extract("path", "([0-9]+)[.][A-Za-z]+$", 1).cast("long").alias("page_id"), F.col("phash").alias("signature"))
+    return dedup.near_pairs_exact(storage.written(signed, "hashes"), "page_id")
+
+
+@query(f"""
+WITH {_FILES}, k AS (SELECT CASE WHEN NOT broken THEN CASE WHEN kind = 'TIF' THEN 'TIFF' ELSE upper(kind) END END AS format, CASE WHEN NOT broken THEN 'RGB' END AS mode FROM f)
+SELECT 'format' AS key, format AS value, count(*) AS n FROM k GROUP BY format UNION ALL SELECT 'mode', mode, count(*) FROM k GROUP BY mode
+""")
+def image_formats(spark, d):
+    return profile.grouping_profile(pixels.inspect_folder(spark, image_folder(spark, d)), ["format", "mode"])
+
+
 _CHANNELS = ", ".join(f"CASE WHEN NOT broken THEN round((list_avg(list_transform(range(64), lambda i: b[3 * i + {k + 1}])) / 255 - {pixels.MEAN[k]}) / {pixels.STD[k]}, 4) END AS {name}" for k, name in enumerate(("red", "green", "blue")))
 
 

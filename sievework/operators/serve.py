@@ -76,6 +76,23 @@ def result_document(df: DataFrame, logits: str, names: list[str], guidance: Data
     return rows.withColumn("result", F.when(w.isNotNull() & h.isNotNull(), result)).drop(*given)
 
 
+# How a path is named in what an explanation prints, the first pattern first.
+NAMED_PATHS = [r"Grad-CAM explanation\s*:\s*(.+)", r"Grad-CAM\s*:\s*(.+)", r"explanation\s*:\s*(.+)", r"(?:generated|saved)\s+(?:to|at)\s*:\s*(.+)"]
+
+
+def named_paths(output: Column) -> Column:
+    """The paths that a text names, in any case, by the patterns in their order; blanks and then quotes around them go."""
+    found = F.concat(*[F.regexp_extract_all(output, F.lit("(?i)" + p), 1) for p in NAMED_PATHS])
+    bare = lambda x, ends: F.regexp_replace(x, f"^[{ends}]+|[{ends}]+$", "")
+    return F.transform(found, lambda x: bare(bare(bare(x, r"\s"), '"'), "'"))
+
+
+def first_existing(df: DataFrame, key: str, paths: str, files: DataFrame, path: str = "path") -> DataFrame:
+    """(key, path): of each row's list of paths the first that is among the files; keys without one have no row."""
+    named = df.select(key, F.posexplode(paths).alias("place", path)).join(files.select(path), path, "left_semi")
+    return named.groupBy(key).agg(F.min_by(path, "place").alias(path))
+
+
 def best_match(files: DataFrame, key: str, name: str, stem: str, newest: list[str]) -> DataFrame:
     """(key, best): the name that goes best with the stem of its key, of equal ones the newest; keys without any score have no row."""
     low = F.lower(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import paths
-from sievework.operators import curate, manifest, quality, taxonomy
+from sievework.operators import audit, curate, manifest, quality, serve, taxonomy
 from sievework.plans import catalog as c
 from sievework.plans.catalog import query
 from sievework.sources import storage
@@ -174,3 +174,48 @@ def first_of_each_source(spark, d):
     """The first row's values, null ones too."""
     rows = c.table(spark, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
     return manifest.first_of_groups(rows, "source", ["lang", "doc_id"], "doc_id").select("source", "lang", "doc_id")
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id) ORDER BY doc_id LIMIT 50")
+def first_missing(spark, d):
+    missing = audit.missing_references(c.table(spark, d, "documents").select("doc_id"), c.table(spark, d, "labels"), "doc_id")
+    return manifest.first_rows(missing, ["doc_id"], 50)
+
+
+# ---------------------------------------------------------------- what is printed and reported
+
+_LINE = "' || chr(10) || '"
+_QUOTE = "' || chr(39) || '"
+_PRINTED = f"""CASE page_id % 6 WHEN 0 THEN 'Grad-CAM explanation: "out/' || page_id || '.png"{_LINE}Explanation: other.png' WHEN 1 THEN 'Done.{_LINE}SAVED to:{_LINE}   out/' || page_id || '.png  '
+  WHEN 2 THEN 'explanation : {_QUOTE}none.png{_QUOTE}{_LINE}GRAD-cam :out/' || page_id || '.png' WHEN 3 THEN 'generated  at: {_QUOTE}out/' || page_id || '.png{_QUOTE}{_LINE}saved at: out/0.png' WHEN 4 THEN 'nothing' END"""
+_FOUND = ["regexp_extract_all(printed, '(?i)" + p + "', 1)" for p in serve.NAMED_PATHS]
+
+
+@query(f"""
+WITH o AS (SELECT page_id, {_PRINTED} AS printed FROM pages), m AS (SELECT page_id, flatten([{", ".join(_FOUND)}]) AS found FROM o),
+p AS (SELECT page_id, unnest(list_transform(found, lambda x: trim(trim(trim(x), '"'), chr(39)))) AS path, generate_subscripts(found, 1) AS place FROM m)
+SELECT page_id, arg_min(path, place) AS path FROM p WHERE path IN (SELECT 'out/' || page_id || '.png' FROM pages WHERE page_id % 5 <> 2) GROUP BY 1
+""")
+def explained_paths(spark, d):
+    """The first path that a printed text names, by four patterns, and that exists."""
+    pages = c.table(spark, d, "pages")
+    rows = pages.select("page_id", serve.named_paths(F.expr(_PRINTED)).alias("paths"))
+    there = pages.where("page_id % 5 <> 2").select(F.concat(F.lit("out/"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
+    return serve.first_existing(rows, "page_id", "paths", there)
+
+
+@query("""
+SELECT source, round(avg(n_chars), 4) AS mean_chars, NULL::DOUBLE AS worst, list_sort(list_distinct(list(lang))) AS langs, [min(n_chars)::DOUBLE, NULL] AS ends, count(*) FILTER (lang = 'en') AS english
+FROM documents GROUP BY source
+""")
+def nested_report(spark, d):
+    """A report of structs, arrays and maps as JSON documents, read back by its schema; what is no number is null at any depth."""
+    bad = F.lit(float("nan"))
+    rows = c.table(spark, d, "documents").groupBy("source").agg(
+        F.struct(F.count("*").alias("n"), F.struct(F.round(F.avg("n_chars"), 4).alias("mean"), bad.alias("worst")).alias("chars")).alias("numbers"), F.array_sort(F.collect_set("lang")).alias("langs"),
+        F.array(F.min("n_chars").cast("double"), F.lit(float("-inf"))).alias("ends"), F.create_map(F.lit("en"), F.count_if(F.col("lang") == "en").cast("double"), F.lit("none"), bad).alias("by_lang"),
+    )
+    path = storage.scratch(spark, "nested")
+    storage.write_json_report(rows, path)
+    read = spark.read.schema(rows.schema).json(path)
+    return read.select("source", F.col("numbers.chars.mean").alias("mean_chars"), F.coalesce("numbers.chars.worst", F.col("by_lang")["none"]).alias("worst"), "langs", "ends", F.col("by_lang")["en"].cast("long").alias("english"))

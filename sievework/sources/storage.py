@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,9 +194,22 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, single
     (df.coalesce(1) if single else df).write.mode("overwrite").options(**kept).csv(path)
 
 
+def finite(x: Column, kind: T.DataType) -> Column:
+    """x with null for NaN and infinities, at any depth of structs, arrays and maps."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[finite(x[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda y: finite(y, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, y: finite(y, kind.valueType))
+    return x
+
+
 def write_json_report(df: DataFrame, path: str) -> None:
-    """Each row as one JSON document; NaN and infinities become null."""
-    safe = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    """Each row as one JSON document, nested as the row is; NaN and infinities become null, and nulls are written."""
+    safe = [finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]
     df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 

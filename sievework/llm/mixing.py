@@ -172,9 +172,13 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Of rows that agree in id, source and text one is repeated for all; further
     columns stay, whatever their names, and for such rows are those of any one.
     """
-    found = copies(docs, doc_id=doc_id, text=text, source=source, **how).select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "digest", "m", "copies")]).where("_mix_copies > 0")
-    rows = docs.withColumn("_mix_own", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_mix_doc_id")) & F.col(f"`{source}`").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_own") == F.col("_mix_digest"))
-    rows = rows.join(found, same)
-    rows = rows.where("_mix_m = 1").unionByName(rows.where("_mix_m > 1").dropDuplicates([doc_id, source, "_mix_own"]))
-    return rows.withColumn("_mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
+    p = "_mix"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
+    own, i = f"{p}_own", f"{p}_i"
+    found = copies(docs, doc_id=doc_id, text=text, source=source, **how).where("copies > 0")
+    found = found.select(*[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "source", "digest", "m", "copies")])
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(f"{p}_doc_id")) & F.col(f"`{source}`").eqNullSafe(F.col(f"{p}_source")) & (F.col(own) == F.col(f"{p}_digest"))
+    rows = docs.withColumn(own, F.xxhash64(F.col(f"`{text}`").cast("string"))).join(found, same)
+    rows = rows.where(F.col(f"{p}_m") == 1).unionByName(rows.where(F.col(f"{p}_m") > 1).dropDuplicates([doc_id, source, own]))
+    return rows.withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -248,7 +248,7 @@ def test_mix_expects_the_fraction_at_every_size(spark):
 
 
 def test_mix_of_odd_rows(spark):
-    schema = "doc_id long, text string, source string, target string, h string, item string"
+    schema = "doc_id long, text string, source string, target string, _mix_own string, item string"
     rows = [(1, None, "a"), (2, "", "a"), (3, " \t", None), (4, words(9), None), (4, words(9), None), (4, words(9), None), (None, "x y", None), (None, "x y z", "😀"), (5, words(50_000), "b"), *[(7, "same words here", "b")] * 500, (8, "a b\x00c", "￿"), (9, "漢 字", "")]
     docs = spark.createDataFrame([(*r, "t", "h", "i") for r in rows], schema)
     got, _ = mixed(spark, docs)

@@ -200,6 +200,30 @@ def test_a_folder_of_all_kinds(spark, tmp_path):
     assert len({tuple(x) for x in inputs.values() if x}) == 1 and len(inputs["a.bmp"]) == 3 * pixels.SIDE**2
 
 
+def test_jpeg_and_gif_within_a_tolerance(spark, tmp_path):
+    h, w = 32, 48
+    px = np.kron(np.random.default_rng(6).integers(0, 256, (4, 6, 3)), np.ones((8, 8, 1))).astype(np.uint8)
+    image = spark._jvm.java.awt.image.BufferedImage(w, h, 5)  # three bytes a pixel
+    for i in range(h):
+        for j in range(w):
+            r, g, b = px[i, j].tolist()
+            image.setRGB(j, i, (r << 16 | g << 8 | b) - (1 << 24))
+    for kind in ("jpg", "gif", "png"):
+        assert spark._jvm.javax.imageio.ImageIO.write(image, kind, spark._jvm.java.io.File(str(tmp_path / f"a.{kind}")))
+    (tmp_path / "a.tiff").write_bytes(rasters.tiff(px))
+    got = {r.path.rsplit(".", 1)[1]: r for r in pixels.inspect_folder(spark, str(tmp_path)).collect()}
+    exact = got["tiff"]
+    assert (got["png"].mean_brightness, got["png"].phash) == (exact.mean_brightness, exact.phash)
+    for kind, name in (("jpg", "JPEG"), ("gif", "GIF")):
+        r = got[kind]
+        assert (r.error, r.format, r.width, r.height) == (None, name, w, h)
+        assert r.mean_brightness == pytest.approx(exact.mean_brightness, abs=8)
+        assert ((r.phash ^ exact.phash) & (2**64 - 1)).bit_count() <= 8
+    assert (rasters.read_png((tmp_path / "a.png").read_bytes())[0] == px).all()  # with the filters of another writer
+    inputs = {r.path.rsplit(".", 1)[1]: np.array(r.x) for r in pixels.folder_inputs(spark, str(tmp_path)).collect()}
+    assert np.abs(inputs["jpg"] - inputs["tiff"]).mean() < 0.3  # chroma is halved
+
+
 def test_png_round_trips():
     rng = np.random.default_rng(4)
     for _ in range(40):

@@ -25,6 +25,7 @@ MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 LUMA = (0.299, 0.587, 0.114)
 SIDE = 224
 MODEL_BYTES = 512 << 20
+INPUTS_AT_ONCE = 64
 
 SCHEMA = "path string, width int, height int, aspect_ratio double, format string, mode string, mean_brightness double, blur_score double, phash long, error string"
 
@@ -168,18 +169,24 @@ def _plain(path: str) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+def _few(f: pd.DataFrame):
+    """f by INPUTS_AT_ONCE rows: an input has 600 KB, whatever the file has."""
+    return (f.iloc[a : a + INPUTS_AT_ONCE] for a in range(0, len(f), INPUTS_AT_ONCE))
+
+
 def byte_inputs(files: DataFrame) -> DataFrame:
     """(path, x array<float>) of (path, content) rows that decode() reads; null for others."""
 
     def run(frames):
         for f in frames:
-            out = []
-            for content in f["content"]:
-                try:
-                    out.append(np.array(model_input(bytes(content)), np.float32))
-                except Exception:  # no input for a broken file
-                    out.append(None)
-            yield pd.DataFrame({"path": f["path"], "x": out})
+            for some in _few(f):
+                out = []
+                for content in some["content"]:
+                    try:
+                        out.append(np.array(model_input(bytes(content)), np.float32))
+                    except Exception:  # no input for a broken file
+                        out.append(None)
+                yield pd.DataFrame({"path": some["path"], "x": out})
 
     return files.select("path", "content").mapInPandas(run, "path string, x array<float>")
 
@@ -232,14 +239,15 @@ def model_inputs(images: DataFrame) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            out = []
-            for h, w, n, data in zip(*(f[c] for c in ("height", "width", "channels", "data")), strict=True):
-                try:
-                    px = resize(from_planes(h, w, n, bytes(data))[0], SIDE, SIDE) / 255
-                    out.append(((px - MEAN) / STD).transpose(2, 0, 1).ravel().astype(np.float32))
-                except Exception:  # no input for a broken file
-                    out.append(None)
-            yield pd.DataFrame({"path": f["path"], "x": out})
+            for some in _few(f):
+                out = []
+                for h, w, n, data in zip(*(some[c] for c in ("height", "width", "channels", "data")), strict=True):
+                    try:
+                        px = resize(from_planes(h, w, n, bytes(data))[0], SIDE, SIDE) / 255
+                        out.append(((px - MEAN) / STD).transpose(2, 0, 1).ravel().astype(np.float32))
+                    except Exception:  # no input for a broken file
+                        out.append(None)
+                yield pd.DataFrame({"path": some["path"], "x": out})
 
     return images.mapInPandas(run, "path string, x array<float>")
 

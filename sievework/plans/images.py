@@ -121,17 +121,23 @@ def image_formats(spark, d):
     return profile.grouping_profile(pixels.inspect_folder(spark, image_folder(spark, d)), ["format", "mode"])
 
 
-_CHANNELS = ", ".join(f"CASE WHEN NOT broken THEN round((list_avg(list_transform(range(64), lambda i: b[3 * i + {k + 1}])) / 255 - {pixels.MEAN[k]}) / {pixels.STD[k]}, 4) END AS {name}" for k, name in enumerate(("red", "green", "blue")))
+_CHANNELS = ", ".join(f"CASE WHEN NOT broken THEN list_sum(list_transform(range(64), lambda i: b[3 * i + {k + 1}]))::BIGINT END AS {name}" for k, name in enumerate(("red", "green", "blue")))
 
 
-@query(f"WITH {_FILES} SELECT name, CASE WHEN NOT broken THEN 150528 END AS n, {_CHANNELS}, CASE WHEN NOT broken THEN round((b[192] / 255 - {pixels.MEAN[2]}) / {pixels.STD[2]}, 4) END AS last FROM b")
+@query(f"WITH {_FILES} SELECT name, CASE WHEN NOT broken THEN 150528 END AS n, {_CHANNELS}, CASE WHEN NOT broken THEN b[192]::BIGINT END AS last FROM b")
 def image_inputs(spark, d):
-    """The 224 x 224, normalised, channel-first copy of each file: its size, the mean of each channel, its last value."""
-    side = pixels.SIDE * pixels.SIDE
+    """The 224 x 224, normalised, channel-first copy of each file: its size, and the sums of the pixels that each channel has, as bytes of the file again."""
     found = pixels.folder_inputs(spark, image_folder(spark, d))
-    mean = lambda k: F.round(F.aggregate(F.slice("x", k * side + 1, side), F.lit(0.0), lambda a, v: a + v) / side, 4)
-    n = F.when(F.col("x").isNotNull(), F.size("x")).alias("n")
-    return found.select(F.substring_index("path", "/", -1).alias("name"), n, *[mean(k).alias(x) for k, x in enumerate(("red", "green", "blue"))], F.round(F.element_at("x", -1).cast("double"), 4).alias("last"))
+    wide = pixels.SIDE // SIDE  # each pixel of the file is a square of so many
+    byte = lambda v, k: F.round((v.cast("double") * pixels.STD[k] + pixels.MEAN[k]) * 255)
+
+    def total(k: int):
+        corners = F.array(*[F.lit(k * pixels.SIDE**2 + r * wide * pixels.SIDE + q * wide) for r in range(SIDE) for q in range(SIDE)])
+        return F.aggregate(corners, F.lit(0.0), lambda a, i: a + byte(F.col("x")[i], k)).cast("long")
+
+    rows = found.withColumn("size", F.size("x"))
+    shown = [F.when(F.col("x").isNotNull(), v).alias(n) for n, v in (("n", F.col("size")), *((n, total(k)) for k, n in enumerate(("red", "green", "blue"))), ("last", byte(F.element_at("x", -1), 2).cast("long")))]
+    return rows.select(F.substring_index("path", "/", -1).alias("name"), *shown)
 
 
 _TWINS = "t AS (SELECT page_id, page_id // 8 AS twin, page_id % 10 = 3 AS broken, ['bmp', 'png', 'tiff', 'TIF'][page_id % 4 + 1] AS kind FROM pages), k AS (SELECT *, CASE WHEN broken THEN 'broken' ELSE kind || twin END AS key FROM t)"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,36 +27,49 @@ def exact_groups(df: DataFrame, hash_col: str, order: str) -> DataFrame:
     return rows.join(ranked.select(hash_col, "group_size", "duplicate_group"), hash_col)
 
 
-def words(text: Column) -> Column:
-    """Distinct lower-cased words of ASCII letters, digits and underscores."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), "[^\\w]+")), lambda w: w != "")
+# Words of lower-cased texts: ASCII letters, digits and underscores.
+WORD = re.compile("[0-9a-z_]+")
+# Of each byte its eight bits, the highest first, as eight bytes.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def bit_counts(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set in each group of rows of 8 bytes; no group is empty."""
+    parts = -(-sizes // 255)  # what eight counters of a byte each can hold
+    before = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * (np.arange(parts.sum()) - np.repeat(before, parts))
+    few = np.add.reduceat(_BITS[data], starts, axis=0).view(np.uint8)
+    return np.add.reduceat(few.astype(np.int64), before, axis=0)
 
 
 def simhash(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     """(key, signature), and more columns if asked for: 64-bit SimHash over distinct words, each with the first 64 bits of its md5; texts without words have none.
 
     Each row has its own signature, also where rows share a key. Words are
-    hashed in the scan and their bits counted in the same task, a batch of
-    rows at a time: nothing is shuffled.
+    found, hashed and counted in the scan's own task, some rows at a time, and
+    only texts go there: nothing is shuffled.
     """
     kept = [key, *more]
-    rows = df.select(*kept, F.transform(words(F.col(text)), lambda w: F.unhex(F.left(F.md5(w), F.lit(16)))).alias("h")).where(F.size("h") > 0)
+    rows = df.select(*kept, F.lower(text).alias("_text"))
 
     def sign(batches):
+        known: dict[str, bytes] = {}
         for batch in batches:
-            lists = batch.column("h")
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            # Eight bytes each, in one buffer.
-            data = np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(-1, 8)
-            found = []
-            for a in range(0, len(lists), SIGNED_AT_ONCE):
-                b = min(len(lists), a + SIGNED_AT_ONCE)
-                first, n = ends[a:b] - ends[a], np.diff(ends[a : b + 1])
-                ones = np.add.reduceat(np.unpackbits(data[ends[a] : ends[b]], axis=1), first, axis=0, dtype=np.int64)
-                found.append(np.packbits(2 * ones > n[:, None], axis=1).view(">i8").ravel().astype(np.int64))
-            signatures = np.concatenate(found) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(signatures)], names=[*kept, "signature"])
+            texts = batch.column("_text").to_pylist()
+            for a in range(0, len(texts), SIGNED_AT_ONCE):
+                sets = [set(WORD.findall(t)) if t else () for t in texts[a : a + SIGNED_AT_ONCE]]
+                if len(known) > 500_000:
+                    known.clear()
+                for w in set().union(*sets).difference(known):
+                    known[w] = hashlib.md5(w.encode()).digest()[:8]
+                there = np.flatnonzero([len(x) > 0 for x in sets])
+                if not len(there):
+                    continue
+                n = np.array([len(sets[k]) for k in there])
+                data = np.frombuffer(b"".join([known[w] for k in there for w in sets[k]]), np.uint8).reshape(-1, 8)
+                signatures = np.packbits(2 * bit_counts(data, n) > n[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+                own = batch.slice(a, len(sets)).take(pa.array(there))
+                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in kept], pa.array(signatures)], names=[*kept, "signature"])
 
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept)
     return rows.mapInArrow(sign, f"{kinds}signature long")

@@ -100,18 +100,25 @@ def near_pairs_exact(signed: DataFrame, key: str, most: int = REVIEW) -> DataFra
     that is within its radius reports the pair: nothing is made distinct. A
     bucket is one value of one band of different signatures, whose mean size
     is their number over 65,536; a hot one is split by Spark's skew join.
+
+    The asking side has some 428 rows for each signature at 10 bits, of which
+    Spark's estimate of its size knows nothing. Left to itself, it sends that
+    side to the driver as a small table; so the found side, of four rows for
+    each signature, is what the tasks hold, and both are dealt out.
     """
     least = (most + 1) // 4
     radii = [least + (k < (most + 1) % 4) - 1 for k in range(4)]
     reps = signed.where("signature is not null").groupBy("signature").agg(F.min(key).alias("rep"), F.count("*").alias("n"))
-    asks = F.filter(F.array(*[F.struct(F.lit(k).alias("band"), F.array(*map(F.lit, probes(r) if r >= 0 else [])).cast("array<bigint>").alias("masks")) for k, r in enumerate(radii)]), lambda x: F.size(x["masks"]) > 0)
-    a = reps.select("rep", "n", "signature", F.explode(asks).alias("ask")).select("rep", "n", "signature", "ask.band", F.explode("ask.masks").alias("mask"))
-    a = a.withColumn("value", bands(F.col("signature"))[F.col("band")].bitwiseXOR(F.col("mask"))).alias("a")
-    b = reps.select("rep", "n", "signature", F.posexplode(bands(F.col("signature"))).alias("band", "value")).alias("b")
+    own = F.posexplode(F.transform(bands(F.col("signature")), lambda x, k: x + k * 65536))
+    b = reps.select("rep", "n", "signature", own.alias("band", "value"))
+    masks = F.array(*[F.array(*map(F.lit, probes(r) if r >= 0 else [])).cast("array<bigint>") for r in radii])
+    a = b.select("rep", "n", "signature", "band", "value", F.explode(masks[F.col("band")]).alias("mask"))
+    a = a.select("rep", "n", "signature", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).alias("a")
+    b = b.drop("band").hint("shuffle_hash").alias("b")
     differ = F.col("a.signature").bitwiseXOR(F.col("b.signature"))
     by_band = bands(differ)
     earlier = [(F.col("a.band") > k) & (F.bit_count(by_band[k]) <= r) for k, r in enumerate(radii[:-1])]
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.rep") < F.col("b.rep")) & (F.bit_count(differ) <= most)
+    same = (F.col("a.value") == F.col("b.value")) & (F.col("a.rep") < F.col("b.rep")) & (F.bit_count(differ) <= most)
     for x in earlier:
         same &= ~x
     return a.join(b, same).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.bit_count(differ).alias("distance"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))

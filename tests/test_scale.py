@@ -86,6 +86,16 @@ def test_all_pairs_within_a_distance_are_found(spark, most):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_the_asking_side_of_exact_pairs_is_never_broadcast(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.getrandbits(63)) for i in range(300)]
+    signed = storage.written(spark.createDataFrame([*rows, (300, rows[0][1] ^ 5)], "id long, signature long"), "signed")
+    pairs = dedup.near_pairs_exact(signed, "id")
+    assert [tuple(r) for r in pairs.collect()] == [(0, 300, 2, 1, 1)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_pairs_across_sources(spark):
     rows = [(i, s, ["a", "b", None, None][i % 4]) for i, s in enumerate([5, 5, 5, 5, 7, 7, 7])]
     signed = spark.createDataFrame(rows, "id long, signature long, source string")

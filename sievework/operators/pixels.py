@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,14 +66,20 @@ def blur(gray: np.ndarray) -> float | None:
     return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
 
 
-def resize(px: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the area that each target pixel covers, or the nearest pixel where it covers less than one."""
+def areas(px: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different rows and columns of resize(), and which of them stands in each row and in each column."""
     rows = np.unique(np.linspace(0, px.shape[0], height, endpoint=False).astype(int), return_inverse=True)
     cols = np.unique(np.linspace(0, px.shape[1], width, endpoint=False).astype(int), return_inverse=True)
     sums = np.add.reduceat(np.add.reduceat(px.astype(float), rows[0], axis=0), cols[0], axis=1)
     n = np.outer(np.diff(np.append(rows[0], px.shape[0])), np.diff(np.append(cols[0], px.shape[1])))
     small = sums / (n[:, :, None] if px.ndim == 3 else n)
-    return small[rows[1]][:, cols[1]]
+    return small, rows[1], cols[1]
+
+
+def resize(px: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of the area that each target pixel covers, or the nearest pixel where it covers less than one."""
+    small, rows, cols = areas(px, height, width)
+    return small[rows][:, cols]
 
 
 def phash(gray: np.ndarray) -> int:
@@ -84,10 +91,16 @@ def phash(gray: np.ndarray) -> int:
     return int(np.packbits(bits).view(">i8")[0])
 
 
+def normalised(px: np.ndarray) -> np.ndarray:
+    """Channel-first, normalised values of a SIDE x SIDE copy, as floats; what the copy repeats is computed once."""
+    small, rows, cols = areas(px, SIDE, SIDE)
+    small = ((small / 255 - MEAN) / STD).transpose(2, 0, 1).astype(np.float32)
+    return small.take(cols, axis=2).take(rows, axis=1).ravel()
+
+
 def model_input(content: bytes) -> list[float]:
     """Channel-first, normalised values of a SIDE x SIDE copy."""
-    px = resize(decode(content)[0], SIDE, SIDE) / 255
-    return ((px - MEAN) / STD).transpose(2, 0, 1).ravel().tolist()
+    return normalised(decode(content)[0]).tolist()
 
 
 def inspect_image(path: str, content: bytes) -> tuple:
@@ -112,10 +125,12 @@ def measured(path: str, px: np.ndarray, kind: str, mode: str) -> tuple:
     return path, w, h, w / h if h else 0.0, kind, mode, float(gray.mean()), blur(gray), phash(gray), None
 
 
-def read_images(spark: SparkSession, folder: str, since: str | None = None) -> DataFrame:
-    """(path, height, width, channels, data) of the JPEG, PNG, GIF and BMP files below a folder; -1 and no data for broken ones."""
-    rows = storage.changed(spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True), since).load(folder)
-    return rows.select(F.col("image.origin").alias("path"), *[F.col(f"image.{c}").alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))])
+def read_images(spark: SparkSession, folder: str | list[str], since: str | None = None) -> DataFrame:
+    """(path, height, width, channels, data) of the JPEG, PNG, GIF and BMP files below a folder, or several; -1 and no data for broken ones."""
+    reader = storage.named(spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True), BY_SPARK)
+    rows = storage.in_few_tasks(spark, storage.changed(reader, since).load(folder))
+    origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))  # other sources have paths as they are
+    return rows.select(origin.alias("path"), *[F.col(f"image.{c}").alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))])
 
 
 def inspect_decoded(images: DataFrame) -> DataFrame:
@@ -139,29 +154,34 @@ def inspect_decoded(images: DataFrame) -> DataFrame:
 #: What Spark's image source doesn't read and decode() does.
 BY_BYTES = ["tif", "tiff", "ppm", "pgm"]
 BY_SPARK = ["jpg", "jpeg", "png", "gif", "bmp"]
+#: What counts as an image and nothing here decodes.
+UNREAD = sorted(set(storage.IMAGE_EXTENSIONS) - set(BY_BYTES) - set(BY_SPARK))
 
 
 def inspect_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics of all image files below a folder, one row for each; files that nothing here decodes are error rows."""
-    extension = F.lower(F.element_at(F.split("path", r"\."), -1))
-    by_spark = inspect_decoded(read_images(spark, folder).where(extension.isin(BY_SPARK)))
     others = sorted((set(storage.IMAGE_EXTENSIONS) | set(BY_BYTES)) - set(BY_SPARK))
-    return by_spark.unionByName(inspect_images(storage.scan_files(spark, {"": folder}, others)))
+
+    def inspected(at: str | list[str]) -> DataFrame:
+        return inspect_decoded(read_images(spark, at)).unionByName(inspect_images(storage.scan_files(spark, {"": at}, others)))
+
+    return storage.by_slices(spark, folder, inspected, "inspected")
 
 
-def folder_inputs(spark: SparkSession, folder: str, since: str | None = None, only: DataFrame | None = None) -> DataFrame:
-    """(path, x array<float>) of all image files below a folder: model inputs, null for broken ones.
+def folder_inputs(spark: SparkSession, folder: str | list[str], since: str | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(path, x array<float>) of all image files below a folder, or several: model inputs, null for broken ones.
 
     `since` leaves out files that were last changed before (a timestamp of
-    whole seconds), `only` all but those of its paths.
+    whole seconds), `only` all but those of its paths; its other columns go
+    along. A folder of very many files is to be read by storage.by_slices().
     """
-    extension = F.lower(F.element_at(F.split("path", r"\."), -1))
-    by_spark = read_images(spark, folder, since).withColumn("path", _plain("path")).where(extension.isin(BY_SPARK))
-    by_bytes = storage.scan_files(spark, {"": folder}, BY_BYTES, since).withColumn("path", _plain("path"))
+    by_spark = read_images(spark, folder, since).withColumn("path", _plain("path"))
+    by_bytes = storage.scan_files(spark, {"": folder}, BY_BYTES, since).drop("dataset", "length").withColumn("path", _plain("path"))
+    more = []
     if only is not None:
-        wanted = only.select(_plain("path").alias("path"))
-        by_spark, by_bytes = (x.join(wanted, "path", "left_semi") for x in (by_spark, by_bytes))
-    return model_inputs(by_spark).unionByName(byte_inputs(by_bytes))
+        wanted, more = only.withColumn("path", _plain("path")), [c for c in only.columns if c != "path"]
+        by_spark, by_bytes = (x.join(wanted, "path") for x in (by_spark, by_bytes))
+    return model_inputs(by_spark, *more).unionByName(byte_inputs(by_bytes, *more))
 
 
 def _plain(path: str) -> Column:
@@ -169,26 +189,34 @@ def _plain(path: str) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def _few(f: pd.DataFrame):
-    """f by INPUTS_AT_ONCE rows: an input has 600 KB, whatever the file has."""
-    return (f.iloc[a : a + INPUTS_AT_ONCE] for a in range(0, len(f), INPUTS_AT_ONCE))
+def _with_inputs(rows: DataFrame, more: tuple[str, ...], columns: list[str], pixels) -> DataFrame:
+    """(path, more, x) of rows: the input of pixels(columns), null where that fails. By INPUTS_AT_ONCE rows: an input has 600 KB, whatever the file has."""
+    kept = ["path", *more]
 
+    def inputs(some: pa.RecordBatch) -> pa.Array:
+        out = []
+        for cells in zip(*(some.column(c).to_pylist() for c in columns), strict=True):
+            try:
+                out.append(normalised(pixels(*cells)))
+            except Exception:  # no input for a broken file
+                out.append(None)
+        sizes = [0 if x is None else x.size for x in out]
+        values = np.concatenate([np.empty(0, np.float32), *(x for x in out if x is not None)])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values), mask=pa.array([x is None for x in out]))
 
-def byte_inputs(files: DataFrame) -> DataFrame:
-    """(path, x array<float>) of (path, content) rows that decode() reads; null for others."""
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, INPUTS_AT_ONCE):
+                some = batch.slice(a, INPUTS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), inputs(some)], names=[*kept, "x"])
 
-    def run(frames):
-        for f in frames:
-            for some in _few(f):
-                out = []
-                for content in some["content"]:
-                    try:
-                        out.append(np.array(model_input(bytes(content)), np.float32))
-                    except Exception:  # no input for a broken file
-                        out.append(None)
-                yield pd.DataFrame({"path": some["path"], "x": out})
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    return rows.select(*kept, *columns).mapInArrow(run, f"{kinds}x array<float>")
 
-    return files.select("path", "content").mapInPandas(run, "path string, x array<float>")
+
+def byte_inputs(files: DataFrame, *more: str) -> DataFrame:
+    """(path, x array<float>), and more columns if asked for, of (path, content) rows that decode() reads; null for others."""
+    return _with_inputs(files, more, ["content"], lambda content: decode(content)[0])
 
 
 def cache_images(spark: SparkSession, folder: str, cache: str, batch: int, since: str | None = None) -> int:
@@ -199,23 +227,38 @@ def cache_images(spark: SparkSession, folder: str, cache: str, batch: int, since
     before aren't opened. What can't be decoded is kept with its error, so it
     isn't tried again. A batch is written beside the cache and renamed into it
     when all of it is there: readers see whole batches, and a run that breaks
-    off leaves none.
+    off leaves none. Inputs are written where they are made: they are in no
+    shuffle, join or broadcast.
     """
-    rows = hashed_files(spark, folder, since)
+    parts = storage.slices(spark, folder)
+    rows = hashed_files(spark, folder, since, parts)
     if storage.exists(spark, cache):
         rows = rows.join(read_cache(spark, cache).select("key"), "key", "left_anti")
-    new = storage.written(rows.groupBy("key").agg(F.min("path").alias("path")), "new-files")
-    found = new.join(folder_inputs(spark, folder, since, new), "path", "left")
-    found = found.select("key", "x", F.when(F.col("x").isNull(), "read_error").alias("error"), F.lit(batch).cast("int").alias("batch"))
+    new = storage.written(rows.groupBy("key").agg(F.min(F.struct("path", "slice")).alias("f")).select("key", "f.*"), "new-files")
     staged = f"{cache}-staged-{batch}"
-    found.write.mode("overwrite").parquet(staged)
+    for k, (paths, n) in enumerate(parts):
+        only = new.where(F.col("slice") == k).select("path", "key")
+        # Paths and hashes of a slice have a bound; those of one huge folder, which can't be cut, are dealt out.
+        only = F.broadcast(only) if n <= storage.FILES_AT_ONCE else only.hint("merge")
+        found = folder_inputs(spark, paths, since, only)
+        found = found.select("key", "x", F.when(F.col("x").isNull(), "read_error").alias("error"), F.lit(batch).cast("int").alias("batch"))
+        others = storage.scan_files(spark, {"": paths}, UNREAD, since).select(_plain("path").alias("path")).join(only, "path")
+        found = found.unionByName(others.select("key", F.lit(None).cast("array<float>").alias("x"), F.lit("read_error").alias("error"), F.lit(batch).cast("int").alias("batch")))
+        found.write.mode("append" if k else "overwrite").parquet(staged)
     storage.rename(spark, staged, f"{cache}/batch-{batch}")
     return new.count()
 
 
-def hashed_files(spark: SparkSession, folder: str, since: str | None = None) -> DataFrame:
-    """(path, key) of the image files below a folder: their content's sha256."""
-    return storage.scan_files(spark, {"": folder}, [*storage.IMAGE_EXTENSIONS, *BY_BYTES], since).select(_plain("path").alias("path"), F.sha2("content", 256).alias("key"))
+def hashed_files(spark: SparkSession, folder: str, since: str | None = None, parts: list[tuple[list[str], int]] | None = None) -> DataFrame:
+    """(path, key, slice) of the image files below a folder: their content's sha256, and which of its slices, as `parts` has them, they are in."""
+    parts = parts or storage.slices(spark, folder)
+    place = {paths[0]: k for k, (paths, _) in enumerate(parts)}
+
+    def hashed(at: str | list[str]) -> DataFrame:
+        found = storage.scan_files(spark, {"": at}, [*storage.IMAGE_EXTENSIONS, *BY_BYTES], since)
+        return found.select(_plain("path").alias("path"), F.sha2("content", 256).alias("key"), F.lit(0 if isinstance(at, str) else place[at[0]]).alias("slice"))
+
+    return storage.by_slices(spark, folder, hashed, "hashed", parts)
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
@@ -229,27 +272,15 @@ def cached_rows(labelled: DataFrame, folder: str, cache: str, label: str = "labe
     files = hashed_files(spark, folder).select(F.col("path").alias("_path"), "key")
     top = folder.rstrip("/").rsplit("/", 1)[-1] + "/"
     files = files.withColumn("path", F.substring_index("_path", top, -1)).drop("_path")
-    rows = labelled.join(files, "path", "left").join(read_cache(spark, cache), "key", "left")
+    # Compressed inputs look small to Spark, so without the hint it may send them to the driver.
+    rows = labelled.join(files, "path", "left").join(read_cache(spark, cache).hint("merge"), "key", "left")
     rows = rows.withColumn("error", F.when(F.col("batch").isNull(), "not cached").otherwise(F.col("error")))
     return rows.withColumn(label, F.when(F.col("error").isNull(), F.col(label)))
 
 
-def model_inputs(images: DataFrame) -> DataFrame:
-    """(path, x array<float>): the normalised, channel-first copy of each decodable image; null for others."""
-
-    def run(frames):
-        for f in frames:
-            for some in _few(f):
-                out = []
-                for h, w, n, data in zip(*(some[c] for c in ("height", "width", "channels", "data")), strict=True):
-                    try:
-                        px = resize(from_planes(h, w, n, bytes(data))[0], SIDE, SIDE) / 255
-                        out.append(((px - MEAN) / STD).transpose(2, 0, 1).ravel().astype(np.float32))
-                    except Exception:  # no input for a broken file
-                        out.append(None)
-                yield pd.DataFrame({"path": some["path"], "x": out})
-
-    return images.mapInPandas(run, "path string, x array<float>")
+def model_inputs(images: DataFrame, *more: str) -> DataFrame:
+    """(path, x array<float>), and more columns if asked for: the normalised, channel-first copy of each decodable image; null for others."""
+    return _with_inputs(images, more, ["height", "width", "channels", "data"], lambda h, w, n, data: from_planes(h, w, n, data)[0])
 
 
 def classify(inputs: DataFrame, model: str, x: str = "x") -> DataFrame:

@@ -16,13 +16,14 @@ from sievework.sources import files, storage
 
 SIDE = 8
 KINDS = ["bmp", "png", "tiff", "TIF"]
+IN_A_FOLDER = 4096
 
 
 def drawn(df, seed: str = "html", spoiled: bool = False):
     """df with `path` and `content`: a file of SIDE x SIDE pixels whose bytes are digests of a text; every tenth is broken.
 
     Bytes are multiples of 8, of which no luma lies half-way between two whole numbers.
-    A spoiled picture has a first byte of its own.
+    A spoiled picture has a first byte of its own. Folders have IN_A_FOLDER files each, so that they can be read a few at a time.
     """
 
     @F.pandas_udf("binary")
@@ -38,7 +39,7 @@ def drawn(df, seed: str = "html", spoiled: bool = False):
     if spoiled:
         hexes = F.concat(F.lpad(F.hex(F.col("page_id") % 8 * 32), 2, "0"), F.substr(hexes, F.lit(3)))
     content = F.when(F.col("page_id") % 10 == 3, F.encode(F.lit("no image"), "US-ASCII")).otherwise(image(kind, hexes))
-    return df.withColumn("content", content).withColumn("path", F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit("."), kind))
+    return df.withColumn("content", content).withColumn("path", F.concat(F.lit("page/"), F.expr(f"cast(page_id div {IN_A_FOLDER} as string)"), F.lit("/"), F.col("page_id").cast("string"), F.lit("."), kind))
 
 
 def image_folder(spark, d) -> str:
@@ -127,7 +128,6 @@ _CHANNELS = ", ".join(f"CASE WHEN NOT broken THEN list_sum(list_transform(range(
 @query(f"WITH {_FILES} SELECT name, CASE WHEN NOT broken THEN 150528 END AS n, {_CHANNELS}, CASE WHEN NOT broken THEN b[192]::BIGINT END AS last FROM b")
 def image_inputs(spark, d):
     """The 224 x 224, normalised, channel-first copy of each file: its size, and the sums of the pixels that each channel has, as bytes of the file again."""
-    found = pixels.folder_inputs(spark, image_folder(spark, d))
     wide = pixels.SIDE // SIDE  # each pixel of the file is a square of so many
     byte = lambda v, k: F.round((v.cast("double") * pixels.STD[k] + pixels.MEAN[k]) * 255)
 
@@ -135,9 +135,9 @@ def image_inputs(spark, d):
         corners = F.array(*[F.lit(k * pixels.SIDE**2 + r * wide * pixels.SIDE + q * wide) for r in range(SIDE) for q in range(SIDE)])
         return F.aggregate(corners, F.lit(0.0), lambda a, i: a + byte(F.col("x")[i], k)).cast("long")
 
-    rows = found.withColumn("size", F.size("x"))
-    shown = [F.when(F.col("x").isNotNull(), v).alias(n) for n, v in (("n", F.col("size")), *((n, total(k)) for k, n in enumerate(("red", "green", "blue"))), ("last", byte(F.element_at("x", -1), 2).cast("long")))]
-    return rows.select(F.substring_index("path", "/", -1).alias("name"), *shown)
+    shown = [F.when(F.col("x").isNotNull(), v).alias(n) for n, v in (("n", F.size("x")), *((n, total(k)) for k, n in enumerate(("red", "green", "blue"))), ("last", byte(F.element_at("x", -1), 2).cast("long")))]
+    sums = lambda at: pixels.folder_inputs(spark, at).select(F.substring_index("path", "/", -1).alias("name"), *shown)
+    return storage.by_slices(spark, image_folder(spark, d), sums, "inputs")
 
 
 _TWINS = "t AS (SELECT page_id, page_id // 8 AS twin, page_id % 10 = 3 AS broken, ['bmp', 'png', 'tiff', 'TIF'][page_id % 4 + 1] AS kind FROM pages), k AS (SELECT *, CASE WHEN broken THEN 'broken' ELSE kind || twin END AS key FROM t)"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 
 # The extensions that count as images, in any case.
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff"]
+# Files that the driver lists at once: it holds about 1 KB for each.
+FILES_AT_ONCE = 1 << 15
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -106,13 +110,83 @@ def changed(reader, since: str | None):
     return reader.option("modifiedAfter", since) if since else reader
 
 
-def scan_files(spark: SparkSession, roots: dict[str, str], extensions: list[str] = IMAGE_EXTENSIONS, since: str | None = None) -> DataFrame:
-    """(dataset, path, length, content) of the files below each root that exists; extensions in any case."""
+def slices(spark: SparkSession, root: str, most: int | None = None) -> list[tuple[list[str], int]]:
+    """(paths, number of files) of parts of a folder of at most `most` files (FILES_AT_ONCE), which together are all that Spark reads below it.
+
+    Parts are whole folders as far as they are that small, and several where
+    they are smaller; the driver counts, and lists only what it has to cut. A
+    folder of more files and no folders inside is a part as it is.
+    """
+    most = most or FILES_AT_ONCE
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: list[tuple[str, int]] = []
+
+    def cut(path, n: int | None = None) -> int:
+        summary = fs.getContentSummary(path) if n is None else None
+        n = summary.getFileCount() if summary else n
+        if n <= most or summary and summary.getDirectoryCount() == 1:
+            found.append((path.toString(), n))
+            return n
+        entries = [x for x in fs.listStatus(path) if not re.match(r"[.]|_(?!.*=)", x.getPath().getName())]
+        folders = [x.getPath() for x in entries if x.isDirectory()]
+        if len(folders) == len(entries) == 1:
+            return cut(folders[0], n)
+        found.extend((x.getPath().toString(), 1) for x in entries if not x.isDirectory())
+        for x in folders:
+            cut(x)
+        return n
+
+    whole = cut(hadoop.Path(root))
+    if whole <= most or len(found) == 1:
+        return [([root], whole)]
+    out: list[tuple[list[str], int]] = []
+    for path, n in found:
+        path = re.sub(r"([][{}*?\\])", r"\\\1", path)
+        if out and out[-1][1] + n <= most:
+            out[-1] = (out[-1][0] + [path], out[-1][1] + n)
+        else:
+            out.append(([path], n))
+    return out
+
+
+def by_slices(spark: SparkSession, root: str, of: Callable[[str | list[str]], DataFrame], name: str, parts: list[tuple[list[str], int]] | None = None) -> DataFrame:
+    """of(root) for a folder of any number of files: of each of its slices() in turn, as a table in the shared folder.
+
+    A reader's list of files stands in the driver as long as its frame, so
+    large folders aren't read by one. A folder that is a single slice is left
+    as it is, and nothing is written.
+    """
+    parts = parts or slices(spark, root)
+    if len(parts) == 1:
+        return of(root)
+    path, schema = scratch(spark, name), None
+    for paths, _ in parts:
+        part = of(paths)
+        part.write.mode("append").parquet(path)
+        schema = part.schema
+    return spark.read.schema(schema).parquet(path)
+
+
+def named(reader, extensions: list[str]):
+    """A reader of files that lists those with the extensions only, in any case; others aren't opened."""
+    any_case = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in extensions]
+    return reader.option("pathGlobFilter", "{" + ",".join(f"*.{x}" for x in any_case) + "}")
+
+
+def in_few_tasks(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows of files in some tasks for each core: Spark makes one of every few files, however small they are."""
+    return rows.coalesce(4 * spark.sparkContext.defaultParallelism)
+
+
+def scan_files(spark: SparkSession, roots: dict[str, str | list[str]], extensions: list[str] = IMAGE_EXTENSIONS, since: str | None = None) -> DataFrame:
+    """(dataset, path, length, content) of the files below each root that exists, or below each of several; extensions in any case."""
     out = None
     for dataset, root in roots.items():
-        if not exists(spark, root):
+        if isinstance(root, str) and not exists(spark, root):
             continue
-        files = changed(spark.read.format("binaryFile").option("recursiveFileLookup", True), since).load(root)
+        reader = named(spark.read.format("binaryFile").option("recursiveFileLookup", True), extensions)
+        files = in_few_tasks(spark, changed(reader, since).load(root))
         part = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(extensions)).select(F.lit(dataset).alias("dataset"), "path", "length", "content")
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], "dataset string, path string, length long, content binary") if out is None else out

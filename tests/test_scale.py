@@ -282,6 +282,30 @@ def test_a_cache_decodes_only_what_is_new(spark, tmp_path):
     assert pixels.read_cache(spark, cache).count() == 5
 
 
+def test_large_folders_are_read_by_slices_and_inputs_are_never_broadcast(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    folder, cache = tmp_path / "images", str(tmp_path / "cache")
+    names = [*(f"a/x/{i}.bmp" for i in range(5)), *(f"a/y [1]/{i}.png" for i in range(2)), *(f"b/{i}.tif" for i in range(2)), "c.PNG", "d.webp"]
+    px = {n: picture(rng, 8, 8) for n in names}
+    for n in [*names, "_h/1.bmp"]:
+        (folder / n).parent.mkdir(parents=True, exist_ok=True)
+        (folder / n).write_bytes(b"RIFF" if n == "d.webp" else {"bmp": rasters.bmp, "tif": rasters.tiff}.get(n[-3:], rasters.png)(px.get(n, picture(rng, 8, 8))))
+    monkeypatch.setattr(storage, "FILES_AT_ONCE", 4)
+    parts = storage.slices(spark, str(folder))
+    assert sum(n for _, n in parts) == len(names) and [n for _, n in parts if n > 4] == [5]  # a folder without folders is whole
+    got = {r.path.rsplit("images/", 1)[1]: r for r in pixels.inspect_folder(spark, str(folder)).collect()}
+    assert set(got) == set(names) and [n for n, r in got.items() if r.error] == ["d.webp"]
+    assert all(r.phash == pixels.phash(pixels.luma(px[n])) for n, r in got.items() if not r.error)
+    assert pixels.cache_images(spark, str(folder), cache, 1) == len(names) and pixels.cache_images(spark, str(folder), cache, 2) == 0
+    labelled = spark.createDataFrame([(n, "l") for n in names], "path string, label string")
+    rows = pixels.cached_rows(labelled, str(folder), cache)
+    found = {r.path: r for r in rows.collect()}
+    assert {n for n, r in found.items() if r.error} == {"d.webp"} and len(found) == len(names)
+    assert all(r.x == pytest.approx(pixels.normalised(px[n]).tolist()) for n, r in found.items() if r.x)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "x#" in plan and not any("x#" in line for line in plan.splitlines() if "BroadcastExchange" in line or "BroadcastHashJoin" in line)
+
+
 def test_archives_are_read_by_stretches_of_members(spark, tmp_path):
     for k in range(2):
         with zipfile.ZipFile(tmp_path / f"{k}.zip", "w", zipfile.ZIP_DEFLATED) as z:

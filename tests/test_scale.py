@@ -333,6 +333,24 @@ def test_large_folders_are_read_by_slices_and_inputs_are_never_broadcast(spark,
     assert "x#" in plan and not any("x#" in line for line in plan.splitlines() if "BroadcastExchange" in line or "BroadcastHashJoin" in line)
 
 
+@pytest.mark.parametrize("name", ["image_near_pairs", "image_inputs"])
+def test_queries_on_folders_of_many_slices_give_what_the_sql_gives(spark, monkeypatch, name):
+    import duckdb
+
+    from sievework.plans import catalog, images
+
+    d, listed, whole = "/root/testdata/sf0.001", [], storage.slices
+    monkeypatch.setattr(images, "IN_A_FOLDER", 16)
+    monkeypatch.setattr(storage, "FILES_AT_ONCE", 20)
+    monkeypatch.setattr(storage, "slices", lambda *a: listed.append(whole(*a)) or listed[-1])
+    got = catalog.QUERIES[name](spark, d)
+    assert sorted(n for _, n in listed[0]) == [16, 16, 18]  # the last folder of two fits beside another
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
+    want = con.execute(catalog.ORACLES[name]).fetchall()
+    assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+
+
 def test_archives_are_read_by_stretches_of_members(spark, tmp_path):
     for k in range(2):
         with zipfile.ZipFile(tmp_path / f"{k}.zip", "w", zipfile.ZIP_DEFLATED) as z:

@@ -104,15 +104,18 @@ def near_pairs_exact(signed: DataFrame, key: str, most: int = REVIEW) -> DataFra
     The asking side has some 428 rows for each signature at 10 bits, of which
     Spark's estimate of its size knows nothing. Left to itself, it sends that
     side to the driver as a small table; so the found side, of four rows for
-    each signature, is what the tasks hold, and both are dealt out.
+    each signature, is what the tasks hold, and both are dealt out. Signatures
+    are few bytes, which Spark would leave to one task; so those that ask are
+    dealt to four tasks a core before they become many rows.
     """
     least = (most + 1) // 4
     radii = [least + (k < (most + 1) % 4) - 1 for k in range(4)]
     reps = signed.where("signature is not null").groupBy("signature").agg(F.min(key).alias("rep"), F.count("*").alias("n"))
     own = F.posexplode(F.transform(bands(F.col("signature")), lambda x, k: x + k * 65536))
     b = reps.select("rep", "n", "signature", own.alias("band", "value"))
+    a = reps.repartition(4 * signed.sparkSession.sparkContext.defaultParallelism).select("rep", "n", "signature", own.alias("band", "value"))
     masks = F.array(*[F.array(*map(F.lit, probes(r) if r >= 0 else [])).cast("array<bigint>") for r in radii])
-    a = b.select("rep", "n", "signature", "band", "value", F.explode(masks[F.col("band")]).alias("mask"))
+    a = a.select("rep", "n", "signature", "band", "value", F.explode(masks[F.col("band")]).alias("mask"))
     a = a.select("rep", "n", "signature", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).alias("a")
     b = b.drop("band").hint("shuffle_hash").alias("b")
     differ = F.col("a.signature").bitwiseXOR(F.col("b.signature"))

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff"]
 # Files that the driver lists at once: it holds about 1 KB for each.
 FILES_AT_ONCE = 1 << 15
+# How many bytes of lists of files the driver keeps for readers to come.
+LISTS_KEPT = "spark.sql.hive.filesourcePartitionFileCacheSize"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -154,17 +156,23 @@ def by_slices(spark: SparkSession, root: str, of: Callable[[str | list[str]], Da
     """of(root) for a folder of any number of files: of each of its slices() in turn, as a table in the shared folder.
 
     A reader's list of files stands in the driver as long as its frame, so
-    large folders aren't read by one. A folder that is a single slice is left
-    as it is, and nothing is written.
+    large folders aren't read by one, and Spark's cache of such lists, of up to
+    250 MB, is off meanwhile. A folder that is a single slice is left as it is,
+    and nothing is written.
     """
     parts = parts or slices(spark, root)
     if len(parts) == 1:
         return of(root)
     path, schema = scratch(spark, name), None
-    for paths, _ in parts:
-        part = of(paths)
-        part.write.mode("append").parquet(path)
-        schema = part.schema
+    kept = spark.conf.get(LISTS_KEPT)
+    spark.conf.set(LISTS_KEPT, "0")
+    try:
+        for paths, _ in parts:
+            part = of(paths)
+            part.write.mode("append").parquet(path)
+            schema = part.schema
+    finally:
+        spark.conf.set(LISTS_KEPT, kept)
     return spark.read.schema(schema).parquet(path)
 
 

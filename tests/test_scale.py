@@ -96,6 +96,16 @@ def test_the_asking_side_of_exact_pairs_is_never_broadcast(spark):
     assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_the_signatures_that_ask_are_dealt_out(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.getrandbits(63)) for i in range(2000)]
+    signed = storage.written(spark.createDataFrame(rows, "id long, signature long"), "signed")
+    pairs = dedup.near_pairs_exact(signed, "id", 16)
+    assert pairs.count() == sum((x ^ y).bit_count() <= 16 for k, (_, x) in enumerate(rows) for _, y in rows[:k]) > 0
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan
+
+
 def test_pairs_across_sources(spark):
     rows = [(i, s, ["a", "b", None, None][i % 4]) for i, s in enumerate([5, 5, 5, 5, 7, 7, 7])]
     signed = spark.createDataFrame(rows, "id long, signature long, source string")
@@ -333,6 +343,24 @@ def test_large_folders_are_read_by_slices_and_inputs_are_never_broadcast(spark,
     assert "x#" in plan and not any("x#" in line for line in plan.splitlines() if "BroadcastExchange" in line or "BroadcastHashJoin" in line)
 
 
+def test_the_driver_keeps_no_lists_of_slices(spark, tmp_path, monkeypatch):
+    for k in range(3):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "a.txt").write_text(str(k))
+    monkeypatch.setattr(storage, "FILES_AT_ONCE", 1)
+    before, seen = spark.conf.get(storage.LISTS_KEPT), []
+
+    def read(at):
+        seen.append(spark.conf.get(storage.LISTS_KEPT))
+        return spark.read.text(at)
+
+    assert sorted(r.value for r in storage.by_slices(spark, str(tmp_path), read, "texts").collect()) == ["0", "1", "2"]
+    assert seen == ["0"] * 3 and spark.conf.get(storage.LISTS_KEPT) == before
+    with pytest.raises(ZeroDivisionError):
+        storage.by_slices(spark, str(tmp_path), lambda at: 1 / 0, "texts")
+    assert spark.conf.get(storage.LISTS_KEPT) == before
+
+
 @pytest.mark.parametrize("name", ["image_near_pairs", "image_inputs"])
 def test_queries_on_folders_of_many_slices_give_what_the_sql_gives(spark, monkeypatch, name):
     import duckdb

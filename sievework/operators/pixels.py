@@ -11,7 +11,7 @@ import io
 import math
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -186,12 +186,13 @@ def inspect_folder(spark: SparkSession, folder: str) -> DataFrame:
     return storage.by_slices(spark, folder, inspected, "inspected")
 
 
-def folder_inputs(spark: SparkSession, folder: str | list[str], since: str | None = None, only: DataFrame | None = None) -> DataFrame:
+def folder_inputs(spark: SparkSession, folder: str | list[str], since: str | None = None, only: DataFrame | None = None, of: Kept | None = None) -> DataFrame:
     """(path, x array<float>) of all image files below a folder, or several: model inputs, null for broken ones.
 
     `since` leaves out files that were last changed before (a timestamp of
     whole seconds), `only` all but those of its paths; its other columns go
-    along. A folder of very many files is to be read by storage.by_slices().
+    along. `of` has other columns in x's place, null for broken files, too.
+    A folder of very many files is to be read by storage.by_slices().
     """
     by_spark = read_images(spark, folder, since).withColumn("path", _plain("path"))
     by_bytes = storage.scan_files(spark, {"": folder}, BY_BYTES, since).drop("dataset", "length").withColumn("path", _plain("path"))
@@ -199,7 +200,7 @@ def folder_inputs(spark: SparkSession, folder: str | list[str], since: str | Non
     if only is not None:
         wanted, more = only.withColumn("path", _plain("path")), [c for c in only.columns if c != "path"]
         by_spark, by_bytes = (x.join(wanted, "path") for x in (by_spark, by_bytes))
-    return model_inputs(by_spark, *more).unionByName(byte_inputs(by_bytes, *more))
+    return model_inputs(by_spark, *more, of=of).unionByName(byte_inputs(by_bytes, *more, of=of))
 
 
 def _plain(path: str) -> Column:
@@ -207,34 +208,53 @@ def _plain(path: str) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def _with_inputs(rows: DataFrame, more: tuple[str, ...], columns: list[str], pixels) -> DataFrame:
-    """(path, more, x) of rows: the input of pixels(columns), null where that fails. By INPUTS_AT_ONCE rows: an input has 600 KB, whatever the file has."""
+#: Columns by name and type, and the function that makes an array for each of them of the inputs of some files, one a row.
+Kept = tuple[dict[str, str], Callable[[np.ndarray], list[np.ndarray]]]
+
+
+def _with_inputs(rows: DataFrame, more: tuple[str, ...], columns: list[str], pixels, of: Kept | None) -> DataFrame:
+    """(path, more, x) of rows: the input of pixels(columns), null where that fails. By INPUTS_AT_ONCE rows: an input has 600 KB, whatever the file has.
+
+    With `of` the inputs stay in the task that makes them: Spark takes some
+    3 ms to make a row of one, and only what is kept of them becomes rows.
+    """
     kept = ["path", *more]
+    names, shown = of or ({"x": "array<float>"}, None)
 
-    def inputs(some: pa.RecordBatch) -> pa.Array:
+    def inputs(some: pa.RecordBatch) -> list[np.ndarray | None]:
         out = []
         for cells in zip(*(some.column(c).to_pylist() for c in columns), strict=True):
             try:
                 out.append(normalised(pixels(*cells)))
             except Exception:  # no input for a broken file
                 out.append(None)
+        return out
+
+    def lists(out: list[np.ndarray | None]) -> list[pa.Array]:
         sizes = [0 if x is None else x.size for x in out]
         values = np.concatenate([np.empty(0, np.float32), *(x for x in out if x is not None)])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values), mask=pa.array([x is None for x in out]))
+        return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values), mask=pa.array([x is None for x in out]))]
+
+    def parts(out: list[np.ndarray | None]) -> list[pa.Array]:
+        there = np.array([x is not None for x in out], bool)
+        at = pa.array(np.cumsum(there) - 1, mask=~there)
+        whole = np.concatenate([np.empty(0, np.float32), *(x for x in out if x is not None)]).reshape(-1, 3 * SIDE**2)
+        return [pa.array(v).take(at) for v in shown(whole)]
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, INPUTS_AT_ONCE):
                 some = batch.slice(a, INPUTS_AT_ONCE)
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), inputs(some)], names=[*kept, "x"])
+                made = (parts if shown else lists)(inputs(some))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), *made], names=[*kept, *names])
 
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
-    return rows.select(*kept, *columns).mapInArrow(run, f"{kinds}x array<float>")
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"`{c}` {kind}" for c, kind in names.items()]
+    return rows.select(*kept, *columns).mapInArrow(run, ", ".join(kinds))
 
 
-def byte_inputs(files: DataFrame, *more: str) -> DataFrame:
-    """(path, x array<float>), and more columns if asked for, of (path, content) rows that decode() reads; null for others."""
-    return _with_inputs(files, more, ["content"], lambda content: decode(content)[0])
+def byte_inputs(files: DataFrame, *more: str, of: Kept | None = None) -> DataFrame:
+    """(path, x array<float>), and more columns if asked for, of (path, content) rows that decode() reads; null for others. `of` as in folder_inputs."""
+    return _with_inputs(files, more, ["content"], lambda content: decode(content)[0], of)
 
 
 def cache_images(spark: SparkSession, folder: str, cache: str, batch: int, since: str | None = None) -> int:
@@ -296,9 +316,9 @@ def cached_rows(labelled: DataFrame, folder: str, cache: str, label: str = "labe
     return rows.withColumn(label, F.when(F.col("error").isNull(), F.col(label)))
 
 
-def model_inputs(images: DataFrame, *more: str) -> DataFrame:
-    """(path, x array<float>), and more columns if asked for: the normalised, channel-first copy of each decodable image; null for others."""
-    return _with_inputs(images, more, ["height", "width", "channels", "data"], lambda h, w, n, data: from_planes(h, w, n, data)[0])
+def model_inputs(images: DataFrame, *more: str, of: Kept | None = None) -> DataFrame:
+    """(path, x array<float>), and more columns if asked for: the normalised, channel-first copy of each decodable image; null for others. `of` as in folder_inputs."""
+    return _with_inputs(images, more, ["height", "width", "channels", "data"], lambda h, w, n, data: from_planes(h, w, n, data)[0], of)
 
 
 def classify(inputs: DataFrame, model: str, x: str = "x") -> DataFrame:

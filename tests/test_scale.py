@@ -343,6 +343,23 @@ def test_large_folders_are_read_by_slices_and_inputs_are_never_broadcast(spark,
     assert "x#" in plan and not any("x#" in line for line in plan.splitlines() if "BroadcastExchange" in line or "BroadcastHashJoin" in line)
 
 
+def test_only_what_is_kept_of_inputs_leaves_the_task(spark, tmp_path):
+    from sievework.plans import catalog
+
+    rng = np.random.default_rng(6)
+    px = {n: picture(rng, 9, 12) for n in ("a.bmp", "b.png", "c.tif")}
+    for name, write in (("a.bmp", rasters.bmp), ("b.png", rasters.png), ("c.tif", rasters.tiff)):
+        (tmp_path / name).write_bytes(write(px[name]))
+    for name in ("d.png", "e.tif"):
+        (tmp_path / name).write_bytes(b"broken")
+    top = pixels.folder_inputs(spark, str(tmp_path), of=({"n": "int", "top": "float"}, lambda x: [np.full(len(x), x.shape[1], np.int32), x.max(axis=1)]))
+    assert top.columns == ["path", "n", "top"]
+    want = {n: (3 * pixels.SIDE**2, float(pixels.normalised(x).max())) for n, x in px.items()} | {"d.png": (None, None), "e.tif": (None, None)}
+    assert {r.path.rsplit("/", 1)[1]: (r.n, r.top) for r in top.collect()} == want
+    plan = catalog.QUERIES["image_inputs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "x#" not in plan
+
+
 def test_the_driver_keeps_no_lists_of_slices(spark, tmp_path, monkeypatch):
     for k in range(3):
         (tmp_path / str(k)).mkdir()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -152,27 +154,36 @@ def slices(spark: SparkSession, root: str, most: int | None = None) -> list[tupl
     return out
 
 
+@contextmanager
+def lists_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark's cache of lists of files, of up to 250 MB of the driver, is off meanwhile."""
+    kept = spark.conf.get(LISTS_KEPT)
+    spark.conf.set(LISTS_KEPT, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTS_KEPT, kept)
+
+
 def by_slices(spark: SparkSession, root: str, of: Callable[[str | list[str]], DataFrame], name: str, parts: list[tuple[list[str], int]] | None = None) -> DataFrame:
     """of(root) for a folder of any number of files: of each of its slices() in turn, as a table in the shared folder.
 
     A reader's list of files stands in the driver as long as its frame, so
-    large folders aren't read by one, and Spark's cache of such lists, of up to
-    250 MB, is off meanwhile. A folder that is a single slice is left as it is,
-    and nothing is written.
+    large folders aren't read by one, and a slice's frames and lists go before
+    the next is listed. A folder that is a single slice is left as it is, and
+    nothing is written.
     """
     parts = parts or slices(spark, root)
     if len(parts) == 1:
         return of(root)
     path, schema = scratch(spark, name), None
-    kept = spark.conf.get(LISTS_KEPT)
-    spark.conf.set(LISTS_KEPT, "0")
-    try:
+    with lists_dropped(spark):
         for paths, _ in parts:
             part = of(paths)
             part.write.mode("append").parquet(path)
             schema = part.schema
-    finally:
-        spark.conf.set(LISTS_KEPT, kept)
+            del part
+            gc.collect()  # frames are in cycles, and the lists of their files go with them
     return spark.read.schema(schema).parquet(path)
 
 

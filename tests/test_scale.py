@@ -7,6 +7,7 @@ import random
 import statistics
 import struct
 import time
+import weakref
 import zipfile
 
 import numpy as np
@@ -365,11 +366,14 @@ def test_the_driver_keeps_no_lists_of_slices(spark, tmp_path, monkeypatch):
         (tmp_path / str(k)).mkdir()
         (tmp_path / str(k) / "a.txt").write_text(str(k))
     monkeypatch.setattr(storage, "FILES_AT_ONCE", 1)
-    before, seen = spark.conf.get(storage.LISTS_KEPT), []
+    before, seen, frames = spark.conf.get(storage.LISTS_KEPT), [], []
 
     def read(at):
+        assert not any(x() for x in frames)
         seen.append(spark.conf.get(storage.LISTS_KEPT))
-        return spark.read.text(at)
+        frame = spark.read.text(at)
+        frames.append(weakref.ref(frame))
+        return frame
 
     assert sorted(r.value for r in storage.by_slices(spark, str(tmp_path), read, "texts").collect()) == ["0", "1", "2"]
     assert seen == ["0"] * 3 and spark.conf.get(storage.LISTS_KEPT) == before
